@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import line_dedup, token_counts
+from lexispark.llm import line_dedup, packing, token_counts
 from lexispark.llm.common import table
 
 
@@ -41,10 +41,17 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op4_line_dedup": op4_line_dedup,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
