@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import line_dedup, packing, token_counts
-from lexispark.llm.common import table
+from lexispark.llm import language_id, line_dedup, packing, quality, token_counts
+from lexispark.llm.common import cut, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,25 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = language_id.held_out("doc_id", 5, 0)
+    labels = table(spark, sf_dir, "labels").where(~apart)
+    model = quality.fit(docs, labels)
+    scored = docs.select("doc_id", apart.alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    scored = cut(scored, "scores")  # the quantile reads the scores once more
+    scored = scored.withColumn("predicted", F.when(F.col("score") >= quality.PREDICT_AT, 1).otherwise(0))
+    return quality.keep_above_quantile(scored, 0.1)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = language_id.held_out("doc_id", 3, 1)
+    model = language_id.fit(docs.where(~apart))
+    found = docs.select("doc_id", apart.alias("held_out"), language_id.predict(F.col("text"), model).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.accepted")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -51,6 +70,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op4_line_dedup": op4_line_dedup,
+        "op5_quality_classifier": op5_quality_classifier,
+        "op8_language_id": op8_language_id,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
 
