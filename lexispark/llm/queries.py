@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import language_id, line_dedup, packing, quality, token_counts
+from lexispark.llm import language_id, line_dedup, ngram_join, packing, quality, token_counts
 from lexispark.llm.common import cut, table
 
 
@@ -52,6 +52,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.keep_above_quantile(scored, 0.1)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     apart = language_id.held_out("doc_id", 3, 1)
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op8_language_id": op8_language_id,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
