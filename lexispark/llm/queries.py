@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import language_id, line_dedup, ngram_join, packing, quality, token_counts
+from lexispark.llm import decontaminate, language_id, line_dedup, ngram_join, packing, quality, token_counts
 from lexispark.llm.common import cut, table
 
 
@@ -19,6 +19,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(docs, length))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return decontaminate.find(docs, decontaminate.prepare(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.drop_boilerplate(docs).select("doc_id", "source", "n_lines", "n_dropped", "text")
@@ -73,6 +78,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
