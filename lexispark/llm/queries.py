@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import decontaminate, language_id, line_dedup, ngram_join, packing, quality, token_counts
+from lexispark.llm import decontaminate, language_id, line_dedup, ngram_join, nn_graph, packing, quality, token_counts
 from lexispark.llm.common import cut, table
 
 
@@ -29,6 +29,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 OP4_SQL = f"""
 WITH pages AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
 lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op8_language_id": op8_language_id,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
