@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import decontaminate, language_id, line_dedup, ngram_join, nn_graph, packing, quality, token_counts
+from lexispark.llm import decontaminate, html_extract, language_id, line_dedup, ngram_join, nn_graph, packing, quality, token_counts
 from lexispark.llm.common import cut, table
 
 
@@ -65,6 +65,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = pages.select("page_id", "url", html_extract.extract(F.col("html"), html_extract.fit(pages)).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     apart = language_id.held_out("doc_id", 3, 1)
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+        "op7_html_extraction": op7_html_extraction,
         "op8_language_id": op8_language_id,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_nearest_neighbours": op10_nearest_neighbours,
