@@ -26,9 +26,9 @@ from lexispark.llm.quality import _newton
 #: Pages that a model is fitted on, about; those of the smallest hashes.
 SAMPLE_PAGES = 400
 #: Weights of smoothness edges: blocks in a row, and neighbours under one parent.
-NEXT, SIBLING = 0.4, 0.8
+NEXT, SIBLING = 0.2, 0.3
 #: What an element or name says about all below it, in log-odds of content.
-PRIOR = {-1: -5.0, 0: 0.0, 1: 3.5}
+PRIOR = {-1: -6.0, 0: 0.0, 1: 5.0}
 
 # Element names of HTML and the roles and words that pages commonly name their parts by.
 _SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|head"
@@ -227,7 +227,7 @@ def label(found: list[tuple[str, str, int, int, float]], weights: np.ndarray) ->
     """Whether each block of a page is content."""
     if not found:
         return []
-    looks = np.clip(np.array([features(b) for b in found]) @ weights, -2, 2)
+    looks = np.clip(np.array([features(b) for b in found]) @ weights, -3, 3)
     odds = looks + np.array([PRIOR[b[2]] for b in found])
     # Costs of either label; their difference, log P / (1 - P), is what the terminal edges leave after the common part.
     p = 1 / (1 + np.exp(-odds))
