@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import decontaminate, html_extract, language_id, line_dedup, ngram_join, nn_graph, packing, quality, token_counts
+from lexispark.llm import decontaminate, html_extract, language_id, line_dedup, ngram_join, nn_graph, packing, quality, substring_dedup, token_counts
 from lexispark.llm.common import cut, table
 
 
@@ -24,6 +24,14 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find(docs, decontaminate.prepare(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.drop_boilerplate(docs).select("doc_id", "source", "n_lines", "n_dropped", "text")
@@ -89,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
