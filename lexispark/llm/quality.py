@@ -88,7 +88,8 @@ def rank_pairs(better: np.ndarray, worse: np.ndarray, pairs: int = PAIRS, seed:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", limit: int = LABELLED) -> Model:
     """``limit`` bounds the rows of each label that reach the driver."""
     known = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("_y"))
-    rows = bounded_sample(known, "_y", key, limit).join(docs.select(key, text), key)
+    # At most about 2 * limit rows of numbers, so the texts need not be shuffled to meet them.
+    rows = docs.select(key, text).join(F.broadcast(bounded_sample(known, "_y", key, limit)), key)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
