@@ -47,23 +47,10 @@ def stems(text: Column) -> Column:
     return run(text)
 
 
-def postings_of(text: Column, terms: list[str] | None = None) -> Column:
-    """array<struct<term, positions>> of one text, by term. A document is one row, so its postings need no grouping in Spark.
-
-    terms: keep these only, as a query that scans texts needs.
-    """
-    wanted = None if terms is None else frozenset(terms)
-
-    @F.pandas_udf("array<struct<term:string,positions:array<int>>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                at: dict[str, list[int]] = {}
-                for i, s in enumerate(stem_text(t)):
-                    if wanted is None or s in wanted:
-                        at.setdefault(s, []).append(i)
-                out.append([{"term": s, "positions": p} for s, p in sorted(at.items())])
-            yield pd.Series(out, dtype=object)
-
-    return run(text)
+def postings_of(text: str | None, wanted: frozenset[str] | None = None) -> dict[str, list[int]]:
+    """Positions of each term of a text, or of the wanted ones."""
+    at: dict[str, list[int]] = {}
+    for i, s in enumerate(stem_text(text)):
+        if wanted is None or s in wanted:
+            at.setdefault(s, []).append(i)
+    return at

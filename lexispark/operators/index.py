@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +37,26 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """(term, doc_id, positions, tf). A document's postings come from its one row, so nothing is shuffled."""
-    return docs.select("doc_id", F.explode(postings_of(F.col("text"), terms)).alias("p")).select(
-        "p.term", "doc_id", "p.positions", F.size("p.positions").alias("tf")
-    )
+    """(term, doc_id, positions, tf). A document's postings come from its one row, so nothing is shuffled.
+
+    terms: only these, as a query that scans texts needs.
+    """
+    wanted = None if terms is None else frozenset(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, ids, ends, places = [], [], [0], []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for term, at in postings_of(text, wanted).items():
+                    names.append(term)
+                    ids.append(doc_id)
+                    places += at
+                    ends.append(len(places))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ids, pa.int64()), lists], ["term", "doc_id", "positions"])
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "term string, doc_id long, positions array<int>")
+    return found.withColumn("tf", F.size("positions"))
 
 
 def dictionary(posts: DataFrame) -> DataFrame:
@@ -51,16 +69,20 @@ class Index:
     docs: DataFrame
     postings: DataFrame
     dictionary: DataFrame
+    #: Texts of an index that is not stored.
+    texts: DataFrame | None = None
 
     def lookup(self, terms: list[str]) -> DataFrame:
         """Postings of some terms; sorted files let Parquet skip row groups of other terms."""
+        if self.texts is not None:
+            return postings(self.texts, terms)
         return self.postings.where(F.col("term").isin(sorted(terms)))
 
 
 def build(docs: DataFrame) -> Index:
     """An index that is computed when it is read."""
     posts = postings(docs)
-    return Index(docs.select("doc_id", "url", "title"), posts, dictionary(posts))
+    return Index(docs.select("doc_id", "url", "title"), posts, dictionary(posts), docs.select("doc_id", "text"))
 
 
 def write(index: Index, path: str, mode: str = "overwrite") -> None:

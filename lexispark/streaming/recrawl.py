@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.functions.text import postings_of, stems
+from lexispark.functions.text import stems
+from lexispark.operators.index import postings
 from lexispark.operators.ingest import classify, touch, upsert
 
 
@@ -17,8 +18,8 @@ def stem_stream(texts: DataFrame) -> DataFrame:
 
 
 def postings_stream(texts: DataFrame) -> DataFrame:
-    """(term, doc_id, positions) of a stream of (doc_id, text)."""
-    return texts.select("doc_id", F.explode(postings_of(F.col("text"))).alias("p")).select("p.term", "doc_id", "p.positions")
+    """(term, doc_id, positions, tf) of a stream of (doc_id, text)."""
+    return postings(texts)
 
 
 def merge_batch(load: Callable[[], DataFrame], save: Callable[[DataFrame], None], now: Callable[[], int], fresh_seconds: int = 0) -> Callable[[DataFrame, int], None]:
