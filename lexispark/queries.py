@@ -176,7 +176,7 @@ def term_frequencies_top10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zipf_rank_curve(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.zipf(analysis.term_counts(_docs(spark, d))).withColumn("zipf", F.round("zipf", 6))
+    return analysis.zipf(analysis.term_counts(_docs(spark, d)))
 
 
 def docs_per_source(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +258,7 @@ def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     new, stored = _new_and_stored(spark, d)
-    return ingest.upsert(stored, new.where("url % 2 = 0")).select("url", "raw_sha256", "source", "fetched_at")
+    return ingest.upsert(stored, new.where("url % 2 = 0")).select("url", "raw_sha256", "source", F.coalesce("fetched_at", F.lit(0)).alias("fetched_at"))
 
 
 def touch_checked(spark: SparkSession, d: str) -> DataFrame:
@@ -351,7 +351,7 @@ SELECT query_id, hits, rank, r.doc_id, ' (' || {_URL} || ')' AS line FROM r JOIN
         "unique_term_stats": f"{t} SELECT count(DISTINCT term) AS n_terms, round(avg(strlen(term)), 6) AS avg_term_length FROM (SELECT DISTINCT term FROM terms)",
         "term_counts": f"{t}, {freq} SELECT * FROM counts",
         "term_frequencies_top10": f"{t}, {freq} SELECT * FROM counts ORDER BY freq DESC, term LIMIT 10",
-        "zipf_rank_curve": f"{t}, {freq} SELECT row_number() OVER (ORDER BY freq DESC, term) AS rank, term, freq, round((SELECT max(freq) FROM counts) / rank, 6) AS zipf FROM counts",
+        "zipf_rank_curve": f"{t}, {freq} SELECT row_number() OVER (ORDER BY freq DESC, term) AS rank, term, freq, (SELECT max(freq) FROM counts) / rank AS zipf FROM counts",
         "docs_per_source": "SELECT source, count(*) AS n_docs FROM documents GROUP BY source",
         "tokenizer_report": f"{t} SELECT count(*) AS n_tokens, round(avg(length(w)), 6) AS avg_token_length, count(DISTINCT w) AS n_unique FROM tok",
         "position_delta_encode": f"{t}, d AS (SELECT doc_id, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS delta FROM terms WHERE term = 'the') SELECT doc_id, string_agg(CAST(delta AS VARCHAR), ',' ORDER BY pos) AS deltas FROM d GROUP BY doc_id",
@@ -369,7 +369,7 @@ SELECT page_id, CAST(generate_subscripts(hs, 1) - 1 AS BIGINT) AS pos, lower(sit
         "content_sha256": "SELECT page_id, sha256(html) AS sha FROM pages",
         "freshness_classify": f"{_OLD} SELECT url, outcome FROM seen",
         "outcome_counts": f"{_OLD} SELECT outcome, count(*) AS n FROM seen GROUP BY outcome",
-        "upsert_merge": f"{_OLD} SELECT coalesce(n.url, s.url) AS url, coalesce(n.raw_sha256, s.raw_sha256) AS raw_sha256, coalesce(n.source, s.source) AS source, s.fetched_at FROM stored s FULL JOIN (SELECT * FROM new WHERE url % 2 = 0) n ON n.url = s.url",
+        "upsert_merge": f"{_OLD} SELECT coalesce(n.url, s.url) AS url, coalesce(n.raw_sha256, s.raw_sha256) AS raw_sha256, coalesce(n.source, s.source) AS source, coalesce(s.fetched_at, 0) AS fetched_at FROM stored s FULL JOIN (SELECT * FROM new WHERE url % 2 = 0) n ON n.url = s.url",
         "touch_checked": f"{_OLD} SELECT url, CAST(CASE WHEN outcome = 'unchanged' THEN {NOW} ELSE 0 END AS BIGINT) AS checked_at FROM stored JOIN seen USING (url)",
         "insert_if_absent": f"{_OLD} SELECT url, source FROM stored UNION ALL SELECT url, source FROM new WHERE url NOT IN (SELECT url FROM stored)",
         "source_quota": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 7",
