@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a Python worker remembers between tasks, by operator: how to forget it.
+_memories: dict[str, Callable[[], None]] = {}
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -42,6 +47,24 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files that nothing refers to any more, as its periodic collection would."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def buckets_for(total: int, per_bucket: int) -> int:
     """How many buckets keep each at about per_bucket of total."""
     return max(1, -(-int(total or 0) // per_bucket))
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """A worker that serves one operator after another must not hold the words of all of them; see forget_others."""
+    _memories[owner] = forget
+
+
+def forget_others(owner: str) -> None:
+    """At the start of an operator's task: free what the worker remembers for other operators."""
+    for name, forget in _memories.items():
+        if name != owner:
+            forget()

@@ -18,15 +18,14 @@ hundredths of a small table. EXPAND and SEARCH_ROUNDS are set for a recall of 0.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import buckets_for, cut
+from lexispark.llm.common import buckets_for, cut, release
 
 DEGREE = 28
 REVERSE = 20
@@ -63,12 +62,6 @@ def _whole(df: DataFrame, by: str, partitions: int, run: Callable[[pd.DataFrame]
     return df.repartition(partitions, by).mapInPandas(each, schema)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files of rounds that nothing refers to any more, as its periodic collection would."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _matrix(column: pd.Series | list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<f2").reshape(len(column), -1).astype(np.float32)
 
@@ -120,7 +113,6 @@ def _along(direction: np.ndarray) -> Callable[..., Column]:
 
 def build_graph(nodes: DataFrame, n: int, width: int, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
     """(u, w, s, r, worst): the ``degree`` best known links of each node with their ranks, and u's worst similarity. nodes: (id, x), x as 16-bit floats."""
-    spark = nodes.sparkSession
     merged = "u long, w long, s float, r int, worst float"
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,7 +160,7 @@ def build_graph(nodes: DataFrame, n: int, width: int, degree: int = DEGREE, reve
         known = nodes.join(worst, "id", "left").select(F.col("id").alias("m"), "x", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
         met = _whole(pairs.join(known, "m"), "v", buckets_for(n * (degree + reverse) * (2 * width + 40), TASK_BYTES), join_local, "u long, w long, s float")
         graph = cut(_whole(met.union(graph.select("u", "w", "s")), "u", buckets_for(n * degree * 80, TASK_BYTES), merge, merged), "graph")
-        _release(spark)
+        release(nodes.sparkSession)
     return graph
 
 
