@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import buckets_for
+from lexispark.llm.common import buckets_for, forget_others
 
 N = 3
 SPREAD = 4
@@ -217,6 +217,7 @@ def is_contaminated(text: Column, slices: list[Items], threshold: float = THRESH
 
     @F.pandas_udf("boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget_others("decontaminate")
         for texts in batches:
             yield pd.Series([any(matches(part, part.numbers(t), threshold) for part in slices) for t in texts], dtype=bool)
 

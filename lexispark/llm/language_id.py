@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.common import forget_others
+
 BITS = 12
 DIMENSIONS = 1 << BITS
 SAMPLE = 400
@@ -126,6 +128,7 @@ def predict(text: Column, model: Model, reject: float = REJECT) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget_others("language_id")
         for texts in batches:
             names, scores = [], []
             for start in range(0, len(texts), 500):

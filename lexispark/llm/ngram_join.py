@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import buckets_for, cut
+from lexispark.llm.common import buckets_for, cut, forget_others, remembers
 from lexispark.llm.components import connected_components
 
 N = 5
@@ -35,8 +35,9 @@ RECALL = 0.999
 CELL = 500_000
 _WORD = re.compile(r"\w+")
 #: Words whose hashes a Python worker remembers.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 400_000
 _hashes: dict[str, int] = {}
+remembers("ngram_join", _hashes.clear)
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 7) -> tuple[int, int]:
@@ -86,6 +87,7 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: i
     """(id, same, n_grams, keys) of each document; ``same`` is a digest of its whole n-gram set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_others("ngram_join")
         for batch in batches:
             same, count, keys = [], [], []
             for t in batch[text]:
@@ -182,6 +184,7 @@ def near_duplicates(
     placed = placed.join(docs.select(F.col(key).alias("id"), F.col(text).alias("_text")), "id")
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_others("ngram_join")
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "component": b["component"], "blocks": b["blocks"], "block": b["block"], "grams": [ngrams(t, n).tobytes() for t in b["_text"]]})
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import buckets_for
+from lexispark.llm.common import buckets_for, forget_others, remembers
 
 CAPACITY = 4096
 END_ID = 1
@@ -33,6 +33,7 @@ _CONTROLS = re.compile("[\x1c-\x1f]")
 #: Letters, then at most one run of ASCII marks; the apostrophe is left out, as it begins contractions.
 _LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _encoders: dict = {}
+remembers("packing", _encoders.clear)
 
 
 class WordEncoder:
@@ -122,6 +123,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_others("packing")
         encoder = word_encoder(path)
         for batch in batches:
             out = []
