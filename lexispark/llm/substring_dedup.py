@@ -27,11 +27,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import buckets_for, cut
+from lexispark.llm.common import buckets_for, cut, release
 
 LENGTH = 50
 GRAM = 20
 BUCKET_BYTES = 8_000_000
+#: Segments are sent and resolved in this many rounds, by anchor, so that a round's shuffle can go before the next.
+ROUNDS = 2
+#: Texts that a compression dictionary is made from, about, and its size. It keeps small blobs small, and changes no result.
+SAMPLE_TEXTS, DICTIONARY_BYTES = 300, 65_536
 CHUNK_BYTES = 2_000_000
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
@@ -65,6 +69,15 @@ def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def row_hashes(b: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """A mixed 64-bit hash of the k bytes from each place."""
+    h = np.zeros(len(at), dtype=np.uint64)
+    for j in range(k):
+        h = (h + b[at + j] + _U(1)) * _U(_BASE)
+        h ^= h >> _U(29)
+    return h
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     n = 1
     while n * 2 <= w:
@@ -91,29 +104,57 @@ def segments(b: np.ndarray, ends: np.ndarray, sizes: np.ndarray, length: int, k:
     return h[anchor[new]], start[new], last + length, anchor[new], doc[new]
 
 
-def send(docs: DataFrame, key: str, text: str, n_buckets: int, length: int, k: int) -> DataFrame:
-    """(bucket, blob): compressed segments of a chunk of documents, for each bucket."""
+def _planes(x: np.ndarray) -> bytes:
+    """Differences of integers, first bytes first: runs of equal bytes compress well."""
+    return np.diff(x, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplanes(raw: bytes, n: int, at: int) -> np.ndarray:
+    columns = np.frombuffer(raw, dtype=np.uint8, count=8 * n, offset=at).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(columns.T).view("<i8").ravel())
+
+
+def dictionary(docs: DataFrame, text: str, n_docs: int) -> bytes:
+    """What frequent strings of the texts are, for compression; empty where the sample is too small for one."""
+    place = (F.xxhash64(F.col(text)).cast("double") + 2.0**63) / 2.0**64
+    some = (place < F.lit(SAMPLE_TEXTS / max(1, n_docs))) & (F.octet_length(text) <= 100_000)
+    rows = docs.where(some).select(F.col(text).alias("t")).limit(4 * SAMPLE_TEXTS).collect()
+    samples = [r["t"][i : i + 400].encode("utf-8", "replace") for r in rows for i in range(0, len(r["t"]), 400)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _codec(words: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
+
+
+def send(docs: DataFrame, key: str, text: str, n_buckets: int, length: int, k: int, words: bytes = b"", round_: int = 0, rounds: int = 1) -> DataFrame:
+    """(bucket, blob): compressed segments of a chunk of documents, for each bucket of a round."""
 
     def chunk(ids: list[int], texts: list[bytes], pack: zstandard.ZstdCompressor) -> pd.DataFrame:
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes)
         b = np.frombuffer(b"".join(texts), dtype=np.uint8)
         h, first, end, anchor, doc = segments(b, ends, sizes, length, k)
+        own = np.flatnonzero((h >> _U(8)) % _U(rounds) == _U(round_))
+        h, first, end, anchor, doc = h[own], first[own], end[own], anchor[own], doc[own]
         bucket = ((h >> _U(20)) % _U(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         bucket, first, end, anchor, doc = bucket[order], first[order], end[order], anchor[order], doc[order]
         at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, dtype=int)
-        starts, names = ends - sizes, np.array(ids, dtype="<i8")
+        starts, names = ends - sizes, np.array(ids, dtype=np.int64)
         blobs = []
         for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             f, n, d = first[a:z], end[a:z] - first[a:z], doc[a:z]
             body = b[np.repeat(f - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-            head = (np.array([z - a], dtype="<i8"), names[d], (f - starts[d]).astype("<i8"), n.astype("<u2"), (anchor[a:z] - f).astype("<u2"))
-            blobs.append(pack.compress(b"".join(x.tobytes() for x in (*head, body))))
+            head = (names[d], f - starts[d], n, anchor[a:z] - f)
+            blobs.append(pack.compress(b"".join((np.array([z - a], dtype="<i8").tobytes(), *map(_planes, head), body.tobytes()))))
         return pd.DataFrame({"bucket": bucket[at[:-1]] if len(bucket) else [], "blob": blobs})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=1, **_codec(words))
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, t in zip(batch[key], batch[text], strict=True):
@@ -233,23 +274,18 @@ def _shared(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
-def resolve(blobs: list[bytes], length: int, k: int) -> pd.DataFrame:
+def resolve(blobs: list[bytes], length: int, k: int, words: bytes = b"") -> pd.DataFrame:
     """(id, first, end): runs of bytes to remove that the segments of one bucket show."""
     empty = pd.DataFrame({"id": np.zeros(0, dtype="int64"), "first": np.zeros(0, dtype="int64"), "end": np.zeros(0, dtype="int64")})
-    unpack = zstandard.ZstdDecompressor()
+    unpack = zstandard.ZstdDecompressor(**_codec(words))
     parts = []
     for blob in blobs:
         raw = unpack.decompress(blob)
         n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
-        at, cols = 8, []
-        for kind, wide in (("<i8", 8), ("<i8", 8), ("<u2", 2), ("<u2", 2)):
-            cols.append(np.frombuffer(raw, dtype=kind, count=n, offset=at).astype(np.int64))
-            at += wide * n
-        parts.append((*cols, np.frombuffer(raw, dtype=np.uint8, offset=at)))
+        parts.append((*(_unplanes(raw, n, 8 + 8 * n * c) for c in range(4)), np.frombuffer(raw, dtype=np.uint8, offset=8 + 32 * n)))
     doc, pos, size, anchor, contents = (np.concatenate(c) for c in zip(*parts, strict=True))
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
-    # Hashes of anchors, and of whole segments by two lanes of the same rolling hash over padded rows.
-    grams = gram_hashes(contents, k)[start + anchor]
+    grams = row_hashes(contents, start + anchor, k)
     order = np.argsort(grams, kind="stable")
     group = np.empty(len(order), dtype=np.int64)
     group[order] = np.cumsum(np.concatenate(([0], grams[order][1:] != grams[order][:-1])))
@@ -262,8 +298,8 @@ def resolve(blobs: list[bytes], length: int, k: int) -> pd.DataFrame:
         return empty
     doc, pos, size, anchor, start, group = doc[many], pos[many], size[many], anchor[many], start[many], group[many]
     # Equal segments of one anchor: the first and the last window, where they are, and the size tell a segment.
-    wide = gram_hashes(contents, length)
-    mark = wide[start] * _U(0x9E3779B97F4A7C15) + (wide[start + size - length] ^ (size.astype(np.uint64) * _U(0xFF51AFD7ED558CCD))) * _U(3) + anchor.astype(np.uint64)
+    mark = row_hashes(contents, start, length) * _U(0x9E3779B97F4A7C15) + row_hashes(contents, start + size - length, length)
+    mark ^= size.astype(np.uint64) * _U(0xFF51AFD7ED558CCD) + anchor.astype(np.uint64)
     order = np.lexsort((doc, mark, group))
     mark, group, doc, pos, size, anchor, start = (x[order] for x in (mark, group, doc, pos, size, anchor, start))
     new = np.concatenate(([True], (group[1:] != group[:-1]) | (mark[1:] != mark[:-1])))
@@ -306,15 +342,25 @@ def resolve(blobs: list[bytes], length: int, k: int) -> pd.DataFrame:
     return pd.DataFrame({"id": np.concatenate(ids), "first": np.concatenate(firsts), "end": np.concatenate(ends)})
 
 
-def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = GRAM, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def covered(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = GRAM, bucket_bytes: int = BUCKET_BYTES, rounds: int = ROUNDS
+) -> DataFrame:
     """(id, first, end): byte runs of documents that a string of ``length`` bytes of an earlier document covers; they may overlap."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0]
-    sent = send(docs, key, text, buckets_for(total, bucket_bytes), length, k)
+    n_docs, total = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    n_buckets = buckets_for(buckets_for(total, bucket_bytes), rounds)
+    words = dictionary(docs, text, n_docs)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        return resolve(group["blob"].tolist(), length, k)
-
-    return sent.groupBy("bucket").applyInPandas(run, "id long, first long, end long")
+        return resolve(group["blob"].tolist(), length, k, words)
+
+    out = None
+    for r in range(rounds):
+        sent = send(docs, key, text, n_buckets, length, k, words, r, rounds)
+        runs = cut(sent.groupBy("bucket").applyInPandas(run, "id long, first long, end long"), "runs")
+        del sent
+        release(docs.sparkSession)
+        out = runs if out is None else out.union(runs)
+    return out
 
 
 def remove(raw: bytes, firsts: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
@@ -332,7 +378,7 @@ def remove(raw: bytes, firsts: np.ndarray, ends: np.ndarray) -> tuple[bytes, lis
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = GRAM, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): the remaining bytes of each document, and the byte runs that went."""
-    runs = cut(covered(docs, key, text, length, k, bucket_bytes), "runs")
+    runs = covered(docs, key, text, length, k, bucket_bytes)
     by_doc = runs.groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(by_doc, F.col("doc_id") == F.col("id"), "left")
 
