@@ -16,7 +16,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     length = token_counts.encoded_length(F.col("text"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    return token_counts.suffix_sums(token_counts.length_histogram(docs, length))
+    # Written once, as both levels of the suffix sums read it; else every text would be encoded twice.
+    return token_counts.suffix_sums(cut(token_counts.length_histogram(docs, length), "lengths"))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
