@@ -27,7 +27,7 @@ END_ID = 1
 #: Pieces in one group on average. A group leaves a bin or two that are not full.
 GROUP_PIECES = 8192
 #: Words that a Python worker remembers; beyond it, the memory starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_100_000
 _CHUNK = re.compile(r"[^ \n\t\r]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
 #: Letters, then at most one run of ASCII marks; the apostrophe is left out, as it begins contractions.
@@ -48,7 +48,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen, self.words = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -62,22 +62,22 @@ class WordEncoder:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
-            self.words.update((w, self._ids(w)) for w in words)
+            self.seen.update((w, self._ids(w)) for w in words)
             return
         data, start = ids.tobytes(), 0
         for w, stop in zip(words, (4 * stops).tolist(), strict=True):
-            self.words[w] = data[start:stop]
+            self.seen[w] = data[start:stop]
             start = stop
 
     def _learn(self, chunks: set[str]) -> None:
-        words, seen, marks, match = self.words, self.seen, self.marks, _LATIN.fullmatch
+        seen, marks, match = self.seen, self.marks, _LATIN.fullmatch
         plain, new = [], set()
         for c in chunks:
             if m := match(c):
                 word, mark = m.groups()
                 word = word.lower()
                 plain.append((c, word, mark))
-                if word not in words:
+                if word not in seen:
                     new.add(word)
                 if mark not in marks:
                     marks[mark] = self._ids(mark)
@@ -86,12 +86,12 @@ class WordEncoder:
         if new:
             self._learn_words(list(new))
         for c, word, mark in plain:
-            seen[c] = words[word] + marks[mark]
+            seen[c] = seen[word] + marks[mark]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.seen) + len(self.words) > CACHE_WORDS:
-            self.seen, self.words, self.marks = {}, {}, {}
+        if len(self.seen) > CACHE_WORDS:
+            self.seen, self.marks = {}, {}
         # str.split() also takes four control characters for white space, which the tokenizer does not.
         runs = [((_CHUNK.findall(t) if _CONTROLS.search(t) else t.split()) if t else []) for t in texts]
         missing = set().union(*runs).difference(self.seen)
