@@ -1,5 +1,6 @@
 """Language ID, quality, HTML extraction and the pipeline: held-out accuracy and hand-made cases."""
 
+import collections
 import itertools
 import random
 
@@ -128,6 +129,25 @@ def test_pipeline(spark, sf):
     assert len({r.doc_id for r in packed}) == sizes[3] and max(r.offset + r.length for r in packed) <= packing.CAPACITY
 
 
+def test_pipeline_drops_site_lines(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = common.table(spark, sf, "documents")
+    before = {r.doc_id: (r.source, r.text) for r in docs.collect()}
+    pages, on = collections.Counter(s for s, _ in before.values()), collections.Counter()
+    for s, t in before.values():
+        on.update((s, line) for line in set((t or "").split("\n")) if line.strip())
+    most = {s: max((n, line) for (x, line), n in on.items() if x == s)[1] for s in pages}
+    gone = collections.Counter()
+    for r in corpus_pipeline.drop_boilerplate_lines(spark, docs, sf).collect():
+        s, t = before[r.doc_id]
+        # The site line of the source goes, all else stays, in its order.
+        assert (r.text or "").split("\n") == [x for x in (t or "").split("\n") if x != most[s]] or (r.text == "" and t == most[s])
+        gone[s] += most[s] in (t or "").split("\n")
+    assert len(gone) == 20 and all(0.08 * pages[s] < n < 0.14 * pages[s] for s, n in gone.items())
+    few = spark.createDataFrame([(i, "copy\nof prose" if i < 3 else f"own {i}", "s", 0) for i in range(10)], "doc_id long, text string, source string, n_chars long")
+    assert corpus_pipeline.drop_boilerplate_lines(spark, few, sf).where("text = 'copy\\nof prose'").count() == 3
+
+
 def test_pipeline_on_edge_rows(spark, tmp_path):
     base = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{base}/documents.parquet").limit(30)
