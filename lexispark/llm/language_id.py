@@ -1,16 +1,19 @@
 """Language ID by the nearest of several clustered centroids of each language, over TF-IDF vectors of hashed byte trigrams.
 
 Document frequencies come from all training rows. Centroids are fitted on a bounded sample: SAMPLE rows of each language, by
-smallest hash. Prediction is one pass over the table without a shuffle; each text becomes a vector of DIMENSIONS floats.
+smallest hash. Parts of the same rows, of one word to the whole, give the cosines that own texts of each length reach: a text is
+rejected below LOW_SHARE of their LOW_QUANTILE, for its language and its number of distinct trigrams, as short texts score low
+by nature. That does not depend on the table's size. Prediction is one pass over the table without a shuffle; each text becomes a vector of DIMENSIONS floats.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and not accepted; a text whose best cosine is
-below ``reject`` keeps its nearest language but is not accepted; a null training language is no label; repeated rows each
+below the rejection cosine keeps its nearest language but is not accepted; a null training language is no label; repeated rows each
 count; ties go to the language that sorts first; with no training rows every text is ``und``. Whole texts are used.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import forget_others
+from lexispark.llm.common import cut, forget_others
 
 BITS = 12
 DIMENSIONS = 1 << BITS
@@ -27,8 +30,13 @@ SAMPLE = 400
 CENTROIDS = 3
 #: A cluster with less of its language's sample than this is no centroid: a few wrong labels must not found one.
 LEAST_SHARE = 0.1
-#: Cosine below which a text is too far from every centroid.
-REJECT = 0.02
+#: What part of which quantile of own texts' cosines is the least that is accepted.
+LOW_QUANTILE = 0.01
+LOW_SHARE = 0.6
+#: Bands of distinct trigrams, by powers of two.
+BANDS = BITS + 1
+#: Parts of a training row of each number of words.
+PARTS = 3
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of ASCII that are no letters become one separator.
@@ -42,6 +50,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # rows of length 1
     owner: np.ndarray  # index into languages for each row
+    reject: np.ndarray  # least cosine accepted, by language and band
 
 
 def counts(text: str | None) -> np.ndarray:
@@ -99,19 +108,43 @@ def spherical_clusters(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -
     return centres, np.bincount((x @ centres.T).argmax(axis=1), minlength=len(centres)) / len(x)
 
 
+def bands(x: np.ndarray) -> np.ndarray:
+    """The band of each vector: the power of two of its number of distinct trigrams."""
+    return np.log2(np.maximum(1, np.count_nonzero(x, axis=1))).astype(int)
+
+
+def parts(text: str) -> list[str]:
+    """The text, and runs of 1, 2, 4, ... of its words from places that depend on the text only."""
+    words = text.split()
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))
+    out, n = [text], 1
+    while n < len(words):
+        out += [" ".join(words[a : a + n]) for a in rng.integers(len(words) - n + 1, size=PARTS)]
+        n *= 2
+    return [t for t in out if _LETTER.search(t)]
+
+
+def rejection(found: pd.DataFrame, n_languages: int) -> np.ndarray:
+    """Least cosine by language and band; a band without parts takes that of the next shorter one, else of the next longer."""
+    out = np.full((n_languages, BANDS), np.nan)
+    for (i, band), cosines in found.groupby(["language", "band"])["cosine"]:
+        out[i, band] = LOW_SHARE * np.quantile(cosines, LOW_QUANTILE)
+    return pd.DataFrame(out.T).ffill().bfill().fillna(0.0).to_numpy().T
+
+
 def fit(training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     """Centroids of each language from labelled rows. ``sample`` bounds the rows of a language that reach the driver."""
     rows = training.select(key, text, lang).where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     df, n = document_frequencies(rows, text)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    chosen = bounded_sample(rows, lang, key, sample)
+    chosen = cut(bounded_sample(rows, lang, key, sample).select(text, F.col(lang).cast("string").alias("_lang"), "_place"), "languages")  # read twice
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = vectors(batch[text].tolist(), idf) if len(batch) else np.zeros((0, DIMENSIONS))
-            yield pd.DataFrame({"lang": batch[lang], "place": batch["_place"], "v": [r.astype("<f2").tobytes() for r in x]})
+            yield pd.DataFrame({"lang": batch["_lang"], "place": batch["_place"], "v": [r.astype("<f2").tobytes() for r in x]})
 
-    got = chosen.select(text, lang, "_place").mapInPandas(encode, "lang string, place double, v binary").toPandas()
+    got = chosen.mapInPandas(encode, "lang string, place double, v binary").toPandas()
     languages, centres, owner = sorted(got["lang"].unique()), [], []
     for i, name in enumerate(languages):
         own = got[got["lang"] == name].sort_values("place").head(sample)
@@ -120,30 +153,47 @@ def fit(training: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         keep = share >= min(LEAST_SHARE, share.max())
         centres.append(c[keep])
         owner += [i] * int(keep.sum())
-    return Model(languages, idf, np.concatenate(centres) if centres else np.zeros((0, DIMENSIONS), dtype=np.float32), np.array(owner, dtype=int))
+    if not languages:
+        return Model([], idf, np.zeros((0, DIMENSIONS), dtype=np.float32), np.array([], dtype=int), np.zeros((0, BANDS)))
+    of = {name: (i, centres[i]) for i, name in enumerate(languages)}
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t, name in zip(batch[text], batch["_lang"], strict=True):
+                i, own = of[name]
+                x = vectors(parts(t), idf)
+                yield pd.DataFrame({"language": i, "band": bands(x), "cosine": (x @ own.T).max(axis=1).astype(float)})
+
+    # Some dozens of numbers for each sampled row.
+    cosines = chosen.mapInPandas(measure, "language int, band int, cosine double").toPandas()
+    return Model(languages, idf, np.concatenate(centres), np.array(owner, dtype=int), rejection(cosines, len(languages)))
 
 
-def predict(text: Column, model: Model, reject: float = REJECT) -> Column:
-    """struct(lang_pred, score, accepted) of a whole text. score is the cosine to the nearest centroid, in 0 to 1."""
+def predict(text: Column, model: Model, reject: float | None = None) -> Column:
+    """struct(lang_pred, score, accepted) of a whole text. score is the cosine to the nearest centroid, in 0 to 1; ``reject``
+    is the least accepted, by default the model's for the language and the text's length."""
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         forget_others("language_id")
         for texts in batches:
-            names, scores = [], []
+            names, scores, least = [], [], []
             for start in range(0, len(texts), 500):
                 part = texts.iloc[start : start + 500].tolist()
                 known = [bool(t) and _LETTER.search(t) is not None for t in part]
                 if not len(model.owner):
                     known = [False] * len(part)
-                    best, lang = np.zeros(len(part)), [UNKNOWN] * len(part)
+                    best, lang, low = np.zeros(len(part)), [UNKNOWN] * len(part), np.zeros(len(part))
                 else:
-                    cos = vectors(part, model.idf) @ model.centroids.T
+                    x = vectors(part, model.idf)
+                    cos = x @ model.centroids.T
                     at = cos.argmax(axis=1)
                     best, lang = cos[np.arange(len(part)), at], [model.languages[model.owner[a]] for a in at]
+                    low = model.reject[model.owner[at], bands(x)]
                 names += [name if ok else UNKNOWN for name, ok in zip(lang, known, strict=True)]
+                least += low.tolist() if reject is None else [reject] * len(part)
                 scores += [min(1.0, max(0.0, float(s))) if ok else 0.0 for s, ok in zip(best, known, strict=True)]
-            yield pd.DataFrame({"lang_pred": names, "score": scores, "accepted": [n != UNKNOWN and s >= reject for n, s in zip(names, scores, strict=True)]})
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "accepted": [n != UNKNOWN and s >= r for n, s, r in zip(names, scores, least, strict=True)]})
 
     return nearest(text)
 

@@ -1,5 +1,6 @@
 """Language ID, quality, HTML extraction and the pipeline: held-out accuracy and hand-made cases."""
 
+import base64
 import collections
 import itertools
 import random
@@ -36,6 +37,26 @@ def test_language_edges(spark):
     assert asked.select(language_id.predict(F.col("text"), nothing).alias("p")).where("p.lang_pred <> 'und'").count() == 0
 
 
+def test_language_rejection(spark):
+    rng = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.fit(docs)
+    noise = lambda n, letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    foreign = ["Быстрая коричневая лиса прыгает через ленивую собаку и бежит домой вечером. " * 5, "这是一个用中文写的句子,用来测试语言识别。" * 9, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 4]
+    foreign += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 4]
+    foreign += [noise(n, "abcdefghijklmnopqrstuvwxyz") for n in (20, 100, 500, 3000)] + [base64.b64encode(rng.randbytes(3000)).decode()]
+    # Clean texts: prose lines of the table of one to some hundred words.
+    lines = [x for r in docs.orderBy("doc_id").limit(600).collect() for x in (r.text or "").split("\n") if x.replace(" ", "").replace(".", "").replace(",", "").isalpha()]
+    own = [x for t in lines for x in (t, " ".join(t.split()[:12]), " ".join(t.split()[:4]))]
+    asked = spark.createDataFrame([(0, t) for t in foreign] + [(1, t) for t in own], "own int, text string")
+    got = asked.select("own", language_id.predict(F.col("text"), model).alias("p")).select("own", "p.accepted").collect()
+    assert not any(r.accepted for r in got if not r.own)
+    kept = [r.accepted for r in got if r.own]
+    assert len(kept) > 1000 and np.mean(kept) > 0.995
+    whole = docs.select(language_id.predict(F.col("text"), model).alias("p")).where("p.accepted").count()
+    assert whole >= 0.99 * docs.count()
+
+
 def test_quality_query(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
