@@ -1,33 +1,35 @@
-"""Benchmark decontamination: rare n-grams of test items are seeds, Smith-Waterman alignment scores what they hit.
+"""Benchmark decontamination: Smith-Waterman alignment of test items with every passage that can reach the threshold.
 
-One pass over the corpus counts, for each n-gram of an item, the documents that hold it. In every run of SPREAD neighbouring
-n-grams of an item the rarest is a seed, so a copy that keeps n + SPREAD - 1 words in a row is always hit. A second pass aligns
-the words around each hit with the item, inside the task that reads the document: the corpus is never shuffled.
+An alignment of M matched words in r unbroken runs scores at most 2 M - (r - 1), which is M + B + 1 for B = M - r pairs of
+neighbouring words in common. So a document, and then a window as long as an alignment can be, is left out for an item only if
+its words and pairs in common with the item cannot add up to the threshold. That is exact: no seed has to survive the editing.
+The windows left are aligned inside the task that reads the document: the corpus is never shuffled, and read once.
 
 Items reach the tasks as one table of words. Its size is checked: more than ITEM_WORDS words are dealt to slices of items by a
-hash, each with passes of its own, so that no task holds more.
+hash, each with a pass of its own, so that neither a task nor the driver holds more at a time.
 
 Defined results: words are runs of word characters of the lower-cased text; null or empty documents and items without a word
-match nothing; an item of fewer than n words is one seed of all its words; repeated items and repeated documents each give
+match nothing; an item of fewer than n words has to occur whole; repeated items and repeated documents each give
 rows; of several passages of a document the best counts, the first on a tie; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import buckets_for, forget_others
+from lexispark.llm.common import buckets_for, cut, forget_others
 
+#: Items of fewer words have to occur whole.
 N = 3
-SPREAD = 4
+#: The bounds of matches() and windows() rest on these.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Part of an item's perfect alignment score from which a passage is a copy.
 THRESHOLD = 0.55
@@ -39,17 +41,44 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
+
+
+@dataclass
+class Postings:
+    """How often each item holds each key, by key."""
+
+    start: np.ndarray
+    item: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, items: np.ndarray, n_keys: int) -> Postings:
+        n_items = int(items.max()) + 1 if len(items) else 1
+        both, count = np.unique(keys * n_items + items, return_counts=True)
+        return cls(np.searchsorted(both // n_items, np.arange(n_keys + 1)), both % n_items, count)
+
+    def in_common(self, found: np.ndarray, n_items: int) -> np.ndarray:
+        """For each item, how many of its keys are among those found, each as often as both hold it at most."""
+        keys, have = np.unique(found[found >= 0], return_counts=True)
+        first, size = self.start[keys], self.start[keys + 1] - self.start[keys]
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.item[at], weights=np.minimum(self.count[at], np.repeat(have, size)), minlength=n_items)
+
+
 @dataclass
 class Items:
-    """A slice of the items: their words as numbers, and where their n-grams are."""
+    """A slice of the items: their words as numbers, and which items hold each word and each pair of neighbouring words."""
 
     ids: list[int]
     words: list[np.ndarray]
     number: dict[str, int]
     n: int
-    #: For each length of n-grams: sorted codes, and (item, position) of each code.
-    codes: dict[int, np.ndarray] = field(default_factory=dict)
-    places: dict[int, list[list[tuple[int, int]]]] = field(default_factory=dict)
+    sizes: np.ndarray
+    pairs: np.ndarray  # sorted codes
+    word_items: Postings
+    pair_items: Postings
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]], n: int) -> Items:
@@ -59,60 +88,33 @@ class Items:
             if w := words_of(text):
                 ids.append(i)
                 words.append(np.array([number.setdefault(x, len(number)) for x in w], dtype=np.int64))
-        out = cls(ids, words, number, n)
-        at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, w in enumerate(words):
-            length = min(n, len(w))
-            for p, c in enumerate(out.grams(w, length).tolist()):
-                at[length][c].append((k, p))
-        for length, found in at.items():
-            out.codes[length] = np.array(sorted(found), dtype=np.int64)
-            out.places[length] = [found[c] for c in sorted(found)]
-        return out
-
-    def grams(self, w: np.ndarray, length: int) -> np.ndarray:
-        out = w[: len(w) - length + 1].copy()
-        for k in range(1, length):
-            out = out * (len(self.number) + 1) + w[k : len(w) - length + 1 + k]
-        return out
+        of = [np.full(len(w), k, dtype=np.int64) for k, w in enumerate(words)]
+        codes = [w[:-1] * len(number) + w[1:] for w in words]
+        pairs, place = np.unique(_joined(codes), return_inverse=True)
+        word_items = Postings.of(_joined(words), _joined(of), len(number))
+        pair_items = Postings.of(place, _joined([k[:-1] for k in of]), len(pairs))
+        return cls(ids, words, number, n, np.array([len(w) for w in words], dtype=np.int64), pairs, word_items, pair_items)
 
     def numbers(self, text: str | None) -> np.ndarray:
         """Numbers of a document's words; -1 for words of no item."""
         get = self.number.get
         return np.array([get(w, -1) for w in words_of(text)], dtype=np.int64)
 
-    def hits(self, w: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in w, and indexes into codes, of the n-grams of this length that items hold."""
-        if len(w) < length or length not in self.codes:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        known = w >= 0
-        ok = known[: len(w) - length + 1].copy()
-        for k in range(1, length):
-            ok &= known[k : len(w) - length + 1 + k]
-        at = np.flatnonzero(ok)
-        g = w[at]
-        for k in range(1, length):
-            g = g * (len(self.number) + 1) + w[at + k]
-        codes = self.codes[length]
-        i = np.minimum(np.searchsorted(codes, g), len(codes) - 1)
-        hit = codes[i] == g
-        return at[hit], i[hit]
-
-    def keep_rarest(self, frequency: dict[int, np.ndarray], spread: int) -> Items:
-        """These items with only seeds left among their n-grams."""
-        out = Items(self.ids, self.words, self.number, self.n)
-        chosen: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for k, w in enumerate(self.words):
-            length = min(self.n, len(w))
-            f = frequency[length][np.searchsorted(self.codes[length], self.grams(w, length))]
-            for start in range(max(1, len(f) - spread + 1)):
-                chosen[length].add((k, start + int(f[start : start + spread].argmin())))
-        for length, codes in self.codes.items():
-            kept = [[x for x in p if x in chosen[length]] for p in self.places[length]]
-            some = np.array([bool(p) for p in kept], dtype=bool)
-            out.codes[length], out.places[length] = codes[some], [p for p in kept if p]
+    def pairs_of(self, w: np.ndarray) -> np.ndarray:
+        """For each word but the last, the index of its pair with the next word; -1 for pairs of no item."""
+        out = np.full(max(0, len(w) - 1), -1, dtype=np.int64)
+        if len(self.pairs):
+            at = np.flatnonzero((w[:-1] >= 0) & (w[1:] >= 0))
+            g = w[at] * len(self.number) + w[at + 1]
+            i = np.minimum(np.searchsorted(self.pairs, g), len(self.pairs) - 1)
+            hit = self.pairs[i] == g
+            out[at[hit]] = i[hit]
         return out
 
+    def least(self, threshold: float) -> np.ndarray:
+        """The score that a passage needs, for each item."""
+        return MATCH * self.sizes * np.where(self.sizes < self.n, 1.0, threshold)
+
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Best Smith-Waterman score of the item in the passage, and where the alignment ends (exclusive)."""
@@ -130,90 +132,109 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def windows(mine: np.ndarray, pairs: np.ndarray, m: int, need: float) -> list[tuple[int, int]]:
+    """Stretches of a document that hold every alignment of the needed score. ``mine`` and ``pairs`` are the places of words and
+    of pairs of the item."""
+    # Each word that the passage has more than the item costs a gap, so it has no more than these.
+    length = m + int(MATCH * m - need)
+    n = len(mine)
+    end = np.minimum(np.arange(n) + length, n)
+    total = np.concatenate(([0], np.cumsum(mine)))
+    words = np.minimum(total[end] - total[:-1], m)
+    total = np.concatenate(([0], np.cumsum(pairs), [0]))
+    total[-1] = total[-2]
+    both = np.minimum(total[np.maximum(end - 1, np.arange(n))] - total[:n], m - 1)
+    # An alignment begins with a word in common.
+    starts = np.flatnonzero(mine & (words + both + 1 >= need) & (MATCH * words >= need))
+    if not len(starts):
+        return []
+    apart = np.flatnonzero(np.diff(starts) > length)
+    return [(int(a), int(min(n, z + length))) for a, z in zip(starts[np.append(0, apart + 1)], starts[np.append(apart, len(starts) - 1)], strict=True)]
+
+
 def matches(items: Items, w: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
     """(item index, score, first word, end) of the best passage of w for each item at or above the threshold."""
-    found: dict[int, list[int]] = defaultdict(list)
-    for length in items.codes:
-        for p, c in zip(*(x.tolist() for x in items.hits(w, length)), strict=True):
-            for k, q in items.places[length][c]:
-                found[k].append(p - q)
+    if not len(items.ids) or not (w >= 0).any():
+        return []
+    needs = items.least(threshold)
+    words = items.word_items.in_common(w, len(items.ids))
+    may = MATCH * words >= needs
+    if not may.any():
+        return []
+    pairs = items.pairs_of(w)
+    may &= words + items.pair_items.in_common(pairs, len(items.ids)) + 1 >= needs
     out = []
-    for k, starts in found.items():
-        item = items.words[k]
+    for k in np.flatnonzero(may).tolist():
+        item, need = items.words[k], needs[k]
         m, best = len(item), (0.0, 0, 0)
-        slack = m // 2 + 2
-        starts.sort()
-        group = [starts[0], starts[0]]
-        spans = []
-        for s in starts[1:]:
-            if s - group[1] > slack:
-                spans.append(group)
-                group = [s, s]
-            group[1] = s
-        spans.append(group)
-        need = np.bincount(item, minlength=len(items.number))
-        for lo, hi in spans:
-            a, b = max(0, lo - slack), min(len(w), hi + m + slack)
-            passage = w[a:b]
-            # No alignment scores more than its matches, and those are no more than the words in common.
-            have = np.bincount(passage[passage >= 0], minlength=len(need))
-            if MATCH * int(np.minimum(need, have).sum()) < threshold * MATCH * m:
-                continue
-            score, end = align(item, passage)
-            if score >= threshold * MATCH * m and score / (MATCH * m) > best[0]:
-                back, length = align(item[::-1], passage[:end][::-1])
+        own = np.zeros(len(items.number) + 1, dtype=bool)  # the last is for words of no item
+        own[item] = True
+        own_pairs = np.zeros(len(items.pairs) + 1, dtype=bool)
+        own_pairs[items.pairs_of(item)] = True
+        own_pairs[-1] = False
+        for a, b in windows(own[w], own_pairs[pairs], m, need):
+            score, end = align(item, w[a:b])
+            if score >= need and score / (MATCH * m) > best[0]:
+                back, length = align(item[::-1], w[a : a + end][::-1])
                 best = (score / (MATCH * m), a + end - length, a + end)
         if best[0]:
             out.append((k, *best))
     return out
 
 
-def prepare(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", n: int = N, spread: int = SPREAD, item_words: int = ITEM_WORDS) -> list[Items]:
-    """Seeds of all items, in slices of at most about item_words words; one pass over docs for each slice."""
+class Slices(Sequence):
+    """The items in slices of about item_words words, each read when it is asked for."""
+
+    def __init__(self, items: DataFrame, key: str, text: str, n: int, count: int):
+        self.items, self.key, self.text, self.n, self.count = items, key, text, n, count
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, s: int) -> Items:
+        if not 0 <= s < self.count:
+            raise IndexError(s)
+        own = self.items.where(F.pmod(F.xxhash64(self.key), F.lit(self.count)) == s).select(self.key, self.text)
+        return Items.of([(r[0], r[1]) for r in own.orderBy(self.key, self.text).collect()], self.n)  # about item_words words at most
+
+
+def prepare(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", n: int = N, item_words: int = ITEM_WORDS) -> Slices:
+    """All items, in slices of at most about item_words words. No frequencies of docs are needed."""
     size = items.agg(F.sum(F.size(F.split(text, r"\s+")))).first()[0]
-    n_slices = buckets_for(size, item_words)
-    slices = []
-    for s in range(n_slices):
-        own = items.where(F.pmod(F.xxhash64(key), F.lit(n_slices)) == s).select(key, text)
-        slices.append(Items.of([(r[0], r[1]) for r in own.orderBy(key, text).collect()], n))  # about item_words words at most
-    out = []
-    for part in slices:
+    return Slices(items, key, text, n, buckets_for(size, item_words))
+
+
+def find(docs: DataFrame, slices: Sequence[Items], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, score, first_word, end_word): passages that copy an item, edited or not. One pass for each slice."""
 
-        def count(batches: Iterator[pd.DataFrame], part: Items = part) -> Iterator[pd.DataFrame]:
-            df = {length: np.zeros(len(c), dtype=np.int64) for length, c in part.codes.items()}
+    def passages(part: Items) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for t in b["_text"]:
-                    w = part.numbers(t)
-                    for length in df:
-                        df[length][np.unique(part.hits(w, length)[1])] += 1
-            for length, f in df.items():
-                at = np.flatnonzero(f)
-                yield pd.DataFrame({"length": np.full(len(at), length), "gram": at, "df": f[at]})
-
-        rows = docs.select(F.col("text").alias("_text")).mapInPandas(count, "length int, gram int, df long").groupBy("length", "gram").agg(F.sum("df").alias("df")).collect()
-        frequency = {length: np.zeros(len(c), dtype=np.int64) for length, c in part.codes.items()}
-        for r in rows:  # n-grams of one slice of items
-            frequency[r["length"]][r["gram"]] = r["df"]
-        out.append(part.keep_rarest(frequency, spread))
-    return out
+                out = []
+                for i, t in zip(b[key], b[text], strict=True):
+                    out += [(i, part.ids[k], s, a, z) for k, s, a, z in matches(part, part.numbers(t), threshold)]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "first_word", "end_word"])
 
+        return docs.select(key, text).mapInPandas(run, "doc_id long, item_id long, score double, first_word long, end_word long")
 
-def find(docs: DataFrame, slices: list[Items], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, first_word, end_word): passages that copy an item, edited or not."""
+    if len(slices) == 1:
+        return passages(slices[0])
+    # Written one after another, so that one slice at a time is in memory.
+    return reduce(DataFrame.union, [cut(passages(slices[s]), "passages") for s in range(len(slices))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, t in zip(b[key], b[text], strict=True):
-                for part in slices:
-                    out += [(i, part.ids[k], s, a, z) for k, s, a, z in matches(part, part.numbers(t), threshold)]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "first_word", "end_word"])
 
-    return docs.select(key, text).mapInPandas(run, "doc_id long, item_id long, score double, first_word long, end_word long")
+def drop_contaminated(docs: DataFrame, slices: Sequence[Items], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without those that hold a copy of any item. One pass for each slice."""
+    for s in range(len(slices)):
+        docs = docs.where(~is_contaminated(F.col(text), [slices[s]], threshold))
+        if s < len(slices) - 1:
+            docs = cut(docs, "clean")
+    return docs
 
 
-def is_contaminated(text: Column, slices: list[Items], threshold: float = THRESHOLD) -> Column:
-    """Whether a text holds a copy of any item."""
+def is_contaminated(text: Column, slices: Sequence[Items], threshold: float = THRESHOLD) -> Column:
+    """Whether a text holds a copy of any item; all slices at once, so drop_contaminated is for many."""
+    slices = list(slices)
 
     @F.pandas_udf("boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -198,6 +198,43 @@ def test_decontamination(spark, item_words):
     assert decontaminate.find(df.limit(0), slices).count() == 0
 
 
+def test_decontamination_finds_all_that_brute_force_finds():
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(300)] + ["the", "of", "and"] * 60
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in [3, 4, 6, 9, 10, 11, 12, *[rng.randint(13, 50) for _ in range(33)]]]
+    items = decontaminate.Items.of(list(enumerate(texts)), 3)
+    found = 0
+    for trial in range(400):
+        words = texts[trial % len(texts)].split()
+        kind = trial // len(texts) % 5
+        if kind == 0:  # no run of six words stays
+            words = ["new" if j % 5 == trial % 5 else x for j, x in enumerate(words)]
+        elif kind == 1:  # no run of three
+            words = [y for j, x in enumerate(words) for y in ([x, "new"] if j % 2 else [x])]
+        else:
+            words = edited(words, rng, 0.1 * kind, vocabulary)
+        own = [rng.choice(vocabulary) for _ in range(rng.randint(0, 150))]
+        at = rng.randint(0, len(own))
+        w = items.numbers(" ".join(own[:at] + words + own[at:]))
+        want = {}
+        for k, x in enumerate(items.words):
+            score = decontaminate.align(x, w)[0] if len(w) else 0
+            if score >= decontaminate.THRESHOLD * decontaminate.MATCH * len(x):
+                want[k] = score / (decontaminate.MATCH * len(x))
+        assert {k: s for k, s, _, _ in decontaminate.matches(items, w, decontaminate.THRESHOLD)} == want
+        found += trial % len(texts) in want
+    assert found > 250
+
+
+def test_decontamination_by_slices(spark):
+    table = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(9)], "item_id long, text string")
+    docs = table.select((F.col("item_id") + 100).alias("doc_id"), "text").union(spark.createDataFrame([(1, "all of its own"), (2, None)], "doc_id long, text string"))
+    slices = decontaminate.prepare(docs, table, item_words=50)
+    assert len(slices) == 4
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, slices).collect()} == {(i + 100, i) for i in range(9)}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, slices).collect()} == {1, 2}
+
+
 def exact(rows, k):
     ok = [(i, np.array(v, dtype=float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
