@@ -2,7 +2,7 @@
 
 Every labelled row of the training part may be drawn; at most LABELLED of each label reach the driver, as vectors of a few
 dozen numbers. A pair prefers a row of label 1 to one of label 0. The linear score is then mapped to a probability on the same
-rows. Scoring is one pass over the table without a shuffle.
+rows, each weighted by the training rows of its label for one drawn, so scores do not change with the size of the sample. Scoring is one pass over the table without a shuffle.
 
 Defined results: a null or empty text has the features of an empty text and gets a score like any other; labels that are null
 or neither 0 nor 1 are ignored; a document labelled twice counts twice; without both labels every score is 0.5; repeated rows
@@ -62,15 +62,17 @@ class Model:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return 1 / (1 + np.exp(-np.clip(self.slope * (z @ self.weights) + self.offset, -30, 30)))
+        # Summed row by row: a matrix product may round equal rows of a batch differently.
+        return 1 / (1 + np.exp(-np.clip(self.slope * (z * self.weights).sum(axis=1) + self.offset, -30, 30)))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Weights of the least logistic loss of y (0 or 1) on x."""
+def _newton(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, rounds: int = 30, count: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the least logistic loss of y (0 or 1) on x. ``count``: how many rows each row stands for."""
+    c = np.ones(len(x)) if count is None else count / count.mean()
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x / len(x) + np.diag(ridge), x.T @ (p - y) / len(x) + ridge * w)
+        step = np.linalg.solve((x.T * (c * p * (1 - p))) @ x / len(x) + np.diag(ridge), x.T @ (c * (p - y)) / len(x) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -96,18 +98,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pd.DataFrame({"y": b["_y"], "place": b["_place"], "x": [features(t).tolist() for t in b[text]]})
 
     got = rows.select("_y", "_place", text).mapInPandas(measure, "y int, place double, x array<double>").toPandas()
+    # All training rows, by label: two numbers. Only ids are read and shuffled.
+    total = {r["_y"]: r["count"] for r in docs.select(key).join(known, key).groupBy("_y").count().collect()}
     got = got.sort_values("place", kind="stable").groupby("y").head(limit)
     width = len(features(""))
     x = np.array(got["x"].tolist()).reshape(-1, width)
     y = got["y"].to_numpy()
     if len(set(y)) < 2:
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.0)
-    mean, scale = x.mean(axis=0), x.std(axis=0)
+    # Rows of a label count as often as the label occurs among all, whatever the sample held.
+    count = np.where(y == 1, total[1] / (y == 1).sum(), total[0] / (y == 0).sum())
+    mean = np.average(x, axis=0, weights=count)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=count))
     scale[scale < 1e-9] = 1
     z = np.clip((x - mean) / scale, -8, 8)
     w = rank_pairs(z[y == 1], z[y == 0])
-    # Rows of a label count as often as the label occurs among all, whatever the sample held.
-    a, b = _newton(np.column_stack((z @ w, np.ones(len(z)))), y.astype(float), np.array([1e-4, 1e-6]))
+    a, b = _newton(np.column_stack((z @ w, np.ones(len(z)))), y.astype(float), np.array([1e-4, 1e-6]), count=count)
     return Model(mean, scale, w, float(a), float(b))
 
 

@@ -83,6 +83,20 @@ def test_quality_edges(spark):
     assert kept.where("kept").count() == 76
 
 
+def test_quality_scores_do_not_change_with_the_sample(spark):
+    rng = random.Random(13)
+    # Classes that overlap: nine of ten rows have label 1, also among texts that look alike.
+    rows = [(i, int(rng.random() < 0.9)) for i in range(3000)]
+    texts = [(i, " ".join(rng.choice(["alpha", "beta", "GAMMA"] if rng.random() < 0.5 + 0.1 * y else ["###", "$$", "beta"]) for _ in range(30))) for i, y in rows]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    whole, small = quality.fit(docs, labels), quality.fit(docs, labels, limit=200)
+    x = np.stack([quality.features(t) for _, t in texts])
+    a, b = whole.scores(x), small.scores(x)
+    assert abs(a.mean() - 0.9) < 0.02 and abs(b.mean() - 0.9) < 0.03
+    assert np.abs(a - b).mean() < 0.05
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><ul class="menu"><li><a href=/a>Home</a><li><a href=/b>About</a></ul></header>
 <div class="cookie-notice">We use cookies to improve your visit here. <button>OK</button></div><nav><a href=/>x</a></nav>
 <main><article><header><h1>Title &amp; more</h1></header><p>First   paragraph&nbsp;here.<br>line two <b>bold</b>ly.<p>Short.</p><blockquote>Quote &lt;x&gt;.</blockquote>
