@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,12 +12,16 @@ def delta_encode(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.zip_with(values, before, lambda a, b: a - b)).otherwise(values)
 
 
-def delta_decode(deltas: Column) -> Column:
-    """Running sums."""
-    start = F.struct(F.lit(0).cast("bigint").alias("s"), F.array().cast("array<bigint>").alias("a"))
-    return F.aggregate(
-        deltas, start, lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["a"], F.array(acc["s"] + x)).alias("a")), lambda acc: acc["a"]
-    )
+def delta_decode(rows: DataFrame, keys: list[str], deltas: str) -> DataFrame:
+    """(keys, k, value): running sums of each row's differences, one row for each value. keys tell the rows apart."""
+    each = rows.select(*keys, F.posexplode(deltas).alias("k", "_delta"))
+    running = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return each.select(*keys, "k", F.sum("_delta").over(running).alias("value"))
+
+
+def varbyte(values: Column) -> Column:
+    """The bytes of a list of values, one after another."""
+    return F.unhex(F.array_join(F.transform(values, varbyte_hex), ""))
 
 
 def varbyte_length(value: Column) -> Column:

@@ -68,3 +68,14 @@ def tokenizer_report(docs: DataFrame, words: Column) -> DataFrame:
     return docs.select(F.explode(words).alias("w")).agg(
         F.count(F.lit(1)).alias("n_tokens"), F.avg(F.length("w")).alias("avg_token_length"), F.countDistinct("w").alias("n_unique")
     )
+
+
+def first_words(docs: DataFrame, words: Column, k: int = 20) -> DataFrame:
+    """(doc_id, pos, w): the first tokens of a sample, in order."""
+    return docs.select("doc_id", F.posexplode(words).alias("pos", "w")).orderBy("doc_id", "pos").limit(k)
+
+
+def length_difference(counts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(difference): average length of a token less average length of a term. Two rows of one number each meet."""
+    both = token_stats(counts).select("avg_token_length").join(dictionary_stats(dictionary).select("avg_term_length"), how="cross")
+    return both.select((F.col("avg_token_length") - F.col("avg_term_length")).alias("difference"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import postings_of, stems
+from lexispark.storage import cut
 
 
 def corpus(rows: DataFrame, url: Column, title: Column, text: Column, doc_id: Column | None = None, limit: int = 0) -> DataFrame:
@@ -21,8 +22,11 @@ def corpus(rows: DataFrame, url: Column, title: Column, text: Column, doc_id: Co
 
 
 def number_documents(docs: DataFrame, by: str = "url") -> DataFrame:
-    """doc_id 0, 1, 2 ... in order of a unique column. Only one count for each range partition meets in one place."""
-    ranged = docs.repartitionByRange(by).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id())
+    """doc_id 0, 1, 2 ... in order of a unique column. Only one count for each range partition meets in one place.
+
+    The ranges are written once: computed twice, they could be cut at other places and numbers would collide.
+    """
+    ranged = cut(docs.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(by))
     counts = ranged.groupBy("_part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -94,4 +98,5 @@ def write(index: Index, path: str, mode: str = "overwrite") -> None:
 
 
 def load(spark: SparkSession, path: str) -> Index:
+    """A stored index. Searches read from it the postings of their terms only."""
     return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "dictionary")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import web
+from lexispark.storage import new_path
 
 
 def is_fresh(fetched_at: Column, now: int, fresh_seconds: int) -> Column:
@@ -28,9 +29,10 @@ def classify(new: DataFrame, stored: DataFrame, now: int, fresh_seconds: int, ke
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
-    """A new snapshot: new values win, fields that are not supplied keep theirs."""
+    """A new snapshot: new values win, fields that are not supplied keep theirs. Of new rows of one key, one counts; both it and the
+    join need the rows by key, so they share a shuffle."""
     columns = list(dict.fromkeys([*stored.columns, *new.columns]))
-    s, n = stored.alias("s"), new.alias("n")
+    s, n = stored.alias("s"), new.dropDuplicates([key]).alias("n")
 
     def merged(c: str) -> Column:
         sides = [F.col(f"{a}.{c}") for a, d in (("n", new), ("s", stored)) if c in d.columns]
@@ -78,6 +80,23 @@ def migrate(meta: DataFrame, raw: DataFrame, texts: DataFrame, now: int, raw_roo
     )
 
 
+def text_files(texts: DataFrame, raws: DataFrame, now: int, site: str = "https://en.wikipedia.org/wiki/") -> DataFrame:
+    """Documents of text files (path, content) with the JSON file (path, content) of the same stem, where there is one, as raw content.
+    Title and URL come from the stem. Keys that are stored already are for insert_if_absent to leave out."""
+
+    def stem(extension: str) -> Column:
+        return F.regexp_extract("path", rf"([^/]*)\.{extension}$", 1)
+
+    t = texts.where(F.endswith("path", F.lit(".txt"))).select(stem("txt").alias("_stem"), F.col("content").alias("parsed_text"))
+    r = raws.where(F.endswith("path", F.lit(".json"))).select(stem("json").alias("_stem"), F.col("content").alias("_raw"))
+    raw = F.coalesce("_raw", "parsed_text")
+    at = F.lit(now).cast("long")
+    return t.join(r, "_stem", "left").select(
+        F.concat(F.lit(site), F.col("_stem")).alias("url"), F.translate("_stem", "_", " ").alias("title"), "parsed_text", raw.alias("raw_content"),
+        F.sha2(raw, 256).alias("raw_sha256"), at.alias("fetched_at"), at.alias("checked_at"),
+    )
+
+
 def crawl(
     seeds: DataFrame,
     fetch: Callable[[DataFrame], DataFrame],
@@ -86,42 +105,58 @@ def crawl(
     document: str,
     follow: str | None,
     now: int,
-    rounds: int = 10,
-    max_pages: int = 10_000,
+    max_pages: int = 0,
+    max_docs: int = 0,
     fresh_seconds: int = 0,
-    shared: str | None = None,
 ) -> DataFrame:
-    """Crawl from seeds (url): a round takes all new links of the last one, fetches them, and reads their links.
+    """Crawl from seeds (url) until no link is new: a round takes all new links of the last one, fetches them, and reads their links.
 
-    fetch: (url) -> (url, html). Pages over the cap go by url. Returns (url, raw_content, raw_sha256, parsed_text, title, outcome) of pages
-    that are documents. Each round is written to the shared folder, which ends its lineage.
+    fetch: (url) -> (url, html). A URL is asked for once, whether or not it answers. A document's key is its URL without the query;
+    of several URLs of one key the last round counts, with fresh_seconds the first one, and the largest URL of a round.
+    max_pages bounds the pages that answer, max_docs the new or changed documents and those in ``stored`` together; 0 is no bound, and
+    the rest of a round goes in order of URLs. Returns (url, raw_content, raw_sha256, parsed_text, title, outcome); a page without a
+    title has its URL for one. Each round is written to the shared folder, which ends its lineage.
     """
     spark = seeds.sparkSession
-    root = f"{shared or spark.conf.get('spark.checkpoint.dir')}/crawl-{os.urandom(8).hex()}"
-    frontier = seeds.select(web.normalize_url(F.col("url")).alias("url")).where("url is not null").distinct()
-    visited, found, left = None, None, max_pages
-    for k in range(rounds):
-        u = F.col("url")
-        ok = web.is_allowed_domain(u, allowed) & web.looks_like_html(u)
-        todo = frontier.where(ok & web.may_follow(u, follow, web.is_document(u, document)))
-        if visited is not None:
-            todo = todo.join(visited, "url", "left_anti")
-        fetch(todo.orderBy("url").limit(left)).write.parquet(f"{root}/{k}")
-        pages = spark.read.parquet(f"{root}/{k}")
+    root, u = new_path(spark, "crawl"), F.col("url")
+    wanted = web.is_allowed_domain(u, allowed) & web.looks_like_html(u) & web.may_follow(u, follow, web.is_document(u, document))
+    frontier = seeds.select(web.normalize_url(u).alias("url"))
+    pages_left, docs_left = max_pages, max_docs - (stored.count() if max_docs else 0)
+    asked: list[str] = []
+    rounds: list[DataFrame] = []
+    while (not max_pages or pages_left > 0) and (not max_docs or docs_left > 0):
+        todo = frontier.where(u.isNotNull() & wanted).distinct()
+        if asked:
+            todo = todo.join(spark.read.parquet(*asked), "url", "left_anti")
+        if max_pages:
+            todo = todo.orderBy("url").limit(pages_left)
+        at = f"{root}/{len(asked)}"
+        # By URL, so that a site of many pages is fetched by many tasks.
+        todo.repartition(spark.sparkContext.defaultParallelism, "url").write.parquet(f"{at}/asked")
+        asked.append(f"{at}/asked")
+        fetch(spark.read.parquet(asked[-1])).write.parquet(f"{at}/pages")
+        pages = spark.read.parquet(f"{at}/pages")
         n = pages.count()
         if not n:
             break
-        left -= n
-        urls = pages.select("url")
-        visited = urls if visited is None else visited.union(urls)
-        docs = pages.where(web.is_document(u, document))
-        found = docs if found is None else found.union(docs)
-        if left <= 0:
-            break
-        frontier = pages.select(F.explode(web.extract_links(F.col("html"), u)).alias("url")).distinct()
-    if found is None:
-        found = spark.createDataFrame([], "url string, html string")
-    new = found.select(
-        "url", F.col("html").alias("raw_content"), F.sha2("html", 256).alias("raw_sha256"), web.html_text(F.col("html")).alias("parsed_text"), web.html_title(F.col("html")).alias("title")
-    )
-    return classify(new, stored, now, fresh_seconds)
+        pages_left -= n
+        found = pages.where(web.is_document(u, document)).withColumn("_from", u).withColumn("url", web.strip_query(u))
+        found = found.groupBy("url").agg(F.max_by("html", "_from").alias("html"))
+        title = F.coalesce(F.nullif(web.html_title(F.col("html")), F.lit("")), u)
+        new = found.select("url", F.col("html").alias("raw_content"), F.sha2("html", 256).alias("raw_sha256"), web.html_text(F.col("html")).alias("parsed_text"), title.alias("title"))
+        seen = classify(new, stored, now, fresh_seconds).withColumn("_round", F.lit(len(asked)))
+        if max_docs:
+            saved = F.col("outcome").isin("new", "changed")
+            seen = seen.where(~saved).union(seen.where(saved).orderBy("url").limit(docs_left))
+        seen.write.parquet(f"{at}/documents")
+        rounds.append(spark.read.parquet(f"{at}/documents"))
+        if max_docs:
+            docs_left -= rounds[-1].where(F.col("outcome").isin("new", "changed")).count()
+        frontier = pages.select(F.explode(web.extract_links(F.col("html"), u)).alias("url"))
+    if not rounds:
+        empty = spark.createDataFrame([], "url string, raw_content string, raw_sha256 string, parsed_text string, title string")
+        return classify(empty, stored, now, fresh_seconds)
+    every = reduce(DataFrame.union, rounds)
+    fields = F.struct(*(c for c in every.columns if c != "url"))
+    pick = (F.min_by if fresh_seconds else F.max_by)(fields, "_round")
+    return every.groupBy("url").agg(pick.alias("d")).select("url", "d.*").drop("_round")

@@ -13,11 +13,17 @@ PAGE = {"F": 10, "B": 50}
 
 
 def _by_document(index: Index, terms: list[str], all_documents: bool) -> tuple[DataFrame, dict[str, Column]]:
-    """One row for each document with the positions of each term as a map; null where it has none of them."""
-    found = index.lookup(terms).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    """One row for each document with the positions of each term; null where it has none of them. Of rows that repeat a document,
+    the largest list of a term counts."""
+    entries = index.lookup(terms).groupBy("doc_id").agg(F.collect_list(F.struct("term", "positions")).alias("at"))
+
+    def of(term: str) -> Column:
+        return F.array_max(F.transform(F.filter("at", lambda e: e["term"] == term), lambda e: e["positions"]))
+
+    found = entries.select("doc_id", *(of(t).alias(f"at{k}") for k, t in enumerate(terms)))
     if all_documents:
         found = index.docs.select("doc_id").join(found, "doc_id", "left")
-    return found, {t: F.try_element_at("at", F.lit(t)) for t in terms}
+    return found, {t: F.col(f"at{k}") for k, t in enumerate(terms)}
 
 
 def search(index: Index, query: str, dialect: str = "F") -> DataFrame:
@@ -43,12 +49,14 @@ def page(index: Index, query: str, dialect: str = "F", size: int | None = None,
     return _described(ranked, index).select("rank", "doc_id", "title", "url", "line")
 
 
-def _described(hits: DataFrame, index: Index) -> DataFrame:
-    return hits.join(index.docs, "doc_id").withColumn("line", F.format_string("%s (%s)", "title", "url"))
+def _described(hits: DataFrame, index: Index, default_title: bool = False) -> DataFrame:
+    described = hits.join(index.docs, "doc_id")
+    return described.withColumn("line", F.format_string("%s (%s)", title_or_default(F.col("title")) if default_title else F.col("title"), "url"))
 
 
 def batch(index: Index, queries: dict[int, str], dialect: str = "F", size: int | None = None) -> DataFrame:
-    """(query_id, hits, rank, doc_id, title, url, line): the first hits of several queries, over one grouping of all their postings."""
+    """(query_id, hits, rank, doc_id, title, url, line): the first hits of several queries, over one grouping of all their postings.
+    Lines say so where a document has no title."""
     size = PAGE[dialect] if size is None else size
     nodes = {i: Q.parse(q, dialect) for i, q in queries.items()}
     terms = sorted(set().union(*(Q.terms_of(n) for n in nodes.values())) if nodes else [])
@@ -59,7 +67,7 @@ def batch(index: Index, queries: dict[int, str], dialect: str = "F", size: int |
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
     ranked = hits.withColumn("rank", place).where(F.col("rank") <= size)
     counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
-    return _described(ranked.join(F.broadcast(counts), "query_id"), index).select("query_id", "hits", "rank", "doc_id", "title", "url", "line")
+    return _described(ranked.join(F.broadcast(counts), "query_id"), index, True).select("query_id", "hits", "rank", "doc_id", "title", "url", "line")
 
 
 def run_file(index: Index, lines: list[str], dialect: str = "F") -> tuple[DataFrame, dict[int, str]]:

@@ -51,6 +51,7 @@ class Term:
 
 Node = Nothing | Term | Near | Not | And | Or
 
+# What the two dialects take for phrases, numbers, operators and words, and how operators bind.
 _F_TOKEN = re.compile(r'"([^"]+)"|(\d+)|(&&|\|\||[!()/])|([^\s"&|!()/]+)')
 _B_TOKEN = re.compile(r"(&&|\|\||[()]|!(?!=))|([A-Za-z0-9]+)")
 _BINDS = {"!": 3, "&&": 2, "||": 1}
@@ -200,31 +201,38 @@ def matches_without_terms(node: Node) -> bool:
 
 
 def near_column(positions: list[Column], distance: int) -> Column:
-    """Whether ascending position lists hold the terms side by side, or in order within the distance.
+    """Whether ascending position lists hold the terms side by side, or in order within the distance; in time near linear in them.
 
-    From each first position, taking the next position of each later term finds the smallest end there is.
+    Side by side: the lists, each moved back by its term's place, have a position in common. In order: one pass over all positions
+    keeps, for each number of first terms, the latest position that an ordered run of so many can begin at; that is the best.
     """
-    if distance == len(positions):
+    count = len(positions)
 
-        def side_by_side(p: Column) -> Column:
-            out = F.lit(True)
-            for k, other in enumerate(positions[1:], 1):
-                out = out & F.array_contains(other, p + k)
-            return out
+    def moved(p: Column, k: int) -> Column:
+        return F.transform(p, lambda x: x - k)
 
-        return F.coalesce(F.exists(positions[0], side_by_side), F.lit(False))
-    if distance < len(positions) - 1:
+    def tagged(p: Column, k: int) -> Column:
+        return F.transform(p, lambda x: F.struct(x.alias("at"), F.lit(-k).alias("term")))
+
+    if distance == count:
+        common = positions[0]
+        for k, other in enumerate(positions[1:], 1):
+            common = F.array_intersect(common, moved(other, k))
+        return F.coalesce(F.size(common) > 0, F.lit(False))
+    if distance < count - 1:
         return F.lit(False)
 
-    def next_after(other: Column, p: Column) -> Column:
-        return F.array_min(F.filter(other, lambda x: x > p))
+    # Later terms come first at one position, as no token serves twice.
+    events = F.array_sort(F.concat(*(tagged(p, k) for k, p in enumerate(positions))))
+    begin = F.struct(*(F.lit(None).cast("int").alias(f"s{k}") for k in range(count - 1)), F.lit(False).alias("hit"))
 
-    def last(p: Column) -> Column:
-        for other in positions[1:]:
-            p = next_after(other, p)
-        return p
+    def step(runs: Column, e: Column) -> Column:
+        starts = [e["at"], *(runs[f"s{k}"] for k in range(count - 1))]  # what a run that gets its k-th term begins at
+        kept = [F.when(e["term"] == -k, F.greatest(runs[f"s{k}"], starts[k])).otherwise(runs[f"s{k}"]).alias(f"s{k}") for k in range(count - 1)]
+        done = (e["term"] == -(count - 1)) & F.coalesce(e["at"] - starts[-1] <= distance, F.lit(False))
+        return F.struct(*kept, (runs["hit"] | done).alias("hit"))
 
-    return F.coalesce(F.exists(positions[0], lambda p: F.coalesce(last(p) - p <= distance, F.lit(False))), F.lit(False))
+    return F.coalesce(F.aggregate(events, begin, step, lambda runs: runs["hit"]), F.lit(False))
 
 
 def to_column(node: Node, positions: dict[str, Column]) -> Column:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import codec, text, web
 from lexispark.functions.porter import sql_steps
+from lexispark import storage
 from lexispark.operators import analysis, index, ingest, search
+from lexispark.sources import readers
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 NOW = 1_700_000_000
@@ -30,11 +32,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
     url = F.concat(F.col("source"), F.lit(":"), F.col("doc_id").cast("string"))
-    return index.corpus(d, url, F.lit(""), F.col("text"), F.col("doc_id"))
+    title = F.substring(F.substring_index("text", "\n", 1), 1, 60)
+    return index.corpus(d, url, title, F.col("text"), F.col("doc_id"))
+
+
+_written: dict[tuple[str, str], str] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.build(_docs(spark, sf_dir))
+    """The stored index of a folder's documents; an application writes it when it first asks."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        path = storage.new_path(spark, "index")
+        index.write(index.build(_docs(spark, sf_dir)), path)
+        _written[key] = path
+    return index.load(spark, _written[key])
 
 
 def _terms_sql() -> str:
@@ -43,8 +55,8 @@ def _terms_sql() -> str:
     for step in sql_steps(duckdb=True):
         stemmed = f"SELECT w0, {step} AS w FROM ({stemmed})"
     return f"""WITH runs AS (SELECT doc_id, regexp_extract_all(text, '[0-9A-Za-z]+') AS ws FROM documents WHERE text IS NOT NULL),
-tok AS (SELECT doc_id, lower(unnest(ws)) AS w, CAST(generate_subscripts(ws, 1) - 1 AS BIGINT) AS pos FROM runs),
-voc AS ({stemmed}), terms AS (SELECT doc_id, pos, voc.w AS term FROM tok JOIN voc ON tok.w = voc.w0) """
+tok AS MATERIALIZED (SELECT doc_id, lower(unnest(ws)) AS w, CAST(generate_subscripts(ws, 1) - 1 AS BIGINT) AS pos FROM runs),
+voc AS MATERIALIZED ({stemmed}), terms AS MATERIALIZED (SELECT doc_id, pos, voc.w AS term FROM tok JOIN voc ON tok.w = voc.w0) """
 
 
 def _has(term: str) -> str:
@@ -52,11 +64,11 @@ def _has(term: str) -> str:
 
 
 def _near(words: list[str], distance: int | None = None) -> str:
-    joins, last = "terms t0", len(words) - 1
+    joins = "terms t0"
     for k in range(1, len(words)):
-        step = f"t{k}.pos = t{k - 1}.pos + 1" if distance is None else f"t{k}.pos > t{k - 1}.pos"
+        step = f"t{k}.pos = t{k - 1}.pos + 1" if distance is None else f"t{k}.pos > t{k - 1}.pos AND t{k}.pos <= t0.pos + {distance}"
         joins += f" JOIN terms t{k} ON t{k}.doc_id = t0.doc_id AND {step}"
-    tests = [f"t{k}.term = '{w}'" for k, w in enumerate(words)] + ([] if distance is None else [f"t{last}.pos - t0.pos <= {distance}"])
+    tests = [f"t{k}.term = '{w}'" for k, w in enumerate(words)]
     return f"doc_id IN (SELECT t0.doc_id FROM {joins} WHERE {' AND '.join(tests)})"
 
 
@@ -102,11 +114,11 @@ def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_postings(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+    return index.build(_docs(spark, d)).postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
 
 
 def postings_positions(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).postings.select("term", "doc_id", _as_text("positions").alias("positions"))
+    return index.build(_docs(spark, d)).postings.select("term", "doc_id", _as_text("positions").alias("positions"))
 
 
 def term_doc_freq(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +168,7 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.corpus_stats(_table(spark, d, "pages"), F.col("html"), F.col("url")).select("n_docs", "raw_chars", "text_chars", F.round("avg_raw_chars", 6).alias("avg_raw_chars"), F.round("avg_text_chars", 6).alias("avg_text_chars"))
+    return analysis.corpus_stats(_table(spark, d, "pages"), F.col("html"), web.html_text(F.col("html"))).select("n_docs", "raw_chars", "text_chars", F.round("avg_raw_chars", 6).alias("avg_raw_chars"), F.round("avg_text_chars", 6).alias("avg_text_chars"))
 
 
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -188,18 +200,30 @@ def tokenizer_report(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("avg_token_length", F.round("avg_token_length", 6))
 
 
+def tokenizer_first_words(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 tokens of the corpus, for a look at the tokenizer; 20 documents with a token are enough for them."""
+    docs = _docs(spark, d).where(F.col("text").rlike("[0-9A-Za-z]")).orderBy("doc_id").limit(20)
+    return analysis.first_words(docs, text.tokenize(F.col("text")), 20).withColumn("pos", F.col("pos").cast("long"))
+
+
+def average_length_difference(spark: SparkSession, d: str) -> DataFrame:
+    got = analysis.length_difference(analysis.term_counts(_docs(spark, d)), _index(spark, d).dictionary)
+    return got.select(F.round("difference", 6).alias("difference"))
+
+
 def position_delta_encode(spark: SparkSession, d: str) -> DataFrame:
-    p = index.postings(_docs(spark, d), ["the"])
-    return p.select("doc_id", _as_text(codec.delta_encode(F.col("positions"))).alias("deltas"))
+    return _index(spark, d).postings.select("term", "doc_id", _as_text(codec.delta_encode(F.col("positions"))).alias("deltas"))
 
 
 def position_delta_decode(spark: SparkSession, d: str) -> DataFrame:
-    p = index.postings(_docs(spark, d), ["the"])
-    return p.select("doc_id", _as_text(codec.delta_decode(codec.delta_encode(F.col("positions")))).alias("positions"))
+    coded = _index(spark, d).postings.select("term", "doc_id", codec.delta_encode(F.col("positions")).alias("deltas"))
+    return codec.delta_decode(coded, ["term", "doc_id"], "deltas").select("term", "doc_id", F.col("k").cast("long").alias("k"), F.col("value").alias("pos"))
 
 
 def varbyte_length(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select("doc_id", codec.varbyte_length(F.col("n_chars")).cast("long").alias("n_bytes"), codec.varbyte_hex(F.col("n_chars")).alias("bytes"))
+    deltas = codec.delta_encode(F.col("positions"))
+    n = F.aggregate(F.transform(deltas, codec.varbyte_length), F.lit(0).cast("long"), lambda a, x: a + x)
+    return _index(spark, d).postings.select("term", "doc_id", n.alias("n_bytes"), F.hex(codec.varbyte(deltas)).alias("bytes"))
 
 
 def url_strip_query(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +267,9 @@ def _new_and_stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     changed = F.when(i % 3 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256))
     labels = _table(spark, d, "labels").select("doc_id")
     stored = docs.join(labels, "doc_id").select(i.alias("url"), changed.alias("raw_sha256"), F.lit("old").alias("source"), (F.lit(NOW) - i * 10).cast("long").alias("fetched_at"), F.lit(0).cast("long").alias("checked_at"))
-    return new, stored
+    # Keys that are stored and do not come again.
+    gone = labels.select((-i - 1).alias("url"), F.sha2(F.lit("gone"), 256).alias("raw_sha256"), F.lit("old").alias("source"), F.lit(NOW).cast("long").alias("fetched_at"), F.lit(0).cast("long").alias("checked_at"))
+    return new, stored.union(gone)
 
 
 def freshness_classify(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +284,7 @@ def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     new, stored = _new_and_stored(spark, d)
-    return ingest.upsert(stored, new.where("url % 2 = 0")).select("url", "raw_sha256", "source", F.coalesce("fetched_at", F.lit(0)).alias("fetched_at"))
+    return ingest.upsert(stored, new).select("url", "raw_sha256", "source", F.coalesce("fetched_at", F.lit(0)).alias("fetched_at"))
 
 
 def touch_checked(spark: SparkSession, d: str) -> DataFrame:
@@ -296,27 +322,39 @@ def document_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tsv_fields(spark: SparkSession, d: str) -> DataFrame:
-    cleaned = F.translate("text", "\t\n", "  ")
-    return _table(spark, d, "documents").select("doc_id", F.sha2(cleaned, 256).alias("text_sha"))
+    """Written as lines and read again."""
+    docs = _docs(spark, d).withColumn("key", F.col("doc_id").cast("string"))
+    path = storage.new_path(spark, "lines")
+    docs.select(F.concat_ws("\t", *readers.to_line("key", "title", "text")).alias("value")).write.text(path)
+    return readers.tsv(spark, path).select(F.col("url").cast("long").alias("doc_id"), "title", F.sha2("text", 256).alias("text_sha"))
+
+
+def text_with_json_by_stem(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    texts = _table(spark, d, "documents").where("text is not null").select(F.concat(F.lit("text/Doc_"), i, F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    raws = _table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")).select(F.concat(F.lit("raw/Doc_"), i, F.lit(".json")).alias("path"), F.concat(F.lit("q"), F.coalesce(F.col("q").cast("string"), F.lit(""))).alias("content"))
+    return ingest.text_files(texts, raws, NOW).select("url", "title", "raw_sha256", F.length("parsed_text").cast("long").alias("n_chars"))
 
 
-def _window_deltas(spark: SparkSession, d: str) -> DataFrame:
-    t = index.tokens(_docs(spark, d)).where(F.col("term") == "licens").select("doc_id", F.col("pos").cast("long").alias("pos"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
+def window_position_deltas(spark: SparkSession, d: str) -> DataFrame:
+    t = index.tokens(_docs(spark, d)).select("doc_id", "term", F.col("pos").cast("long").alias("pos"))
+    w = Window.partitionBy("doc_id", "term").orderBy("pos")
     return t.withColumn("delta", F.col("pos") - F.lag("pos", 1, 0).over(w))
 
 
 _URL = "documents.source || ':' || documents.doc_id"
+_TITLE = "substr(split_part(documents.text, chr(10), 1), 1, 60)"
 _OLD = f"""WITH new AS (SELECT doc_id AS url, sha256(text) AS raw_sha256, source FROM documents),
 stored AS (SELECT doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS raw_sha256, 'old' AS source,
-           CAST({NOW} - doc_id * 10 AS BIGINT) AS fetched_at, CAST(0 AS BIGINT) AS checked_at FROM documents JOIN labels USING (doc_id)),
+           CAST({NOW} - doc_id * 10 AS BIGINT) AS fetched_at, CAST(0 AS BIGINT) AS checked_at FROM documents JOIN labels USING (doc_id)
+           UNION ALL SELECT -doc_id - 1, sha256('gone'), 'old', CAST({NOW} AS BIGINT), CAST(0 AS BIGINT) FROM labels),
 seen AS (SELECT n.url, CASE WHEN s.url IS NULL THEN 'new' WHEN s.fetched_at > 0 AND {NOW} - s.fetched_at < 2000 THEN 'fresh'
          WHEN s.raw_sha256 = n.raw_sha256 THEN 'unchanged' ELSE 'changed' END AS outcome FROM new n LEFT JOIN stored s USING (url)) """
 _DECODED = r"""replace(replace(replace(replace(regexp_replace({0}, '&quot;', '"', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&')"""
 
 
 def _page(where: str, size: int, offset: int = 0) -> str:
-    return f"""SELECT row_number() OVER (ORDER BY doc_id) AS rank, doc_id, '' AS title, {_URL} AS url, ' (' || {_URL} || ')' AS line
+    return f"""SELECT row_number() OVER (ORDER BY doc_id) AS rank, doc_id, {_TITLE} AS title, {_URL} AS url, {_TITLE} || ' (' || {_URL} || ')' AS line
 FROM documents WHERE {where} QUALIFY rank > {offset} AND rank <= {offset + size}"""
 
 
@@ -329,6 +367,9 @@ def oracle_sql() -> dict[str, str]:
     )
     freq = "counts AS (SELECT term, count(*) AS freq FROM terms GROUP BY term)"
     text_sql = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<noscript[^>]*>.*?</noscript>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]+>', ' ', 'gs')"""
+    page_text_sql = f"trim(regexp_replace(regexp_replace({_DECODED.format(text_sql)}, '\\[\\s*[0-9]+\\s*\\]', '', 'g'), '\\s+', ' ', 'g'))"
+    delta = f"{t}, d AS (SELECT term, doc_id, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY term, doc_id ORDER BY pos) AS delta FROM terms)"
+    coded = "CASE WHEN delta < 128 THEN printf('%02X', delta) WHEN delta < 16384 THEN printf('%02X%02X', delta % 128 + 128, delta // 128) ELSE printf('%02X%02X%02X', delta % 128 + 128, delta // 128 % 128 + 128, delta // 16384) END"
     out |= {
         "token_positions": f"{t} SELECT doc_id, pos, term FROM terms",
         "stem_vocabulary": f"{t} SELECT w0 AS word, w AS term FROM voc",
@@ -342,11 +383,11 @@ def oracle_sql() -> dict[str, str]:
         "search_hit_count": f"{t} SELECT count(*) AS hits FROM documents WHERE NOT {_has('der')}",
         "batch_queries_topk": f"""{t}, h AS ({batch}), r AS (SELECT query_id, doc_id, count(*) OVER (PARTITION BY query_id) AS hits,
 row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM h)
-SELECT query_id, hits, rank, r.doc_id, ' (' || {_URL} || ')' AS line FROM r JOIN documents USING (doc_id) WHERE rank <= 10""",
+SELECT query_id, hits, rank, r.doc_id, coalesce(nullif({_TITLE}, ''), 'No Title') || ' (' || {_URL} || ')' AS line FROM r JOIN documents USING (doc_id) WHERE rank <= 10""",
         "set_union": f"{t} SELECT doc_id FROM terms WHERE term = 'der' UNION SELECT doc_id FROM terms WHERE term = 'que'",
         "set_intersect": f"{t} SELECT doc_id FROM terms WHERE term = 'of' INTERSECT SELECT doc_id FROM terms WHERE term = 'the'",
         "set_difference": f"{t} SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM terms WHERE term = 'of'",
-        "corpus_stats": "SELECT count(*) AS n_docs, CAST(sum(length(html)) AS BIGINT) AS raw_chars, CAST(sum(length(url)) AS BIGINT) AS text_chars, round(avg(length(html)), 6) AS avg_raw_chars, round(avg(length(url)), 6) AS avg_text_chars FROM pages",
+        "corpus_stats": f"WITH p AS (SELECT html, {page_text_sql} AS text FROM pages) SELECT count(*) AS n_docs, CAST(sum(length(html)) AS BIGINT) AS raw_chars, CAST(sum(length(text)) AS BIGINT) AS text_chars, round(avg(length(html)), 6) AS avg_raw_chars, round(avg(length(text)), 6) AS avg_text_chars FROM p",
         "token_stats": f"{t} SELECT count(*) AS n_tokens, round(avg(length(term)), 6) AS avg_token_length FROM terms",
         "unique_term_stats": f"{t} SELECT count(DISTINCT term) AS n_terms, round(avg(strlen(term)), 6) AS avg_term_length FROM (SELECT DISTINCT term FROM terms)",
         "term_counts": f"{t}, {freq} SELECT * FROM counts",
@@ -354,10 +395,12 @@ SELECT query_id, hits, rank, r.doc_id, ' (' || {_URL} || ')' AS line FROM r JOIN
         "zipf_rank_curve": f"{t}, {freq} SELECT row_number() OVER (ORDER BY freq DESC, term) AS rank, term, freq, (SELECT max(freq) FROM counts) / rank AS zipf FROM counts",
         "docs_per_source": "SELECT source, count(*) AS n_docs FROM documents GROUP BY source",
         "tokenizer_report": f"{t} SELECT count(*) AS n_tokens, round(avg(length(w)), 6) AS avg_token_length, count(DISTINCT w) AS n_unique FROM tok",
-        "position_delta_encode": f"{t}, d AS (SELECT doc_id, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS delta FROM terms WHERE term = 'the') SELECT doc_id, string_agg(CAST(delta AS VARCHAR), ',' ORDER BY pos) AS deltas FROM d GROUP BY doc_id",
-        "position_delta_decode": f"{t} SELECT doc_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM terms WHERE term = 'the' GROUP BY doc_id",
-        "window_position_deltas": f"{t} SELECT doc_id, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS delta FROM terms WHERE term = 'licens'",
-        "varbyte_length": "SELECT doc_id, CAST(CASE WHEN n_chars < 128 THEN 1 WHEN n_chars < 16384 THEN 2 WHEN n_chars < 2097152 THEN 3 ELSE 4 END AS BIGINT) AS n_bytes, CASE WHEN n_chars < 128 THEN printf('%02X', n_chars) WHEN n_chars < 16384 THEN printf('%02X%02X', n_chars % 128 + 128, n_chars // 128) ELSE printf('%02X%02X%02X', n_chars % 128 + 128, n_chars // 128 % 128 + 128, n_chars // 16384) END AS bytes FROM documents",
+        "position_delta_encode": f"{delta} SELECT term, doc_id, string_agg(CAST(delta AS VARCHAR), ',' ORDER BY pos) AS deltas FROM d GROUP BY term, doc_id",
+        "position_delta_decode": f"{t} SELECT term, doc_id, row_number() OVER (PARTITION BY term, doc_id ORDER BY pos) - 1 AS k, pos FROM terms",
+        "window_position_deltas": f"{delta} SELECT doc_id, term, pos, delta FROM d",
+        "varbyte_length": f"{delta} SELECT term, doc_id, CAST(sum(CASE WHEN delta < 128 THEN 1 WHEN delta < 16384 THEN 2 ELSE 3 END) AS BIGINT) AS n_bytes, string_agg({coded}, '' ORDER BY pos) AS bytes FROM d GROUP BY term, doc_id",
+        "tokenizer_first_words": f"{t} SELECT doc_id, pos, w FROM tok ORDER BY doc_id, pos LIMIT 20",
+        "average_length_difference": f"{t} SELECT round(avg(length(term)) - (SELECT avg(strlen(x)) FROM (SELECT DISTINCT term AS x FROM terms)), 6) AS difference FROM terms",
         "url_strip_query": "SELECT page_id, split_part(split_part(url, '#', 1), '?', 1) AS url FROM pages",
         "url_normalize": r"SELECT page_id, lower(regexp_extract(url, '^[^/]*//[^/?#]*')) || regexp_extract(split_part(url, '#', 1), '^[^/]*//[^/?#]*(.*)$', 1) AS url FROM pages",
         "url_allowed_domain": "SELECT page_id, lower(regexp_extract(url, '//([^/:?#]*)', 1)) AS host, host = 'example.com' OR suffix(host, '.example.com') OR host = 'example.net' OR suffix(host, '.example.net') AS allowed FROM pages",
@@ -365,19 +408,20 @@ SELECT query_id, hits, rank, r.doc_id, ' (' || {_URL} || ')' AS line FROM r JOIN
         "page_links": r"""WITH h AS (SELECT page_id, regexp_extract(url, '^[^/]*//[^/?#]*') AS site, regexp_extract_all(html, 'href="([^"]+)"', 1) AS hs FROM pages)
 SELECT page_id, CAST(generate_subscripts(hs, 1) - 1 AS BIGINT) AS pos, lower(site) || unnest(hs) AS link FROM h""",
         "page_title": f"""SELECT page_id, trim(regexp_replace({_DECODED.format("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")}, '\\s+', ' ', 'g')) AS title FROM pages""",
-        "page_text": f"""SELECT page_id, trim(regexp_replace(regexp_replace({_DECODED.format(text_sql)}, '\\[\\s*[0-9]+\\s*\\]', '', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""",
+        "page_text": f"SELECT page_id, {page_text_sql} AS text FROM pages",
         "content_sha256": "SELECT page_id, sha256(html) AS sha FROM pages",
         "freshness_classify": f"{_OLD} SELECT url, outcome FROM seen",
         "outcome_counts": f"{_OLD} SELECT outcome, count(*) AS n FROM seen GROUP BY outcome",
-        "upsert_merge": f"{_OLD} SELECT coalesce(n.url, s.url) AS url, coalesce(n.raw_sha256, s.raw_sha256) AS raw_sha256, coalesce(n.source, s.source) AS source, coalesce(s.fetched_at, 0) AS fetched_at FROM stored s FULL JOIN (SELECT * FROM new WHERE url % 2 = 0) n ON n.url = s.url",
-        "touch_checked": f"{_OLD} SELECT url, CAST(CASE WHEN outcome = 'unchanged' THEN {NOW} ELSE 0 END AS BIGINT) AS checked_at FROM stored JOIN seen USING (url)",
+        "upsert_merge": f"{_OLD} SELECT coalesce(n.url, s.url) AS url, coalesce(n.raw_sha256, s.raw_sha256) AS raw_sha256, coalesce(n.source, s.source) AS source, coalesce(s.fetched_at, 0) AS fetched_at FROM stored s FULL JOIN new n ON n.url = s.url",
+        "touch_checked": f"{_OLD} SELECT url, CAST(CASE WHEN outcome = 'unchanged' THEN {NOW} ELSE 0 END AS BIGINT) AS checked_at FROM stored LEFT JOIN (SELECT DISTINCT url, outcome FROM seen WHERE outcome = 'unchanged') USING (url)",
         "insert_if_absent": f"{_OLD} SELECT url, source FROM stored UNION ALL SELECT url, source FROM new WHERE url NOT IN (SELECT url FROM stored)",
         "source_quota": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 7",
         "word_count_filter": r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS BIGINT) AS n_words FROM documents WHERE n_words >= 500",
         "safe_title": r"SELECT doc_id, substr(replace(trim(regexp_replace(split_part(text, chr(10), 1), '[^\p{L}\p{M}\p{N}_\s-]', '', 'g')), ' ', '_'), 1, 100) AS name FROM documents",
         "ncbi_article_url": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'https://pmc.ncbi.nlm.nih.gov/articles/PMC' || doc_id || '/' WHEN doc_id % 3 = 1 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' ELSE source || ':' || doc_id END AS url FROM documents",
         "document_numbers": "SELECT row_number() OVER (ORDER BY url) - 1 AS doc_id, url FROM pages",
-        "tsv_fields": "SELECT doc_id, sha256(translate(text, chr(9) || chr(10), '  ')) AS text_sha FROM documents",
+        "tsv_fields": f"SELECT doc_id, translate({_TITLE}, chr(9), ' ') AS title, sha256(translate(text, chr(9) || chr(10), '  ')) AS text_sha FROM documents WHERE text IS NOT NULL",
+        "text_with_json_by_stem": "WITH r AS (SELECT doc_id, 'q' || coalesce(CAST(max(quality) AS VARCHAR), '') AS q FROM labels GROUP BY doc_id) SELECT 'https://en.wikipedia.org/wiki/Doc_' || doc_id AS url, 'Doc ' || doc_id AS title, sha256(coalesce(q, text)) AS raw_sha256, length(text) AS n_chars FROM documents LEFT JOIN r USING (doc_id) WHERE text IS NOT NULL",
     }
     return out
 
@@ -389,6 +433,6 @@ def queries() -> dict[str, Query]:
         search_hit_count, batch_queries_topk, set_union, set_intersect, set_difference, corpus_stats, token_stats, unique_term_stats, term_counts,
         term_frequencies_top10, zipf_rank_curve, docs_per_source, tokenizer_report, position_delta_encode, position_delta_decode, varbyte_length, url_strip_query,
         url_normalize, url_allowed_domain, url_html_filter, page_links, page_title, page_text, content_sha256, freshness_classify, outcome_counts, upsert_merge,
-        touch_checked, insert_if_absent, source_quota, word_count_filter, safe_title, ncbi_article_url, document_numbers, tsv_fields,
+        touch_checked, insert_if_absent, source_quota, word_count_filter, safe_title, ncbi_article_url, document_numbers, tsv_fields, tokenizer_first_words, average_length_difference, text_with_json_by_stem, window_position_deltas,
     )
-    return out | {f.__name__: f for f in plain} | {"window_position_deltas": _window_deltas}
+    return out | {f.__name__: f for f in plain}

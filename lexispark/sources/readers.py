@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import gzip
 import json
+import re
 import time
+import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterator, Mapping
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexispark.functions import web
+
+HEADERS = {"User-Agent": "Mozilla/5.0 (compatible; lexispark)", "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8"}
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 META = "source string, raw_path string, url string, id string, fetched_at long"
 
 
@@ -74,17 +83,53 @@ def fetch_with(get: Callable[[str], str | None]) -> Callable[[DataFrame], DataFr
     return lambda urls: urls.select("url").mapInPandas(run, "url string, html string")
 
 
-def http_get(url: str, timeout: float = 30, retries: int = 3, pause: float = 1.0, opener: Callable = urllib.request.urlopen) -> bytes | None:
-    """Body of a page, after some tries with longer and longer pauses; none if all fail."""
+class Page(NamedTuple):
+    status: int
+    headers: dict[str, str]
+    text: str
+
+
+def decoded_body(body: bytes, headers: Mapping[str, str]) -> str:
+    """Text of a body: unpacked if it came as gzip, by the charset of its header, else of a meta element near its start, else UTF-8."""
+    low = {k.lower(): v for k, v in headers.items()}
+    if "gzip" in low.get("content-encoding", "").lower():
+        try:
+            body = gzip.decompress(body)
+        except (OSError, EOFError, zlib.error):
+            pass  # said to be packed and is not
+    named = _CHARSET.search(low.get("content-type", "")) or _CHARSET.search(body[:4096].decode("ascii", "ignore"))
+    try:
+        return body.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+def http_get(url: str, timeout: float = 30, retries: int = 3, pause: float = 1.0, opener: Callable = urllib.request.urlopen) -> Page | None:
+    """A page, after some tries with longer and longer pauses; none if all fail. 304 is an answer, without a text."""
+    try:
+        request = urllib.request.Request(url, headers=HEADERS)
+    except ValueError:  # no address; one bad link must not end a crawl
+        return None
     for attempt in range(1, retries + 1):
         try:
-            with opener(url, timeout=timeout) as response:
-                return response.read()
+            with opener(request, timeout=timeout) as response:
+                headers = dict(response.headers.items())
+                return Page(getattr(response, "status", 200) or 200, headers, decoded_body(response.read(), headers))
+        except urllib.error.HTTPError as e:
+            if e.code == 304:
+                return Page(304, dict(e.headers.items()) if e.headers else {}, "")
+            time.sleep(pause * attempt)
         except OSError:
             time.sleep(pause * attempt)
     return None
 
 
+def http_text(url: str) -> str | None:
+    """For fetch_with: the text of a page that answers with 200."""
+    page = http_get(url)
+    return page.text if page is not None and page.status == 200 else None
+
+
 def fetch_from_table(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """(url) -> (url, html) from a table of pages, for crawls without a network."""
     return lambda urls: urls.join(pages.select("url", "html"), "url")
@@ -92,7 +137,12 @@ def fetch_from_table(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
 def esearch_pages(base: str, db: str, term: str, count: int, size: int = 100) -> list[str]:
     """Addresses of all pages of ids of a search."""
-    return [f"{base}/esearch.fcgi?" + urllib.parse.urlencode({"db": db, "term": term, "retstart": s, "retmax": size, "retmode": "json"}) for s in range(0, count, size)]
+    return [web.build_url(f"{base}/esearch.fcgi", {"db": db, "term": term, "retstart": s, "retmax": size, "retmode": "json"}) for s in range(0, count, size)]
+
+
+def esearch_count(body: str | None) -> int:
+    """How many ids a search has, by its first page."""
+    return int(json.loads(body or "{}").get("esearchresult", {}).get("count", 0) or 0)
 
 
 def esearch_ids(spark: SparkSession, addresses: list[str], get: Callable[[str], str | None]) -> DataFrame:
@@ -102,6 +152,31 @@ def esearch_ids(spark: SparkSession, addresses: list[str], get: Callable[[str],
     return body.select(F.explode(ids).alias("ncbi_id")).where("ncbi_id <> ''").distinct()
 
 
+def ncbi_search(spark: SparkSession, base: str, db: str, terms: list[str], get: Callable[[str], str | None], size: int = 200) -> DataFrame:
+    """(ncbi_id) of some searches, each once. The driver asks for the totals, one answer a term; tasks read the pages of ids."""
+    addresses = [a for t in terms for a in esearch_pages(base, db, t, esearch_count(get(esearch_pages(base, db, t, 1, size)[0])), size)]
+    return esearch_ids(spark, addresses, get)
+
+
+def _page_rows(found: DataFrame, get: Callable[[str], str | None], address: Column, title: Column | None = None) -> DataFrame:
+    """found (url, ...) with raw_content, raw_sha256, parsed_text and title of what lies at each address. Rows without an answer go."""
+    asked = found.withColumn("_address", address)
+    pages = fetch_with(get)(asked.select(F.col("_address").alias("url")).distinct()).withColumnRenamed("url", "_address")
+    own = [] if title is None else [title]
+    return asked.join(pages, "_address").select(
+        *found.columns, F.col("html").alias("raw_content"), F.sha2("html", 256).alias("raw_sha256"), web.html_text(F.col("html")).alias("parsed_text"),
+        F.coalesce(*own, F.nullif(web.html_title(F.col("html")), F.lit("")), F.col("doi") if "doi" in found.columns else F.col("url")).alias("title"),
+    )
+
+
+def ncbi_documents(ids: DataFrame, stored: DataFrame, source: str, base: str, db: str, get: Callable[[str], str | None]) -> DataFrame:
+    """(ncbi_id, url, raw_content, raw_sha256, parsed_text, title) of ids that are not stored (source, ncbi_id) yet."""
+    new = ids.select("ncbi_id").distinct().join(stored.where(F.col("source") == source).select("ncbi_id"), "ncbi_id", "left_anti")
+    found = new.withColumn("url", web.ncbi_article_url(F.lit(source), F.col("ncbi_id")))
+    address = F.concat(F.lit(web.build_url(f"{base}/efetch.fcgi", {"db": db, "retmode": "xml"}) + "&id="), F.url_encode("ncbi_id"))
+    return _page_rows(found, get, address)
+
+
 def plos_documents(spark: SparkSession, addresses: list[str], get: Callable[[str], str | None]) -> DataFrame:
     """(url, doi, title_display) of pages of a search."""
     body = fetch_with(get)(spark.createDataFrame([(a,) for a in addresses], "url string"))
@@ -110,6 +185,11 @@ def plos_documents(spark: SparkSession, addresses: list[str], get: Callable[[str
     return found.select(F.concat(F.lit("https://journals.plos.org/plosone/article?id="), F.col("d.id")).alias("url"), F.col("d.id").alias("doi"), "d.title_display")
 
 
+def plos_articles(found: DataFrame, stored: DataFrame, get: Callable[[str], str | None]) -> DataFrame:
+    """Pages of documents that are not stored (url) yet. The title is the search's, else the page's, else the doi."""
+    return _page_rows(found.join(stored.select("url"), "url", "left_anti").dropDuplicates(["url"]), get, F.col("url"), F.col("title_display"))
+
+
 def wikipedia_titles(spark: SparkSession, addresses: list[str], get: Callable[[str], str | None]) -> DataFrame:
     """(title) of search pages: not empty, without a colon, each once."""
     body = fetch_with(get)(spark.createDataFrame([(a,) for a in addresses], "url string"))
@@ -117,6 +197,16 @@ def wikipedia_titles(spark: SparkSession, addresses: list[str], get: Callable[[s
     return body.select(F.explode(hits).alias("h")).select("h.title").where("title <> '' and instr(title, ':') = 0").distinct()
 
 
+def wikipedia_articles(titles: DataFrame, get: Callable[[str], str | None], api: str = "https://en.wikipedia.org/w/api.php", site: str = "https://en.wikipedia.org/wiki/") -> DataFrame:
+    """(title, url, text): plain text of articles by (title); titles without a page or a text are left out."""
+    fixed = web.build_url(api, {"action": "query", "prop": "extracts|info", "explaintext": 1, "exsectionformat": "plain", "inprop": "url", "format": "json"})
+    asked = titles.select("title", F.concat(F.lit(fixed + "&titles="), F.url_encode("title")).alias("url"))
+    pages = F.from_json(F.get_json_object("html", "$.query.pages"), "map<string, struct<extract:string, fullurl:string>>")
+    got = asked.join(fetch_with(get)(asked), "url").select("title", F.explode(pages).alias("page_id", "p"))
+    address = F.coalesce("p.fullurl", F.concat(F.lit(site), F.url_encode(F.translate("title", " ", "_"))))
+    return got.where("page_id <> '-1' and coalesce(p.extract, '') <> ''").select("title", address.alias("url"), F.col("p.extract").alias("text"))
+
+
 def first_of(source: dict, logic: dict, name: str, default: object) -> object:
     """A setting of the source, else of all sources, else the default; 0 and empty count as not set."""
     return source.get(name) or logic.get(name) or default

@@ -1,5 +1,8 @@
+import gzip
 import hashlib
 import json
+import urllib.error
+import urllib.parse
 
 from pyspark.sql import functions as F
 
@@ -57,13 +60,81 @@ def test_crawl_rounds(spark):
     seeds = spark.createDataFrame([("HTTP://h.org",), ("bad",)], "url string")
     got = ingest.crawl(seeds, readers.fetch_from_table(table), stored, ["h.org"], r"/doc/\d+", None, 1000, fresh_seconds=100)
     assert {r.url.rsplit("/", 1)[1]: r.outcome for r in got.collect()} == {"1": "unchanged", "2": "changed", "3": "fresh", "4": "new"}
-    assert {r.title for r in got.collect()} == {"One", None}
+    assert {r.url[-1]: r.title for r in got.collect()} == {"1": "One", "2": "http://h.org/doc/2", "3": "http://h.org/doc/3", "4": "http://h.org/doc/4"}
     few = ingest.crawl(seeds, readers.fetch_from_table(table), stored, ["h.org"], r"/doc/\d+", None, 1000, max_pages=2)
     assert few.count() == 1
+    # Two new documents beside three stored ones, of which one is marked only; then no room at all.
+    capped = ingest.crawl(seeds, readers.fetch_from_table(table), stored, ["h.org"], r"/doc/\d+", None, 1000, max_docs=4)
+    assert {r.url[-1]: r.outcome for r in capped.collect()} == {"1": "unchanged", "2": "changed"}
+    assert ingest.crawl(seeds, readers.fetch_from_table(table), stored, ["h.org"], r"/doc/\d+", None, 1000, max_docs=3).count() == 0
     narrow = ingest.crawl(seeds, readers.fetch_from_table(table), stored, ["h.org"], r"/doc/\d+", r"org/$", 1000)
     assert {r.url[-1] for r in narrow.collect()} == {"1", "2", "3"}
 
 
+def test_crawl_to_the_end_and_keys_without_query(spark):
+    pages = [(f"http://h.org/doc/{i}", f'<a href="/doc/{i + 1}"></a><a href="/gone"></a>') for i in range(12)]
+    pages += [("http://h.org/doc/1?a=1", "first"), ("http://h.org/doc/1?a=2", "second"), ("http://h.org/s", '<a href="/doc/1?a=1"></a><a href="/doc/1?a=2"></a>')]
+    table = spark.createDataFrame(pages, "url string, html string")
+    empty = spark.createDataFrame([], "url string, raw_sha256 string, fetched_at long")
+    asked = []
+
+    def fetch(urls):
+        asked.extend(r.url for r in urls.collect())
+        return readers.fetch_from_table(table)(urls)
+
+    chain = ingest.crawl(spark.createDataFrame([("http://h.org/doc/0",)], "url string"), fetch, empty, ["h.org"], r"/doc/\d+", None, 1000)
+    assert chain.count() == 12 and len(asked) == len(set(asked)) == 14
+    one = ingest.crawl(spark.createDataFrame([("http://h.org/s",)], "url string"), readers.fetch_from_table(table), empty, ["h.org"], r"/doc/\d+", None, 1000)
+    assert [(r.url, r.title, r.parsed_text) for r in one.collect()] == [("http://h.org/doc/1", "http://h.org/doc/1", "second")]
+
+
+class Answer:
+    def __init__(self, body, headers, status=200):
+        self.body, self.headers, self.status = body, headers, status
+
+    def read(self):
+        return self.body
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+
+def test_fetching():
+    def get(body, **headers):
+        return readers.http_get("http://x/", opener=lambda request, timeout: Answer(body, {k.replace("_", "-"): v for k, v in headers.items()}))
+
+    assert get(gzip.compress("é".encode()), Content_Encoding="gzip").text == "é"
+    assert get(b"plain", Content_Encoding="gzip").text == "plain"
+    assert get("é".encode("latin-1"), Content_Type="text/html; charset=ISO-8859-1").text == "é"
+    assert get('<meta charset="cp1251">ж'.encode("cp1251")).text.endswith("ж")
+    assert get("é".encode(), Content_Type="text/html; charset=no-such").text == "é"
+    assert get(b"\xff").text == "\ufffd"
+    calls = []
+
+    def not_modified(request, timeout):
+        calls.append(request.headers)
+        raise urllib.error.HTTPError("http://x/", 304, "", {"ETag": "1"}, None)
+
+    got = readers.http_get("http://x/", opener=not_modified)
+    assert (got.status, got.headers, got.text, len(calls)) == (304, {"ETag": "1"}, "", 1) and "User-agent" in calls[0]
+
+    def broken(request, timeout):
+        calls.append(1)
+        raise urllib.error.HTTPError("http://x/", 500, "", {}, None)
+
+    assert readers.http_get("http://x/", pause=0, opener=broken) is None and len(calls) == 4
+
+
+def test_text_with_json_by_stem(spark):
+    texts = spark.createDataFrame([("d/text/A_cat.txt", "miaow"), ("d/text/Dog.txt", "wuff"), ("d/text/no.md", "x")], "path string, content string")
+    raws = spark.createDataFrame([("d/raw/A_cat.json", "{}")], "path string, content string")
+    got = {r.title: (r.url, r.parsed_text, r.raw_content) for r in ingest.text_files(texts, raws, 5).collect()}
+    assert got == {"A cat": ("https://en.wikipedia.org/wiki/A_cat", "miaow", "{}"), "Dog": ("https://en.wikipedia.org/wiki/Dog", "wuff", "wuff")}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("u\tt\tx\ty\n\nno tabs\nu2\tt2\t\n")
     assert sorted(map(tuple, readers.tsv(spark, str(tmp_path / "a.tsv")).collect())) == [("u", "t", "x\ty"), ("u2", "t2", "")]
@@ -93,6 +164,26 @@ def test_services_through_a_fake_network(spark):
     assert sorted(r.ncbi_id for r in readers.esearch_ids(spark, ["s0", "s1", "gone"], get).collect()) == ["1", "2", "3"]
     assert [tuple(r) for r in readers.plos_documents(spark, ["p"], get).collect()] == [("https://journals.plos.org/plosone/article?id=d1", "d1", "T")]
     assert [r.title for r in readers.wikipedia_titles(spark, ["w"], get).collect()] == ["Cat"]
+    found = spark.createDataFrame([("u1", "d1", "T"), ("u2", "d2", None), ("u3", "d3", None), ("u4", "d4", "stored")], "url string, doi string, title_display string")
+    web_pages = {"u1": "<title>x</title>a", "u2": "<title>Page</title>b", "u3": "c", "u4": "d"}
+    got = readers.plos_articles(found, spark.createDataFrame([("u4",)], "url string"), web_pages.get).collect()
+    assert {r.url: (r.title, r.parsed_text) for r in got} == {"u1": ("T", "x a"), "u2": ("Page", "Page b"), "u3": ("d3", "c")}
+    assert readers.esearch_count('{"esearchresult": {"count": "7"}}') == 7 and readers.esearch_count(None) == 0
+    search_bodies = {a: json.dumps({"esearchresult": {"count": "3", "idlist": ["1", "2"] if k == 0 else ["3", "1"]}}) for k, a in enumerate(readers.esearch_pages("b", "pmc", "t", 3, 2))}
+    ids = readers.ncbi_search(spark, "b", "pmc", ["t"], search_bodies.get, 2)
+    assert sorted(r.ncbi_id for r in ids.collect()) == ["1", "2", "3"]
+    xml = {f"b/efetch.fcgi?db=pmc&retmode=xml&id={i}": f"<title>T{i}</title><p>body</p>" for i in (1, 2)}
+    stored_ids = spark.createDataFrame([("pmc", "1"), ("other", "2")], "source string, ncbi_id string")
+    got = readers.ncbi_documents(ids, stored_ids, "pmc", "b", "pmc", xml.get).collect()
+    assert [(r.ncbi_id, r.url, r.title, r.parsed_text) for r in got] == [("2", "https://pmc.ncbi.nlm.nih.gov/articles/PMC2/", "T2", "T2 body")]
+
+    def extract(url):
+        title = urllib.parse.parse_qs(urllib.parse.urlsplit(url).query)["titles"][0]
+        pages = {"Cat & dog": {"7": {"extract": "Text", "fullurl": "http://w/C"}}, "None": {"-1": {}}, "No url": {"8": {"extract": "x"}}}
+        return json.dumps({"query": {"pages": pages[title]}})
+
+    titles = spark.createDataFrame([("Cat & dog",), ("None",), ("No url",)], "title string")
+    assert sorted((r.title, r.url, r.text) for r in readers.wikipedia_articles(titles, extract).collect()) == [("Cat & dog", "http://w/C", "Text"), ("No url", "https://en.wikipedia.org/wiki/No_url", "x")]
     assert readers.first_of({"a": 0}, {"a": 5}, "a", 1) == 5
 
     def failing(url, timeout):

@@ -91,7 +91,19 @@ def test_one_exchange_for_any_boolean_query(spark, tmp_path, small):
     df = search.search(stored, '(cat && dog || "the end") && cat')
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
-    assert "In(term" in plan or "term IN" in plan
+    assert "PushedFilters: [In(term" in df._jdf.queryExecution().executedPlan().toString() or "In(term" in plan
+    assert "Python" not in plan and "Arrow" not in plan
+    assert sorted(r.doc_id for r in df.collect()) == [0, 1]
+
+
+def test_repeated_documents_and_long_lists(spark, small):
+    docs = spark.createDataFrame([(7, "u", "", "cat dog"), (7, "u", "", "cat x cat dog"), (7, "u", "", "cat dog"), (8, "v", "t", None)], "doc_id long, url string, title string, text string")
+    twice = index.build(docs)
+    assert [r.doc_id for r in search.search(twice, '"cat dog"').collect()] == [7]
+    assert {r.line for r in search.batch(twice, {1: "dog"}).collect()} == {"No Title (u)"}
+    # Quadratic in the list, this would take minutes.
+    long = spark.createDataFrame([(1, "u", "t", "the of " * 40_000 + "end")], "doc_id long, url string, title string, text string")
+    assert [search.search(index.build(long), q).count() for q in ('"the of" / 3', '"of of" / 1', '"of the end" / 2', '"of end"', '"end the"')] == [1, 0, 1 - 1, 1, 0]
 
 
 NAMES = [n for n in registered.queries() if n in registered.oracle_sql()]

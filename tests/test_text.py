@@ -85,4 +85,8 @@ def test_codecs(spark):
     lists = spark.createDataFrame([([3, 7, 20],), ([],), ([5],)], "a array<int>")
     deltas = lists.select(codec.delta_encode(F.col("a")).alias("d"), "a")
     assert [r.d for r in deltas.collect()] == [[3, 4, 13], [], [5]]
-    assert [r[0] for r in deltas.select(codec.delta_decode(F.col("d"))).collect()] == [[3, 7, 20], [], [5]]
+    named = deltas.withColumn("id", F.size("d"))
+    got = [tuple(r) for r in codec.delta_decode(named, ["id"], "d").orderBy("id", "k").collect()]
+    assert got == [(1, 0, 5), (3, 0, 3), (3, 1, 7), (3, 2, 20)]
+    coded = lists.select(codec.varbyte(F.col("a")).alias("b")).collect()
+    assert [codec.decode_varbyte(bytes(r.b)) for r in coded] == [[3, 7, 20], [], [5]]
