@@ -1,16 +1,17 @@
-"""What the operators share: reading a table, and cutting a lineage in a folder that all executors see."""
+"""What the operators share: reading a table, names that no input column has, and what a worker remembers."""
 
 from __future__ import annotations
 
 import gc
 import os
-import tempfile
-import uuid
-
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexispark.storage import cut
+
+__all__ = ["buckets_for", "cut", "forget_others", "release", "remembers", "ship", "table", "unused"]
+
 #: What a Python worker remembers between tasks, by operator: how to forget it.
 _memories: dict[str, Callable[[], None]] = {}
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -29,22 +30,12 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *(p for p in paths if p)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where none is set, as in local tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: the lineage ends there, and a lost executor costs no
-    recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or with so many underscores that no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def release(spark: SparkSession) -> None:

@@ -27,8 +27,11 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(id, component) for every node on an edge (a, b); component is the smallest id. Nodes without an edge are not listed."""
+def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(id, component) for every node on an edge (a, b); component is the smallest id. Nodes without an edge are not listed.
+
+    Rounds grow with the logarithm of the longest path, so max_rounds is a guard only: reaching it is an error, never a partial result.
+    """
     now = cut(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
@@ -38,5 +41,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             break
         before = state
         now = cut(_stars(_stars(now, small=False), small=True), "edges")
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component")).distinct()

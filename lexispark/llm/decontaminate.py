@@ -1,9 +1,11 @@
-"""Benchmark decontamination: Smith-Waterman alignment of test items with every passage that can reach the threshold.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 An alignment of M matched words in r unbroken runs scores at most 2 M - (r - 1), which is M + B + 1 for B = M - r pairs of
-neighbouring words in common. So a document, and then a window as long as an alignment can be, is left out for an item only if
-its words and pairs in common with the item cannot add up to the threshold. That is exact: no seed has to survive the editing.
-The windows left are aligned inside the task that reads the document: the corpus is never shuffled, and read once.
+neighbouring words in common. That says how many words and how many pairs of an item a copy must hold, whatever the editing. So
+an item's seeds are its rarest words and its rarest pairs, as many as no copy can lack all of; a document without one of each
+is no candidate. A candidate, and then a window as long as an alignment can be, is left out only if its words and pairs in
+common cannot add up to the threshold. Seeds and bounds are exact: nothing that full alignment finds is lost. The windows
+left are aligned inside the task that reads the document: the corpus is never shuffled, and read once.
 
 Items reach the tasks as one table of words. Its size is checked: more than ITEM_WORDS words are dealt to slices of items by a
 hash, each with a pass of its own, so that neither a task nor the driver holds more at a time.
@@ -15,6 +17,7 @@ rows; of several passages of a document the best counts, the first on a tie; fur
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -46,54 +49,81 @@ def _joined(arrays: list[np.ndarray]) -> np.ndarray:
 
 
 @dataclass
-class Postings:
-    """How often each item holds each key, by key."""
+class Seeds:
+    """Which items have a key as a seed, by key."""
 
     start: np.ndarray
     item: np.ndarray
-    count: np.ndarray
 
     @classmethod
-    def of(cls, keys: np.ndarray, items: np.ndarray, n_keys: int) -> Postings:
-        n_items = int(items.max()) + 1 if len(items) else 1
-        both, count = np.unique(keys * n_items + items, return_counts=True)
-        return cls(np.searchsorted(both // n_items, np.arange(n_keys + 1)), both % n_items, count)
-
-    def in_common(self, found: np.ndarray, n_items: int) -> np.ndarray:
-        """For each item, how many of its keys are among those found, each as often as both hold it at most."""
-        keys, have = np.unique(found[found >= 0], return_counts=True)
+    def of(cls, keys: list[np.ndarray], needed: list[int], n_keys: int) -> Seeds:
+        """The rarest keys of each item, so many that a passage with ``needed`` keys of the item must hold one of them.
+
+        Rare are keys of few items; a key that an item repeats counts as often. Items that need none have no seeds.
+        """
+        every = _joined(keys)
+        spread = np.bincount(every, minlength=n_keys) if len(every) else np.zeros(n_keys, dtype=np.int64)
+        chosen = []
+        for k, need in zip(keys, needed, strict=True):
+            order = np.lexsort((k, spread[k]))
+            chosen.append(np.unique(k[order[: len(k) - need + 1]]) if need > 0 else k[:0])
+        flat = _joined(chosen)
+        of = np.repeat(np.arange(len(keys)), [len(c) for c in chosen]) if chosen else flat
+        by = np.argsort(flat, kind="stable")
+        return cls(np.searchsorted(flat[by], np.arange(n_keys + 1)), of[by])
+
+    def items(self, found: np.ndarray) -> np.ndarray:
+        """Items with a seed among these keys."""
+        keys = np.unique(found[found >= 0])
         first, size = self.start[keys], self.start[keys + 1] - self.start[keys]
-        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(self.item[at], weights=np.minimum(self.count[at], np.repeat(have, size)), minlength=n_items)
+        return np.unique(self.item[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())])
+
+
+def _common(found: np.ndarray, keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, int]:
+    """Where a document holds a key of an item (sorted distinct keys and how often each), and how many both hold."""
+    if not len(keys):
+        return np.zeros(len(found), dtype=bool), 0
+    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+    hit = keys[at] == found
+    return hit, int(np.minimum(np.bincount(at[hit], minlength=len(keys)), count).sum())
 
 
 @dataclass
 class Items:
-    """A slice of the items: their words as numbers, and which items hold each word and each pair of neighbouring words."""
+    """A slice of the items: their words as numbers, and what each word and each pair of neighbouring words is a seed of."""
 
     ids: list[int]
     words: list[np.ndarray]
     number: dict[str, int]
     n: int
-    sizes: np.ndarray
     pairs: np.ndarray  # sorted codes
-    word_items: Postings
-    pair_items: Postings
+    needs: np.ndarray  # the score that a passage needs
+    word_keys: list[tuple[np.ndarray, np.ndarray]]
+    pair_keys: list[tuple[np.ndarray, np.ndarray]]
+    word_seeds: Seeds
+    pair_seeds: Seeds
+    no_pair_needed: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str | None]], n: int) -> Items:
+    def of(cls, rows: list[tuple[int, str | None]], n: int, threshold: float) -> Items:
         number: dict[str, int] = {}
         ids, words = [], []
         for i, text in rows:
             if w := words_of(text):
                 ids.append(i)
                 words.append(np.array([number.setdefault(x, len(number)) for x in w], dtype=np.int64))
-        of = [np.full(len(w), k, dtype=np.int64) for k, w in enumerate(words)]
         codes = [w[:-1] * len(number) + w[1:] for w in words]
         pairs, place = np.unique(_joined(codes), return_inverse=True)
-        word_items = Postings.of(_joined(words), _joined(of), len(number))
-        pair_items = Postings.of(place, _joined([k[:-1] for k in of]), len(pairs))
-        return cls(ids, words, number, n, np.array([len(w) for w in words], dtype=np.int64), pairs, word_items, pair_items)
+        own_pairs = np.split(place, np.cumsum([len(c) for c in codes])[:-1]) if codes else []
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        needs = MATCH * sizes * np.where(sizes < n, 1.0, threshold)
+        # A score of s takes s / 2 words of the item, and s - 1 less its words as pairs: M words and B pairs give M + B + 1 at most.
+        least_words = [max(1, math.ceil(s / MATCH - 1e-9)) for s in needs]
+        least_pairs = [math.ceil(s - 1 - m - 1e-9) for s, m in zip(needs, sizes, strict=True)]
+        return cls(
+            ids, words, number, n, pairs, needs, [np.unique(w, return_counts=True) for w in words], [np.unique(k, return_counts=True) for k in own_pairs],
+            Seeds.of(words, least_words, len(number)), Seeds.of(own_pairs, least_pairs, len(pairs)), np.flatnonzero(np.array(least_pairs) <= 0),
+        )
 
     def numbers(self, text: str | None) -> np.ndarray:
         """Numbers of a document's words; -1 for words of no item."""
@@ -111,9 +141,10 @@ class Items:
             out[at[hit]] = i[hit]
         return out
 
-    def least(self, threshold: float) -> np.ndarray:
-        """The score that a passage needs, for each item."""
-        return MATCH * self.sizes * np.where(self.sizes < self.n, 1.0, threshold)
+    def candidates(self, w: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Items that a document of these words and pairs can hold a passage of, by their seeds."""
+        by_pairs = np.union1d(self.pair_seeds.items(pairs), self.no_pair_needed)
+        return np.intersect1d(by_pairs, self.word_seeds.items(w), assume_unique=True) if len(by_pairs) else by_pairs
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -152,27 +183,21 @@ def windows(mine: np.ndarray, pairs: np.ndarray, m: int, need: float) -> list[tu
     return [(int(a), int(min(n, z + length))) for a, z in zip(starts[np.append(0, apart + 1)], starts[np.append(apart, len(starts) - 1)], strict=True)]
 
 
-def matches(items: Items, w: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
-    """(item index, score, first word, end) of the best passage of w for each item at or above the threshold."""
+def matches(items: Items, w: np.ndarray) -> list[tuple[int, float, int, int]]:
+    """(item index, score, first word, end) of the best passage of w for each item that it holds a copy of."""
     if not len(items.ids) or not (w >= 0).any():
         return []
-    needs = items.least(threshold)
-    words = items.word_items.in_common(w, len(items.ids))
-    may = MATCH * words >= needs
-    if not may.any():
-        return []
-    pairs = items.pairs_of(w)
-    may &= words + items.pair_items.in_common(pairs, len(items.ids)) + 1 >= needs
-    out = []
-    for k in np.flatnonzero(may).tolist():
-        item, need = items.words[k], needs[k]
+    pairs, out = items.pairs_of(w), []
+    for k in items.candidates(w, pairs).tolist():
+        item, need = items.words[k], items.needs[k]
+        mine, n_words = _common(w, *items.word_keys[k])
+        if MATCH * n_words < need:
+            continue
+        both, n_pairs = _common(pairs, *items.pair_keys[k])
+        if n_words + n_pairs + 1 < need:
+            continue
         m, best = len(item), (0.0, 0, 0)
-        own = np.zeros(len(items.number) + 1, dtype=bool)  # the last is for words of no item
-        own[item] = True
-        own_pairs = np.zeros(len(items.pairs) + 1, dtype=bool)
-        own_pairs[items.pairs_of(item)] = True
-        own_pairs[-1] = False
-        for a, b in windows(own[w], own_pairs[pairs], m, need):
+        for a, b in windows(mine, both, m, need):
             score, end = align(item, w[a:b])
             if score >= need and score / (MATCH * m) > best[0]:
                 back, length = align(item[::-1], w[a : a + end][::-1])
@@ -185,8 +210,8 @@ def matches(items: Items, w: np.ndarray, threshold: float) -> list[tuple[int, fl
 class Slices(Sequence):
     """The items in slices of about item_words words, each read when it is asked for."""
 
-    def __init__(self, items: DataFrame, key: str, text: str, n: int, count: int):
-        self.items, self.key, self.text, self.n, self.count = items, key, text, n, count
+    def __init__(self, items: DataFrame, key: str, text: str, n: int, count: int, threshold: float = THRESHOLD):
+        self.items, self.key, self.text, self.n, self.count, self.threshold = items, key, text, n, count, threshold
 
     def __len__(self) -> int:
         return self.count
@@ -194,25 +219,26 @@ class Slices(Sequence):
     def __getitem__(self, s: int) -> Items:
         if not 0 <= s < self.count:
             raise IndexError(s)
-        own = self.items.where(F.pmod(F.xxhash64(self.key), F.lit(self.count)) == s).select(self.key, self.text)
-        return Items.of([(r[0], r[1]) for r in own.orderBy(self.key, self.text).collect()], self.n)  # about item_words words at most
+        own = self.items.where(F.pmod(F.xxhash64(self.key, self.text), F.lit(self.count)) == s).select(self.key, self.text)
+        return Items.of([(r[0], r[1]) for r in own.orderBy(self.key, self.text).collect()], self.n, self.threshold)  # about item_words words at most
 
 
-def prepare(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", n: int = N, item_words: int = ITEM_WORDS) -> Slices:
-    """All items, in slices of at most about item_words words. No frequencies of docs are needed."""
-    size = items.agg(F.sum(F.size(F.split(text, r"\s+")))).first()[0]
-    return Slices(items, key, text, n, buckets_for(size, item_words))
+def prepare(items: DataFrame, key: str = "item_id", text: str = "text", n: int = N, item_words: int = ITEM_WORDS, threshold: float = THRESHOLD) -> Slices:
+    """All items, in slices of about item_words words, counted by the rule that cuts them. No frequencies of documents are needed."""
+    size = items.agg(F.sum(F.size(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\w+"), F.lit(0))))).first()[0]
+    return Slices(items, key, text, n, buckets_for(size, item_words), threshold)
 
 
-def find(docs: DataFrame, slices: Sequence[Items], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, first_word, end_word): passages that copy an item, edited or not. One pass for each slice."""
+def find(docs: DataFrame, slices: Sequence[Items], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, item_id, score, first_word, end_word): passages that copy an item, edited or not. One pass for each slice, whose tasks
+    get this slice alone."""
 
     def passages(part: Items) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 out = []
                 for i, t in zip(b[key], b[text], strict=True):
-                    out += [(i, part.ids[k], s, a, z) for k, s, a, z in matches(part, part.numbers(t), threshold)]
+                    out += [(i, part.ids[k], s, a, z) for k, s, a, z in matches(part, part.numbers(t))]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "first_word", "end_word"])
 
         return docs.select(key, text).mapInPandas(run, "doc_id long, item_id long, score double, first_word long, end_word long")
@@ -223,23 +249,22 @@ def find(docs: DataFrame, slices: Sequence[Items], key: str = "doc_id", text: st
     return reduce(DataFrame.union, [cut(passages(slices[s]), "passages") for s in range(len(slices))])
 
 
-def drop_contaminated(docs: DataFrame, slices: Sequence[Items], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that hold a copy of any item. One pass for each slice."""
+def drop_contaminated(docs: DataFrame, slices: Sequence[Items], text: str = "text") -> DataFrame:
+    """docs without those that hold a copy of any item. One pass for each slice, over what the slices before it left."""
     for s in range(len(slices)):
-        docs = docs.where(~is_contaminated(F.col(text), [slices[s]], threshold))
+        docs = docs.where(~is_contaminated(F.col(text), slices[s]))
         if s < len(slices) - 1:
             docs = cut(docs, "clean")
     return docs
 
 
-def is_contaminated(text: Column, slices: Sequence[Items], threshold: float = THRESHOLD) -> Column:
-    """Whether a text holds a copy of any item; all slices at once, so drop_contaminated is for many."""
-    slices = list(slices)
+def is_contaminated(text: Column, part: Items) -> Column:
+    """Whether a text holds a copy of an item of a slice."""
 
     @F.pandas_udf("boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         forget_others("decontaminate")
         for texts in batches:
-            yield pd.Series([any(matches(part, part.numbers(t), threshold) for part in slices) for t in texts], dtype=bool)
+            yield pd.Series([bool(matches(part, part.numbers(t))) for t in texts], dtype=bool)
 
     return run(text)

@@ -7,12 +7,11 @@ by nature. That does not depend on the table's size. Prediction is one pass over
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and not accepted; a text whose best cosine is
 below the rejection cosine keeps its nearest language but is not accepted; a null training language is no label; repeated rows each
-count; ties go to the language that sorts first; with no training rows every text is ``und``. Whole texts are used.
+count; an empty table gives no rows, further columns and clashing names do not matter; ties go to the language that sorts first; with no training rows every text is ``und``. Whole texts are used.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,12 +37,16 @@ BANDS = BITS + 1
 #: Parts of a training row of each number of words.
 PARTS = 3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of ASCII that are no letters become one separator.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = np.where([chr(i).isalpha() for i in range(128)], _FOLD[:128], 32)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is of a letter category, the rule of \\p{L}: not so fractions, superscripts or Roman numerals."""
+    return any(map(str.isalpha, text or ""))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -121,7 +124,7 @@ def parts(text: str) -> list[str]:
     while n < len(words):
         out += [" ".join(words[a : a + n]) for a in rng.integers(len(words) - n + 1, size=PARTS)]
         n *= 2
-    return [t for t in out if _LETTER.search(t)]
+    return [t for t in out if has_letter(t)]
 
 
 def rejection(found: pd.DataFrame, n_languages: int) -> np.ndarray:
@@ -180,13 +183,13 @@ def predict(text: Column, model: Model, reject: float | None = None) -> Column:
             names, scores, least = [], [], []
             for start in range(0, len(texts), 500):
                 part = texts.iloc[start : start + 500].tolist()
-                known = [bool(t) and _LETTER.search(t) is not None for t in part]
+                known = [has_letter(t) for t in part]
                 if not len(model.owner):
                     known = [False] * len(part)
                     best, lang, low = np.zeros(len(part)), [UNKNOWN] * len(part), np.zeros(len(part))
                 else:
                     x = vectors(part, model.idf)
-                    cos = x @ model.centroids.T
+                    cos = np.stack([model.centroids @ v for v in x])  # row by row: equal texts get equal scores, whatever the batch
                     at = cos.argmax(axis=1)
                     best, lang = cos[np.arange(len(part)), at], [model.languages[model.owner[a]] for a in at]
                     low = model.reject[model.owner[at], bands(x)]

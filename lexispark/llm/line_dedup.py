@@ -6,8 +6,9 @@ so its list of them stays short; pages meet it in one join on the host, or in no
 small enough to broadcast.
 
 Defined results: a null host is a host of its own; a null text stays null, an empty one stays empty; blank lines are never
-dropped; repeated rows count as pages; hosts with fewer than ``min_pages`` pages keep all lines, as there a ratio says
-nothing; lines are compared whole, by two 64-bit hashes; order of lines stays; further columns pass through.
+dropped; repeated rows count as pages; a share equal to the ratio stays; by default a host of any size is treated alike, ``min_pages`` and
+``min_line_pages`` are the caller's; lines are compared whole, by two 64-bit hashes; order of lines stays; an empty table gives no
+rows; further columns pass through whatever their names, but for columns named like the counts, which these replace.
 """
 
 from __future__ import annotations
@@ -17,12 +18,10 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.common import cut
 
-RATIO = 0.2
-MIN_PAGES = 5
-#: For the pipeline: on the given tables the site line is on 8.6 to 13.2 % of a source's pages, copied prose on less than 5 %.
-#: Of few pages a copied text soon has such a share, so a line must be on some pages in any case.
-SITE_RATIO = 0.06
-SITE_LINE_PAGES = 20
+#: On the given tables the site line is on 8.6 to 13.2 % of a source's pages, copied prose on less than 5 %.
+RATIO = 0.06
+#: The query and the pipeline take a line for a site's own if so many pages hold it, too: of few pages a copied text soon has any share.
+LINE_PAGES = 5
 #: Lists of all hosts together are broadcast up to this many fingerprints (about 16 bytes each).
 BROADCAST_LINES = 200_000
 
@@ -40,7 +39,7 @@ def line_frequencies(docs: DataFrame, host: str, text: str, least: int) -> DataF
     return counts.where(F.col("n_pages") >= least).join(pages, counts["_host"].eqNullSafe(pages["_host"])).select(counts["_host"], "_key", "n_pages", "host_pages")
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_line_pages: int = 1) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = 1, min_line_pages: int = 1) -> DataFrame:
     """(_host, _keys): the fingerprints of each host's boilerplate lines."""
     # No line on fewer pages can pass a host of min_pages; this leaves few rows for the join with the totals.
     least = max(min_line_pages, int(ratio * min_pages) + 1)
@@ -53,21 +52,25 @@ def drop_boilerplate(
     host: str = "source",
     text: str = "text",
     ratio: float = RATIO,
-    min_pages: int = MIN_PAGES,
+    min_pages: int = 1,
     broadcast_lines: int = BROADCAST_LINES,
     min_line_pages: int = 1,
+    counts: tuple[str, str] | None = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """docs with boilerplate lines gone from ``text``, and the counts n_lines and n_dropped."""
+    """docs with boilerplate lines gone from ``text``, and the counts of lines and of dropped lines under the names given, if any."""
     lists = cut(boilerplate(docs, host, text, ratio, min_pages, min_line_pages), "lines")
     total = lists.agg(F.coalesce(F.sum(F.size("_keys")), F.lit(0)).alias("n")).first()["n"]
-    d = docs.withColumn("_at", F.coalesce(F.col(host), F.lit("")))
-    d = d.withColumn("_none", F.col(host).isNull())
-    right = lists.select(F.coalesce(F.col("_host"), F.lit("")).alias("_at"), F.col("_host").isNull().alias("_none"), "_keys")
+    # The row travels as one column, so that no name of its columns meets one of ours.
+    d = docs.select(F.struct("*").alias("row"))
+    d = d.select("row", F.coalesce(F.col("row")[host], F.lit("")).alias("at"), F.col("row")[host].isNull().alias("none"), F.split(F.col("row")[text], "\n", -1).alias("lines"))
+    right = lists.select(F.coalesce(F.col("_host"), F.lit("")).alias("at"), F.col("_host").isNull().alias("none"), F.col("_keys").alias("keys"))
     # A host with a third of all pages makes a skewed join; adaptive execution splits it, as nothing after it groups.
-    d = d.join(F.broadcast(right) if total <= broadcast_lines else right, ["_at", "_none"], "left")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.when(F.col("_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_keys"), _key(x))))
-    d = d.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("_kept", kept)
-    d = d.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-    d = d.withColumn("n_dropped", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    return d.withColumn(text, F.array_join("_kept", "\n")).drop("_at", "_none", "_keys", "_kept")
+    d = d.join(F.broadcast(right) if total <= broadcast_lines else right, ["at", "none"], "left")
+    kept = F.when(F.col("keys").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("keys"), _key(x))))
+    d = d.select("row", "lines", kept.alias("kept"))
+    known = F.col("lines").isNotNull()
+    out = [F.array_join("kept", "\n").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in (counts or ())]
+    if counts:
+        out.append(F.when(known, F.size("lines")).otherwise(0).cast("long").alias(counts[0]))
+        out.append(F.when(known, F.size("lines") - F.size("kept")).otherwise(0).cast("long").alias(counts[1]))
+    return d.select(*out)

@@ -164,6 +164,7 @@ def near_duplicates(
     with that set; n_links: other sets at or above the threshold.
     """
     bands, rows = bands_for(threshold, recall)
+    docs = docs.where(F.col(key).isNotNull())
     signed = cut(signatures(docs, key, text, n, bands, rows), "signatures")
     nodes = signed.where("same is not null").groupBy("same").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("keys").alias("keys")

@@ -1,11 +1,13 @@
 """Best-fit packing by sums of squares: each piece goes where the squared counts of open bins per residual gap become smallest.
 
 Documents become ids and are cut into pieces of the capacity inside map tasks, so only (id, piece, start, length, checksum)
-is shuffled. Pieces are dealt at random into groups of a fixed expected size and each group is packed in one task; the number
-of groups grows with the table. In a group, pieces come longest first, which leaves short ones to fill the gaps.
+is written. Pieces, counted then, are dealt in turn into groups of a fixed size and each group is packed in one task; the number
+of groups grows with the pieces, and neither a very long document nor repeated ids weigh on one group. In a group, pieces come
+longest first, which leaves short ones to fill the gaps; a bin is opened only where no open one has room, as each costs a sequence.
 
 Defined results: a null or empty text is the single end id; a table without rows gives none; rows that repeat a document
-are packed each, told apart by their order in the group; documents longer than the capacity are the only ones cut.
+are packed each, told apart by their order in the group; documents longer than the capacity are the only ones cut; ties in length go by
+id and piece; further columns are ignored, and names of the result that the input has do not matter.
 """
 
 from __future__ import annotations
@@ -17,17 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import buckets_for, forget_others, remembers
+from lexispark.llm.common import buckets_for, cut, forget_others, remembers
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces in one group on average. A group leaves a bin or two that are not full.
+#: Pieces in one group. A group leaves a bin or two that are not full.
 GROUP_PIECES = 8192
-#: Words that a Python worker remembers; beyond it, the memory starts anew.
-CACHE_WORDS = 1_100_000
+#: Words that a Python worker remembers, and characters of these; beyond either, the memory starts anew.
+CACHE_WORDS, CACHE_CHARACTERS = 1_100_000, 16_000_000
+#: A longer run of characters is encoded each time and not remembered.
+LONG_RUN = 200
 _CHUNK = re.compile(r"[^ \n\t\r]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
 #: Letters, then at most one run of ASCII marks; the apostrophe is left out, as it begins contractions.
@@ -48,7 +53,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
+        self.tokenizer, self.seen, self.characters = Tokenizer.from_file(path), {}, 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -90,14 +95,19 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.seen) > CACHE_WORDS:
-            self.seen, self.marks = {}, {}
+        if len(self.seen) > CACHE_WORDS or self.characters > CACHE_CHARACTERS:
+            self.seen, self.marks, self.characters = {}, {}, 0
         # str.split() also takes four control characters for white space, which the tokenizer does not.
         runs = [((_CHUNK.findall(t) if _CONTROLS.search(t) else t.split()) if t else []) for t in texts]
         missing = set().union(*runs).difference(self.seen)
+        long = [x for x in missing if len(x) > LONG_RUN]
         if missing:
             self._learn(missing)
-        return [b"".join(map(self.seen.__getitem__, run)) for run in runs]
+            self.characters += sum(map(len, missing)) - sum(map(len, long))
+        out = [b"".join(map(self.seen.__getitem__, run)) for run in runs]
+        for x in long:
+            del self.seen[x]
+        return out
 
 
 def batches_by_size(texts: list[str | None], characters: int = 2_000_000) -> Iterator[list[str | None]]:
@@ -119,12 +129,14 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document, without a shuffle."""
+    """(doc_id, piece, start, length, ids_crc32) of every document, and a number to deal by, without a shuffle."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget_others("packing")
         encoder = word_encoder(path)
+        # In turn from a place of its own: rows of one task go to different groups, and what is written stays so.
+        turn = zlib.crc32(str(TaskContext.get().partitionId()).encode())
         for batch in batches:
             out = []
             encoded = (ids for texts in batches_by_size(batch["text"].tolist()) for ids in encoder.encode(texts))
@@ -132,17 +144,18 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), turn))
+                    turn += 1
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "turn"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInPandas(split, "doc_id long, piece int, start long, length long, ids_crc32 long, turn long")
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length, taken in the given order.
 
     With N(g) open bins of gap g, a piece of length s turns one bin of gap g into one of gap g - s. The change of the sum of
-    squared N over gaps above 0 decides; ties go to the smallest gap, and an empty bin counts as one more choice.
+    squared N over gaps above 0 decides among the open bins with room; ties go to the smallest gap.
     """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -150,19 +163,15 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     used = 0
     for i, s in enumerate(lengths.tolist()):
         gaps = np.flatnonzero(counts[s:])
-        best, gap = (2 * counts[capacity - s] + 1 if s < capacity else 0), capacity
         if len(gaps):
             change = 2 * (counts[gaps] - counts[gaps + s]) + 2
             if gaps[0] == 0:
                 change[0] = 1 - 2 * counts[s]
-            k = int(change.argmin())
-            if change[k] <= best:
-                best, gap = change[k], int(gaps[k]) + s
-        if gap == capacity:
-            b, used = used, used + 1
-        else:
+            gap = int(gaps[int(change.argmin())]) + s
             b = open_bins[gap].pop()
             counts[gap] -= 1
+        else:
+            b, used, gap = used, used + 1, capacity
         bins[i], offsets[i] = b, capacity - gap
         if gap > s:
             open_bins[gap - s].append(b)
@@ -176,13 +185,15 @@ def pack(parts: DataFrame, n_groups: int, capacity: int = CAPACITY) -> DataFrame
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         bins, offsets = pack_lengths(group["length"].to_numpy(), capacity)
-        return group.assign(sequence_id=bins * n_groups + int(group["_group"].iloc[0]) if len(group) else bins, offset=offsets).drop(columns="_group")
+        number = int(group["turn"].iloc[0]) % n_groups
+        return group.assign(sequence_id=bins * n_groups + number, offset=offsets).drop(columns=["turn", "_group"])
 
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_groups)))
-    fields = ", ".join(f"{n} {t}" for n, t in parts.dtypes)
+    dealt = parts.withColumn("_group", F.pmod("turn", F.lit(n_groups)))
+    fields = ", ".join(f"{n} {t}" for n, t in parts.dtypes if n != "turn")
     return dealt.groupBy("_group").applyInPandas(place, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    return pack(pieces(docs, path, capacity), buckets_for(docs.count(), group_pieces), capacity)
+    parts = cut(pieces(docs, path, capacity), "pieces")  # counted and then packed
+    return pack(parts, buckets_for(parts.count(), group_pieces), capacity)

@@ -22,7 +22,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return decontaminate.find(docs, decontaminate.prepare(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.find(docs, decontaminate.prepare(table(spark, sf_dir, "benchmark")))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return line_dedup.drop_boilerplate(docs).select("doc_id", "source", "n_lines", "n_dropped", "text")
+    return line_dedup.drop_boilerplate(docs, min_line_pages=line_dedup.LINE_PAGES).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +45,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = f"""
 WITH pages AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
 lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-freq AS (SELECT source, line, count(DISTINCT doc_id) AS n_pages FROM lines WHERE trim(line) <> '' GROUP BY source, line),
+once AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents),
+freq AS (SELECT source, line, count(*) AS n_pages FROM once WHERE trim(line) <> '' GROUP BY source, line),
 bad AS (SELECT f.source, f.line FROM freq f JOIN pages p ON p.source IS NOT DISTINCT FROM f.source
-        WHERE n_pages > 1 AND host_pages >= {line_dedup.MIN_PAGES} AND n_pages > host_pages * {line_dedup.RATIO}::DOUBLE),
+        WHERE n_pages >= {line_dedup.LINE_PAGES} AND n_pages > host_pages * {line_dedup.RATIO}::DOUBLE),
 marked AS (SELECT l.doc_id, l.line, l.pos, b.line IS NOT NULL AS dropped
            FROM lines l LEFT JOIN bad b ON b.source IS NOT DISTINCT FROM l.source AND b.line = l.line),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,

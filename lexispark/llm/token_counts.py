@@ -4,12 +4,14 @@ Only the length of each document leaves the tokenizing task; documents are summe
 suffix sums run in two levels (blocks of lengths, then lengths inside a block), so no task sees the whole histogram.
 
 Defined results: a null text has 0 tokens, as has an empty one; repeated rows count each; an empty table gives no rows;
-further columns are ignored. Whole texts are encoded, never prefixes.
+further columns are ignored. Whole texts are encoded, never prefixes; very long runs of white space, on which the encoder's pattern fails,
+are encoded as the one piece that the pattern makes of them.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 #: Lengths in one block of the two-level suffix sum.
 BLOCK = 1024
 _encoders: dict = {}
+#: A run of white space (as the pattern has it) that is taken out of a text before encoding.
+_LONG_RUN = re.compile(r"[^\S\x1c-\x1f]{20000,}")
 
 
 def encoder(path: str, pattern: str):
@@ -32,14 +36,28 @@ def encoder(path: str, pattern: str):
     return _encoders[path]
 
 
+def count_ids(encoding, text: str) -> int:
+    """How many ids encode_ordinary gives, for texts of any length.
+
+    The pattern makes one piece of a run of white space, less its last character where another character follows: that one belongs
+    to what comes next.
+    """
+    total, at = 0, 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:] if at else text))
+
+
 def encoded_length(text: Column, path: str, pattern: str) -> Column:
     """Number of ids of the whole text; special-token strings in it are ordinary text."""
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(path, pattern).encode_ordinary
+        encoding = encoder(path, pattern)
         for texts in batches:
-            yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
+            yield pd.Series([count_ids(encoding, t) if t else 0 for t in texts], dtype="int64")
 
     return count(text)
 
@@ -87,7 +105,7 @@ def totals_at(sums: DataFrame, limits: list[int]) -> DataFrame:
     """(context_limit, docs_over, truncated_total) for any limits, also those that no document has as its length."""
     spark = sums.sparkSession
     at = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    # The next length at or above the limit says how many documents reach it; aggregates only, no pairs are kept.
+    # Each limit meets each length that occurs: the limits are the caller's list, and lengths are far fewer than documents.
     below = sums.join(F.broadcast(at), F.col("n_tokens") < F.col("context_limit"), "right")
     sums_below = below.groupBy("context_limit").agg(
         F.coalesce(F.sum("n_docs"), F.lit(0)).alias("nd"), F.coalesce(F.sum(F.col("n_docs") * F.col("n_tokens")), F.lit(0)).alias("nt")

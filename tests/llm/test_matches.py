@@ -77,6 +77,24 @@ def test_near_duplicates(spark, cell):
     assert got == near_brute(rows)
 
 
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    # One document with all its texts: it joins what either is like.
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, c)], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in ngram_join.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_near_duplicate_query(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r.doc_id: (r.class_id, r.rep_id, r.n_copies, r.n_links) for r in queries.op6_ngram_jaccard_join(spark, sf).collect()}
+    assert got == near_brute(rows)
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), max_rounds=1)
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicates(docs).count() == 0
@@ -181,20 +199,20 @@ def test_decontamination(spark, item_words):
         docs.append((i, " ".join(words).title(), 1))
     df = spark.createDataFrame(docs, "doc_id long, text string, item_id int").repartition(3)
     table = spark.createDataFrame(items, "item_id long, text string")
-    slices = decontaminate.prepare(df, table, item_words=item_words)
+    slices = decontaminate.prepare(table, item_words=item_words)
     assert len(slices) == (1 if item_words > 10**5 else 3)
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(df, slices).collect()}
     assert planted <= got
-    every = decontaminate.Items.of(items, 3)
+    every = decontaminate.Items.of(items, 3, decontaminate.THRESHOLD)
     want = set()
     for i, t, _ in docs:
         w = every.numbers(t)
         for k, x in enumerate(every.words):
             if len(w) and decontaminate.align(x, w)[0] >= decontaminate.THRESHOLD * decontaminate.MATCH * len(x) and len(x) > 3:
                 want.add((i, every.ids[k]))
-    assert {g for g in got if g[1] != 92} <= want and planted <= want
-    flags = {r.doc_id for r in df.where(decontaminate.is_contaminated(F.col("text"), slices)).collect()}
-    assert flags == {i for i, _ in got}
+    assert {g for g in got if g[1] != 92} == want and planted <= want
+    clean = {r.doc_id for r in decontaminate.drop_contaminated(df, slices).collect()}
+    assert clean == {d[0] for d in docs} - {i for i, _ in got}
     assert decontaminate.find(df.limit(0), slices).count() == 0
 
 
@@ -202,7 +220,7 @@ def test_decontamination_finds_all_that_brute_force_finds():
     rng = random.Random(21)
     vocabulary = [f"v{i}" for i in range(300)] + ["the", "of", "and"] * 60
     texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in [3, 4, 6, 9, 10, 11, 12, *[rng.randint(13, 50) for _ in range(33)]]]
-    items = decontaminate.Items.of(list(enumerate(texts)), 3)
+    items = decontaminate.Items.of(list(enumerate(texts)), 3, decontaminate.THRESHOLD)
     found = 0
     for trial in range(400):
         words = texts[trial % len(texts)].split()
@@ -221,7 +239,7 @@ def test_decontamination_finds_all_that_brute_force_finds():
             score = decontaminate.align(x, w)[0] if len(w) else 0
             if score >= decontaminate.THRESHOLD * decontaminate.MATCH * len(x):
                 want[k] = score / (decontaminate.MATCH * len(x))
-        assert {k: s for k, s, _, _ in decontaminate.matches(items, w, decontaminate.THRESHOLD)} == want
+        assert {k: s for k, s, _, _ in decontaminate.matches(items, w)} == want
         found += trial % len(texts) in want
     assert found > 250
 
@@ -229,12 +247,40 @@ def test_decontamination_finds_all_that_brute_force_finds():
 def test_decontamination_by_slices(spark):
     table = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(9)], "item_id long, text string")
     docs = table.select((F.col("item_id") + 100).alias("doc_id"), "text").union(spark.createDataFrame([(1, "all of its own"), (2, None)], "doc_id long, text string"))
-    slices = decontaminate.prepare(docs, table, item_words=50)
+    slices = decontaminate.prepare(table, item_words=50)
     assert len(slices) == 4
     assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, slices).collect()} == {(i + 100, i) for i in range(9)}
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, slices).collect()} == {1, 2}
 
 
+def test_decontamination_edges(spark):
+    # Words joined by commas are cut as they are counted; repeated items and documents each give rows; a very long text is searched whole.
+    joined = spark.createDataFrame([(k, ",".join(f"w{k}x{i}" for i in range(100))) for k in range(30)], "item_id long, text string")
+    assert len(decontaminate.prepare(joined, item_words=300)) == 10
+    item = " ".join(f"q{i}" for i in range(30))
+    twice = spark.createDataFrame([(1, item), (1, item), (2, "q1 q2")], "item_id long, text string")
+    long = "filler words " * 300_000 + item + " and more" * 1000
+    docs = spark.createDataFrame([(5, long, 1), (5, long, 1), (6, "q1, Q2!", 1), (7, "q2 q1", 1)], "doc_id long, text string, item_id int")
+    slices = decontaminate.prepare(twice)
+    got = collections.Counter((r.doc_id, r.item_id, r.first_word) for r in decontaminate.find(docs, slices).collect())
+    assert got == {(5, 1, 600_000): 4, (5, 2, 600_001): 2, (6, 2, 0): 1}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, slices).collect()] == [7]
+    assert decontaminate.find(docs, decontaminate.prepare(twice.limit(0))).count() == 0
+
+
+def test_decontamination_query_against_full_alignment(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    items = decontaminate.Items.of([(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()], 3, decontaminate.THRESHOLD)
+    want = set()
+    for r in rows:
+        w = items.numbers(r.text)
+        for k, x in enumerate(items.words):
+            # Words of the item in common are the only bound taken here.
+            if 2 * np.isin(w, x).sum() >= items.needs[k] and decontaminate.align(x, w)[0] >= items.needs[k]:
+                want.add((r.doc_id, items.ids[k]))
+    assert {(r.doc_id, r.item_id) for r in queries.op2_benchmark_decontamination(spark, sf).collect()} == want and want
+
+
 def exact(rows, k):
     ok = [(i, np.array(v, dtype=float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}

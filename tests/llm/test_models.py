@@ -29,7 +29,7 @@ def test_language_edges(spark):
     docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
     model = language_id.fit(docs)
     assert model.languages == ["de", "en"]
-    asked = spark.createDataFrame([(0, None), (1, ""), (2, "12 !!!"), (3, "und das"), (4, "the " * 100_000), (5, "日本")], "k int, text string")
+    asked = spark.createDataFrame([(0, None), (1, ""), (2, "12 !!! ½ ² Ⅷ"), (3, "und das"), (4, "the " * 100_000), (5, "日本")], "k int, text string")
     got = {r.k: r.p for r in asked.select("k", language_id.predict(F.col("text"), model).alias("p")).collect()}
     assert [got[k].lang_pred for k in range(5)] == ["und", "und", "und", "de", "en"]
     assert not got[0].accepted and got[3].accepted and got[5].lang_pred != "und" and not got[5].accepted
@@ -183,14 +183,35 @@ def test_pipeline_drops_site_lines(spark):
     assert corpus_pipeline.drop_boilerplate_lines(spark, few, sf).where("text = 'copy\\nof prose'").count() == 3
 
 
+def test_pipeline_dedups_repeated_rows_and_rows_without_an_id(spark, sf):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text + " end"), (None, text), (None, other), (None, other), (5, "short own text"), (6, None), (6, None), (7, other + " x"), (8, "a b"), (8, "c d e")]
+    docs = spark.createDataFrame([(i, t, "n", "k") for i, t in rows], "doc_id long, text string, n_lines string, _k string")
+    got = corpus_pipeline.keep_one_of_each_group(spark, docs, sf)
+    assert got.columns == docs.columns
+    # Of equals and near ones the smallest id stays, before rows without one; unlike texts of one id are one document.
+    assert sorted(((r.doc_id or 0), (r.text or "")[:5]) for r in got.collect()) == [(1, "w0 w1"), (5, "short"), (6, ""), (7, "u0 u1"), (8, "c d e")]
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, sf):
+    docs = common.table(spark, sf, "documents").limit(60)
+    docs = docs.withColumns({c: F.lit("mine") for c in ("_p", "n_lines", "n_dropped", "_k", "turn", "lines", "id")})
+    names = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = common.cut(stage(spark, docs, sf))
+        assert docs.columns == names
+    assert docs.count() > 40 and docs.where("_p = 'mine' and n_lines = 'mine' and n_dropped = 'mine' and _k = 'mine'").count() == docs.count()
+
+
 def test_pipeline_on_edge_rows(spark, tmp_path):
     base = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{base}/documents.parquet").limit(30)
     odd = spark.createDataFrame([(900, None, "en", "s", 0), (901, "", "en", None, 0), (902, "!!!", None, "s", 3), (903, "ok words here", None, None, 13)], docs.schema)
     docs.union(odd).union(odd).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{base}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
-    ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert not ids & {900, 901, 902}
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert not {r.doc_id for r in rows} & {900, 901, 902}
+    assert len(rows) == len({(r.doc_id, r.piece) for r in rows})
     spark.read.parquet(f"{base}/documents.parquet").limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     spark.read.parquet(f"{base}/benchmark.parquet").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
