@@ -6,11 +6,12 @@ import gc
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from lexispark.storage import cut
 
-__all__ = ["buckets_for", "cut", "forget_others", "release", "remembers", "ship", "table", "unused"]
+__all__ = ["buckets_for", "cut", "forget_others", "one_row_an_id", "release", "remembers", "ship", "table", "unused"]
 
 #: What a Python worker remembers between tasks, by operator: how to forget it.
 _memories: dict[str, Callable[[], None]] = {}
@@ -38,6 +39,17 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def one_row_an_id(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """docs with one row for each key: of several, that of the longest text. Only ids are counted, and only rows of ids that repeat
+    are sorted."""
+    again = cut(docs.groupBy(key).count().where("count > 1").select(key), "repeated")
+    if again.isEmpty():
+        return docs
+    place, order = unused(docs.columns, "_place"), Window.partitionBy(key).orderBy(F.length(text).desc(), F.col(text).desc())
+    one = docs.join(again, key, "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return docs.join(again, key, "left_anti").unionByName(one.select(docs.columns)).select(docs.columns)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove shuffle files that nothing refers to any more, as its periodic collection would."""
     gc.collect()

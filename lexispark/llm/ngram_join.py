@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import buckets_for, cut, forget_others, remembers
+from lexispark.llm.common import buckets_for, cut, forget_others, one_row_an_id, remembers
 from lexispark.llm.components import connected_components
 
 N = 5
@@ -164,7 +164,7 @@ def near_duplicates(
     with that set; n_links: other sets at or above the threshold.
     """
     bands, rows = bands_for(threshold, recall)
-    docs = docs.where(F.col(key).isNotNull())
+    docs = one_row_an_id(docs.where(F.col(key).isNotNull()).select(key, text), key, text)
     signed = cut(signatures(docs, key, text, n, bands, rows), "signatures")
     nodes = signed.where("same is not null").groupBy("same").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("keys").alias("keys")
