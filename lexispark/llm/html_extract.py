@@ -1,12 +1,17 @@
 """HTML extraction by minimum cut: the text of a page is split into blocks, and a max-flow separates content from boilerplate.
 
-A block's terminal capacities are the costs of a classifier: a logistic model of what the block looks like, trained on blocks
-whose element names already tell what they are, plus what the elements and names around it say. Smoothness edges join blocks
-that follow each other and blocks that follow each other under one parent element. Pages are handled one by one in map tasks.
-
-Defined results: a null or empty page, or one without content, has an empty text; comments, scripts, styles and the like hold no
+A block's terminal capacities are the costs of a logistic classifier of what the block looks like (length, links, marks, element) and of
+what the elements and names around it say; names are features with learned weights like the others. Smoothness edges join blocks that
+follow each other and neighbours under one parent element. Weights are fitted on blocks of sampled pages that elements or names mark, each
+counted once as it is and once as if nothing named it; they are drawn to the default weights, which hold where pages mark nothing. The
+strength of the edges is then chosen on sampled pages that the fit has not seen: the one that errs least where all is named, and of these
+the one that errs least where half of the blocks lose what names say, then the one nearest the default. Pages are handled one by one in map tasks.
+
+Defined results: a null or empty page, or one without content, has an empty text; comments, scripts, styles, titles and the like hold no
 text; a tag that never ends takes the rest of the page with it, an element that never ends lasts to the end of its parent;
-``br`` is white space; character references without a semicolon are decoded as browsers do; repeated pages each give a row.
+``br`` is white space; character references without a semicolon are decoded as browsers do; a block whose costs tie is boilerplate;
+repeated pages each give a row; an empty table gives none; a long page is cut whole, in time near linear in its blocks; further
+columns and clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -15,23 +20,24 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.quality import _newton
-
-#: Pages that a model is fitted on, about; those of the smallest hashes.
-SAMPLE_PAGES = 400
-#: Weights of smoothness edges: blocks in a row, and neighbours under one parent.
-NEXT, SIBLING = 0.2, 0.3
-#: What an element or name says about all below it, in log-odds of content.
-PRIOR = {-1: -6.0, 0: 0.0, 1: 5.0}
+#: Pages that a model is fitted on, about; those of the smallest hashes, of at most so many characters.
+SAMPLE_PAGES, SAMPLE_CHARACTERS = 400, 300_000
+#: Smoothness edges: blocks in a row, and neighbours under one parent, as parts of the strength that fit() chooses from these.
+NEXT, SIBLING = 0.4, 0.6
+STRENGTHS = (0.25, 0.5, 1.0, 1.5, 2.0, 3.0)
+#: How strongly learned weights are drawn to the default ones.
+PULL = 2e-3
 
 # Element names of HTML and the roles and words that pages commonly name their parts by.
-_SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|head"
+_SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|title"
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -47,6 +53,12 @@ _OUT_WORDS = frozenset(
     " sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets".split()
 )
 _IN_WORDS = frozenset("article articlebody body content entry main maincontent post story".split())
+# Words that add nothing to a name beside them.
+_GENERIC = frozenset(
+    "area bar block bottom box btn button buttons col column container extra field fields fixed form global group holder id inner item items js left"
+    " line link links list mobile module page panel primary right row secondary section site slot sticky text title top unit wrap wrapper zone".split()
+)
+_SLUGS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd".split())
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _TOKEN = re.compile(
@@ -56,38 +68,60 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _REST = re.compile(r"<[a-zA-Z/!][^>]*\Z")
-_said: dict[tuple[str, str], int] = {}
+_said: dict[tuple[str, str], tuple[int, bool]] = {}
+
+
+def _name_says(name: str) -> tuple[int, bool]:
+    """-1, 1 or 0 of one class or id, and whether it hints at boilerplate: a word for it beside words that are about something else."""
+    words = {w.lower() for w in _NAME.findall(name)}
+    out, inside = words & _OUT_WORDS, words & _IN_WORDS
+    if out and not (inside and out <= {"header"}):
+        return (-1, False) if words <= _OUT_WORDS | _IN_WORDS | _GENERIC else (0, True)
+    return (1, False) if inside else (0, False)
 
 
-def element_says(tag: str, attributes: str) -> int:
-    """-1 for boilerplate, 1 for content, 0 for nothing: of an element by its name and attributes. 2: a header, which depends."""
+def element_says(tag: str, attributes: str) -> tuple[int, bool]:
+    """-1 for boilerplate, 1 for content, 0 for nothing, 2 for a header, which depends: of an element by its name and attributes.
+    Also whether a name hints at boilerplate. The id of a heading or paragraph is an anchor and names no part."""
     known = _said.get((tag, attributes))
     if known is not None:
         return known
-    says = -1 if tag in _OUT else 1 if tag in _IN else 2 if tag == "header" else 0
+    says, hint = -1 if tag in _OUT else 1 if tag in _IN else 2 if tag == "header" else 0, False
     if attributes and tag not in ("html", "body"):
+        named = set()
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
-            words = {w.lower() for w in _NAME.findall(value)}
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 says = -1
             elif name == "role":
                 says = -1 if value.lower() in _OUT_ROLES else 1 if value.lower() in ("main", "article") else says
-            elif name in ("class", "id") and says != -1 and tag not in _IN:
-                if words & _OUT_WORDS and not (words & _IN_WORDS and words & _OUT_WORDS <= {"header"}):
-                    says = -1
-                elif words & _IN_WORDS:
-                    says = 1
+            elif name == "class" or name == "id" and tag not in _SLUGS:
+                for part in value.split():
+                    said, hinted = _name_says(part)
+                    named.add(said)
+                    hint = hint or hinted
+        if says in (0, 2) and named & {-1, 1}:
+            # Names that contradict each other say nothing.
+            says = says if named >= {-1, 1} else -1 if -1 in named else 1
     if len(_said) > 50_000:
         _said.clear()
-    _said[tag, attributes] = says
-    return says
+    _said[tag, attributes] = says, hint
+    return says, hint
 
 
-def blocks(page: str | None) -> list[tuple[str, str, int, int, float]]:
-    """(text, element, zone, parent number, share of characters in links) of each block that has text, in page order."""
-    out: list[tuple[str, str, int, int, float]] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # name, zone, number
+class Block(NamedTuple):
+    text: str
+    element: str
+    zone: int  # what elements and names around it say
+    hint: bool
+    parent: int
+    links: float  # share of characters in links
+
+
+def blocks(page: str | None) -> list[Block]:
+    """The blocks of a page that have text, in page order."""
+    out: list[Block] = []
+    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # name, zone, number, hint
     parts: list[str] = []
     linked, in_link, number, last = 0, False, 0, 0
     page = page or ""
@@ -98,7 +132,8 @@ def blocks(page: str | None) -> list[tuple[str, str, int, int, float]]:
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append((text, stack[-1][0], stack[-1][1], stack[-2][2] if len(stack) > 1 else 0, min(1.0, linked / max(1, len(raw)))))
+                name, zone, _, hint = stack[-1]
+                out.append(Block(text, name, zone, hint, stack[-2][2] if len(stack) > 1 else 0, min(1.0, linked / max(1, len(raw)))))
             parts.clear()
         linked = 0
 
@@ -133,7 +168,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int, int, float]]:
                 if block and stack[k][0] in ("body", "html"):
                     break
             continue
-        says = element_says(tag, m[4].strip())
+        says, hint = element_says(tag, m[4].strip())
         if not block and says in (0, 2):
             continue
         if not block:
@@ -148,7 +183,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int, int, float]]:
         if says == 2:
             says = 0 if above == 1 else -1
         number += 1
-        stack.append((tag, above if above == -1 or not says else says, number))
+        stack.append((tag, above if above == -1 or not says else says, number, hint or stack[-1][3]))
     if last < len(page):
         tail = _REST.sub("", page[last:])
         parts.append(tail)
@@ -158,126 +193,195 @@ def blocks(page: str | None) -> list[tuple[str, str, int, int, float]]:
     return out
 
 
-def features(b: tuple[str, str, int, int, float]) -> list[float]:
-    """What a block looks like, without its zone."""
-    text, tag, _, _, links = b
-    words = text.split(" ")
+def features(b: Block) -> list[float]:
+    """What a block looks like, and what is said around it: the last NAMED ones."""
+    words = b.text.split(" ")
     n = len(words)
     return [
-        1.0, np.log1p(n), links, float(tag == "p"), float(tag[:1] == "h" and tag[1:].isdigit()), float(tag in ("li", "td", "dd")),
-        float(text[-1] in ".!?…\"”"), sum(w[:1].isupper() for w in words) / n, len(text) / n / 10, float("©" in text or "|" in text),
+        1.0, np.log1p(n), b.links, float(b.element == "p"), float(b.element[:1] == "h" and b.element[1:].isdigit()), float(b.element in ("li", "td", "dd")),
+        float(b.text[-1] in ".!?…\"”"), sum(w[:1].isupper() for w in words) / n, len(b.text) / n / 10, float("©" in b.text or "|" in b.text),
+        float(b.zone == -1), float(b.zone == 1), float(b.hint),
     ]
 
 
-#: Which features tell the kind of element.
-_KINDS = slice(3, 6)
-#: Weights where pages name no part that a model could be fitted on.
-DEFAULT = np.array([-1.5, 0.9, -3.0, 0.8, 0.5, -0.8, 0.8, -0.5, 0.0, -1.5])
+NAMED = 3
 
 
-def max_flow_labels(net: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes stay on the source's side of a minimum cut.
+@dataclass
+class Model:
+    weights: np.ndarray
+    strength: float
+
+    def net(self, x: np.ndarray) -> list[float]:
+        """Source less sink capacity: log P / (1 - P) is what the costs of either label leave after their common part."""
+        return np.clip(x @ self.weights, -30, 30).tolist()
 
-    net: source capacity less sink capacity of each node, as the smaller of the two flows straight through. Flow then goes from
-    nodes of surplus to nodes of deficit along shortest paths with room left.
+
+#: Where pages mark no part that a model could be fitted on.
+DEFAULT = Model(np.array([-1.5, 0.9, -3.0, 0.8, 0.5, -0.8, 0.8, -0.5, 0.0, -1.5, -5.0, 4.0, -0.7]), 1.0)
+
+
+def _settled(net: list[float], room: list[dict[int, float]]) -> tuple[list[int], list[float]]:
+    """Labels (1, -1, or 0 for open) of nodes that outweigh all their edges, and the capacities of the others with these fixed.
+
+    Such a node has its own sign in a minimum cut, and its edges then only pull at its neighbours.
     """
-    n = len(net)
-    left = list(net)
-    room: list[dict[int, float]] = [{} for _ in range(n)]
-    for i, j, w in edges:
-        room[i][j] = room[i].get(j, 0.0) + w
-        room[j][i] = room[j].get(i, 0.0) + w
-    eps = 1e-9
-    for s in range(n):
-        while left[s] > eps:
-            back, queue, end = {s: s}, deque([s]), -1
-            while queue and end < 0:
-                i = queue.popleft()
-                for j, c in room[i].items():
-                    if c > eps and j not in back:
-                        back[j] = i
-                        if left[j] < -eps:
-                            end = j
-                            break
-                        queue.append(j)
-            if end < 0:
-                break
-            path, j = [], end
-            while j != s:
-                path.append((back[j], j))
-                j = back[j]
-            flow = min(left[s], -left[end], min(room[i][j] for i, j in path))
-            for i, j in path:
-                room[i][j] -= flow
-                room[j][i] += flow
-            left[s] -= flow
-            left[end] += flow
-    inside = [v > eps for v in left]
-    queue = deque(i for i, v in enumerate(inside) if v)
+    left, label, weight = list(net), [0] * len(net), [sum(r.values()) for r in room]
+    queue = deque(range(len(net)))
     while queue:
         i = queue.popleft()
-        for j, c in room[i].items():
-            if c > eps and not inside[j]:
-                inside[j] = True
+        if label[i] or abs(left[i]) < weight[i] or not (left[i] or room[i]):
+            continue
+        label[i] = 1 if left[i] > 0 else -1
+        for j, w in room[i].items():
+            if not label[j]:
+                left[j] += w * label[i]
+                weight[j] -= w
                 queue.append(j)
-    return inside
+    return label, left
 
 
-def label(found: list[tuple[str, str, int, int, float]], weights: np.ndarray) -> list[bool]:
+def max_flow_labels(net: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """Which nodes stay on the source's side of a minimum cut; the smallest such side.
+
+    net: source capacity less sink capacity of each node, as the smaller of the two flows straight through. Nodes that outweigh their
+    edges are settled first. For the others, flow goes from all nodes of surplus at once to nodes of deficit, in phases of shortest
+    paths with room left.
+    """
+    n, eps = len(net), 1e-9
+    room: list[dict[int, float]] = [{} for _ in range(n)]
+    for i, j, w in edges:
+        if w > 0:
+            room[i][j] = room[i].get(j, 0.0) + w
+            room[j][i] = room[j].get(i, 0.0) + w
+    label, left = _settled(net, room)
+    free = [i for i in range(n) if not label[i]]
+    near = {i: [j for j in room[i] if not label[j]] for i in free}
+    while True:
+        level = {i: 0 for i in free if left[i] > eps}
+        starts, queue, ends = list(level), deque(level), False
+        while queue:
+            i = queue.popleft()
+            for j in near[i]:
+                if j not in level and room[i][j] > eps:
+                    level[j] = level[i] + 1
+                    ends = ends or left[j] < -eps
+                    queue.append(j)
+        if not ends:
+            break
+        tried = dict.fromkeys(level, 0)
+        for s in starts:
+            path = [s]
+            while path and left[s] > eps:
+                i = path[-1]
+                if left[i] < -eps:
+                    flow = min(left[s], -left[i], min(room[a][b] for a, b in zip(path, path[1:])))
+                    left[s] -= flow
+                    left[i] += flow
+                    for a, b in zip(path, path[1:]):
+                        room[a][b] -= flow
+                        room[b][a] += flow
+                    # Back to before the first edge without room.
+                    path = path[: next((k + 1 for k, (a, b) in enumerate(zip(path, path[1:])) if room[a][b] <= eps), len(path))]
+                    continue
+                k = tried[i]
+                while k < len(near[i]) and not (level.get(near[i][k]) == level[i] + 1 and room[i][near[i][k]] > eps):
+                    k += 1
+                tried[i] = k
+                if k < len(near[i]):
+                    path.append(near[i][k])
+                else:
+                    path.pop()
+                    if path:
+                        tried[path[-1]] += 1
+    return [label[i] > 0 or i in level for i in range(n)]
+
+
+def joined(parents: list[int], strength: float) -> list[tuple[int, int, float]]:
+    """The smoothness edges of blocks with these parents."""
+    edges = [(i, i + 1, NEXT * strength) for i in range(len(parents) - 1)]
+    before: dict[int, int] = {}
+    for i, p in enumerate(parents):
+        if p in before:
+            edges.append((before[p], i, SIBLING * strength))
+        before[p] = i
+    return edges
+
+
+def label(found: list[Block], model: Model) -> list[bool]:
     """Whether each block of a page is content."""
     if not found:
         return []
-    looks = np.clip(np.array([features(b) for b in found]) @ weights, -3, 3)
-    odds = looks + np.array([PRIOR[b[2]] for b in found])
-    # Costs of either label; their difference, log P / (1 - P), is what the terminal edges leave after the common part.
-    p = 1 / (1 + np.exp(-odds))
-    net = (np.log(p) - np.log1p(-p)).tolist()
-    edges = [(i, i + 1, NEXT) for i in range(len(found) - 1)]
-    before: dict[int, int] = {}
-    for i, b in enumerate(found):
-        if b[3] in before:
-            edges.append((before[b[3]], i, SIBLING))
-        before[b[3]] = i
-    return max_flow_labels(net, edges)
+    return max_flow_labels(model.net(np.array([features(b) for b in found])), joined([b.parent for b in found], model.strength))
 
 
-def main_text(page: str | None, weights: np.ndarray) -> str:
+def main_text(page: str | None, model: Model) -> str:
     found = blocks(page)
-    return "\n".join(b[0] for b, keep in zip(found, label(found, weights), strict=True) if keep)
+    return "\n".join(b.text for b, keep in zip(found, label(found, model), strict=True) if keep)
 
 
-def fit(pages: DataFrame, key: str = "page_id", page: str = "html", sample: int = SAMPLE_PAGES) -> np.ndarray:
-    """Weights of a block's looks, from blocks whose zone is named. ``sample`` bounds the pages that are read for it."""
+def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least balanced logistic loss, drawn to the default weights: Newton steps on the difference from these."""
+    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    w = DEFAULT.weights.copy()
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (share * p * (1 - p))) @ x + PULL * np.eye(len(w)), x.T @ (share * (p - y)) + PULL * (w - DEFAULT.weights))
+        w -= step
+        if np.abs(step).max() < 1e-7:
+            break
+    return w
+
+
+def _masked(x: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
+    out = x.copy()
+    out[rows, -NAMED:] = 0
+    return out
+
+
+def fit(pages: DataFrame, key: str = "page_id", page: str = "html", sample: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARACTERS) -> Model:
+    """The classifier and the strength of the edges, from about ``sample`` pages of at most ``characters``."""
     share = sample / max(1, pages.count())
     place = (F.xxhash64(F.col(key).cast("string")).cast("double") + 2.0**63) / 2.0**64
-    chosen = pages.where(place < F.lit(share)).select(page)
+    chosen = pages.where((place < F.lit(share)) & (F.length(page) <= characters)).select(place.alias("place"), F.col(page).alias("page"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            named = [x for p in b[page] for x in blocks(p) if x[2]]
-            yield pd.DataFrame({"y": [int(x[2] > 0) for x in named], "x": [features(x) for x in named]})
-
-    got = chosen.mapInPandas(measure, "y int, x array<double>").toPandas()
-    if got["y"].nunique() < 2:
+            found = [blocks(p) for p in b["page"]]
+            x = [np.array([features(k) for k in f], dtype="<f8").tobytes() for f in found]
+            yield pd.DataFrame({"place": b["place"], "x": x, "zone": [[k.zone for k in f] for f in found], "parent": [[k.parent for k in f] for f in found]})
+
+    rows = chosen.mapInPandas(measure, "place double, x binary, zone array<int>, parent array<int>").toPandas().sort_values("place", kind="stable")
+    width = len(DEFAULT.weights)
+    seen = [(np.frombuffer(x, dtype="<f8").reshape(-1, width), np.array(z, dtype=int), list(p)) for x, z, p in zip(rows["x"], rows["zone"], rows["parent"], strict=True)]
+    fitted = [f for k, f in enumerate(seen) if k % 4]
+    held = [f for k, f in enumerate(seen) if not k % 4]
+    zones = np.concatenate([z for _, z, _ in fitted]) if fitted else np.zeros(0, dtype=int)
+    if not {-1, 1} <= set(zones.tolist()):
         return DEFAULT
-    x, y = np.array(got["x"].tolist()), got["y"].to_numpy(dtype=float)
-    # Each block counts a second time as if of a plain element, so that pages without paragraphs are judged by their words.
-    plain = x.copy()
-    plain[:, _KINDS] = 0
-    x, y = np.concatenate((x, plain)), np.concatenate((y, y))
-    # Named blocks outweigh each other by their number alone, so either side counts the same.
-    w = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
+    x = np.concatenate([v for v, _, _ in fitted])[zones != 0]
+    y = (zones[zones != 0] > 0).astype(float)
+    weights = _weights(np.concatenate((x, _masked(x, slice(None)))), np.concatenate((y, y)))
     rng = np.random.default_rng(17)
-    take = rng.choice(len(y), size=min(20_000, 4 * len(y)), p=w / w.sum())
-    return _newton(x[take], y[take], np.full(x.shape[1], 1e-2))
+    trials = [(v, _masked(v, rng.random(len(v)) < 0.5), z, p) for v, z, p in held]
+
+    def errors(strength: float) -> tuple[int, int]:
+        model, wrong = Model(weights, strength), [0, 0]
+        for whole, half, z, p in trials:
+            for k, v in enumerate((whole, half)):
+                kept = np.array(max_flow_labels(model.net(v), joined(p, strength)), dtype=bool)
+                wrong[k] += int((kept != (z > 0))[z != 0].sum())
+        return wrong[0], wrong[1]
+
+    return Model(weights, min(STRENGTHS, key=lambda s: (*errors(s), abs(s - DEFAULT.strength))))
 
 
-def extract(page: Column, weights: np.ndarray) -> Column:
+def extract(page: Column, model: Model) -> Column:
     """The main text of a page, empty if it has none."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
-            yield pd.Series([main_text(p, weights) for p in pages], dtype=object)
+            yield pd.Series([main_text(p, model) for p in pages], dtype=object)
 
     return run(page)
