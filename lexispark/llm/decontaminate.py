@@ -2,8 +2,8 @@
 
 An alignment of M matched words in r unbroken runs scores at most 2 M - (r - 1), which is M + B + 1 for B = M - r pairs of
 neighbouring words in common. That says how many words and how many pairs of an item a copy must hold, whatever the editing. So
-an item's seeds are its rarest words and its rarest pairs, as many as no copy can lack all of; a document without one of each
-is no candidate. A candidate, and then a window as long as an alignment can be, is left out only if its words and pairs in
+an item's seeds are its rarest pairs, as many as no copy can lack all of, or its rarest words where a copy needs no pair (short
+items); a document without a seed of an item is no candidate. A candidate, and then a window as long as an alignment can be, is left out only if its words and pairs in
 common cannot add up to the threshold. Seeds and bounds are exact: nothing that full alignment finds is lost. The windows
 left are aligned inside the task that reads the document: the corpus is never shuffled, and read once.
 
@@ -72,20 +72,38 @@ class Seeds:
         by = np.argsort(flat, kind="stable")
         return cls(np.searchsorted(flat[by], np.arange(n_keys + 1)), of[by])
 
-    def items(self, found: np.ndarray) -> np.ndarray:
-        """Items with a seed among these keys."""
-        keys = np.unique(found[found >= 0])
+    def items(self, keys: np.ndarray) -> np.ndarray:
+        """Items with a seed among these distinct keys."""
         first, size = self.start[keys], self.start[keys + 1] - self.start[keys]
         return np.unique(self.item[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())])
 
 
-def _common(found: np.ndarray, keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, int]:
-    """Where a document holds a key of an item (sorted distinct keys and how often each), and how many both hold."""
+class Numbers(dict):
+    """Numbers of words; -1 for any other word."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
+def _kinds(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys found, sorted, and how often each occurs; -1 is none."""
+    return np.unique(found[found >= 0], return_counts=True)
+
+
+def _common(mine: tuple[np.ndarray, np.ndarray], its: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many keys two sides hold in common, each as often as both do. The shorter side is looked up in the longer one."""
+    (keys, count), (other, times) = (mine, its) if len(mine[0]) <= len(its[0]) else (its, mine)
     if not len(keys):
-        return np.zeros(len(found), dtype=bool), 0
-    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-    hit = keys[at] == found
-    return hit, int(np.minimum(np.bincount(at[hit], minlength=len(keys)), count).sum())
+        return 0
+    at = np.minimum(np.searchsorted(other, keys), len(other) - 1)
+    return int(np.minimum(count, times[at])[other[at] == keys].sum())
+
+
+def _places(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where a document holds one of these sorted keys."""
+    if not len(keys):
+        return np.zeros(len(found), dtype=bool)
+    return keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found
 
 
 @dataclass
@@ -94,7 +112,7 @@ class Items:
 
     ids: list[int]
     words: list[np.ndarray]
-    number: dict[str, int]
+    number: Numbers
     n: int
     pairs: np.ndarray  # sorted codes
     needs: np.ndarray  # the score that a passage needs
@@ -102,11 +120,10 @@ class Items:
     pair_keys: list[tuple[np.ndarray, np.ndarray]]
     word_seeds: Seeds
     pair_seeds: Seeds
-    no_pair_needed: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]], n: int, threshold: float) -> Items:
-        number: dict[str, int] = {}
+        number = Numbers()
         ids, words = [], []
         for i, text in rows:
             if w := words_of(text):
@@ -118,17 +135,16 @@ class Items:
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         needs = MATCH * sizes * np.where(sizes < n, 1.0, threshold)
         # A score of s takes s / 2 words of the item, and s - 1 less its words as pairs: M words and B pairs give M + B + 1 at most.
-        least_words = [max(1, math.ceil(s / MATCH - 1e-9)) for s in needs]
         least_pairs = [math.ceil(s - 1 - m - 1e-9) for s, m in zip(needs, sizes, strict=True)]
+        least_words = [math.ceil(s / MATCH - 1e-9) if p < 1 else 0 for s, p in zip(needs, least_pairs, strict=True)]
         return cls(
             ids, words, number, n, pairs, needs, [np.unique(w, return_counts=True) for w in words], [np.unique(k, return_counts=True) for k in own_pairs],
-            Seeds.of(words, least_words, len(number)), Seeds.of(own_pairs, least_pairs, len(pairs)), np.flatnonzero(np.array(least_pairs) <= 0),
+            Seeds.of(words, least_words, len(number)), Seeds.of(own_pairs, least_pairs, len(pairs)),
         )
 
     def numbers(self, text: str | None) -> np.ndarray:
         """Numbers of a document's words; -1 for words of no item."""
-        get = self.number.get
-        return np.array([get(w, -1) for w in words_of(text)], dtype=np.int64)
+        return np.array(list(map(self.number.__getitem__, words_of(text))), dtype=np.int64)
 
     def pairs_of(self, w: np.ndarray) -> np.ndarray:
         """For each word but the last, the index of its pair with the next word; -1 for pairs of no item."""
@@ -141,10 +157,10 @@ class Items:
             out[at[hit]] = i[hit]
         return out
 
-    def candidates(self, w: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Items that a document of these words and pairs can hold a passage of, by their seeds."""
-        by_pairs = np.union1d(self.pair_seeds.items(pairs), self.no_pair_needed)
-        return np.intersect1d(by_pairs, self.word_seeds.items(w), assume_unique=True) if len(by_pairs) else by_pairs
+    def candidates(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Items that a document of these distinct words and pairs can hold a passage of, by their seeds."""
+        by_pairs = self.pair_seeds.items(pairs)
+        return np.union1d(by_pairs, self.word_seeds.items(words)) if len(self.word_seeds.item) else by_pairs
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -188,14 +204,13 @@ def matches(items: Items, w: np.ndarray) -> list[tuple[int, float, int, int]]:
     if not len(items.ids) or not (w >= 0).any():
         return []
     pairs, out = items.pairs_of(w), []
-    for k in items.candidates(w, pairs).tolist():
+    words, doubles = _kinds(w), _kinds(pairs)
+    for k in items.candidates(words[0], doubles[0]).tolist():
         item, need = items.words[k], items.needs[k]
-        mine, n_words = _common(w, *items.word_keys[k])
-        if MATCH * n_words < need:
-            continue
-        both, n_pairs = _common(pairs, *items.pair_keys[k])
-        if n_words + n_pairs + 1 < need:
+        n_words = _common(words, items.word_keys[k])
+        if MATCH * n_words < need or n_words + _common(doubles, items.pair_keys[k]) + 1 < need:
             continue
+        mine, both = _places(w, items.word_keys[k][0]), _places(pairs, items.pair_keys[k][0])
         m, best = len(item), (0.0, 0, 0)
         for a, b in windows(mine, both, m, need):
             score, end = align(item, w[a:b])
