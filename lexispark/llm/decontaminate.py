@@ -207,8 +207,11 @@ def matches(items: Items, w: np.ndarray) -> list[tuple[int, float, int, int]]:
     words, doubles = _kinds(w), _kinds(pairs)
     for k in items.candidates(words[0], doubles[0]).tolist():
         item, need = items.words[k], items.needs[k]
+        n_pairs = _common(doubles, items.pair_keys[k])
+        if len(item) + n_pairs + 1 < need:
+            continue
         n_words = _common(words, items.word_keys[k])
-        if MATCH * n_words < need or n_words + _common(doubles, items.pair_keys[k]) + 1 < need:
+        if MATCH * n_words < need or n_words + n_pairs + 1 < need:
             continue
         mine, both = _places(w, items.word_keys[k][0]), _places(pairs, items.pair_keys[k][0])
         m, best = len(item), (0.0, 0, 0)
