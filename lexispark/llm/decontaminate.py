@@ -90,13 +90,32 @@ def _kinds(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(found[found >= 0], return_counts=True)
 
 
-def _common(mine: tuple[np.ndarray, np.ndarray], its: tuple[np.ndarray, np.ndarray]) -> int:
-    """How many keys two sides hold in common, each as often as both do. The shorter side is looked up in the longer one."""
-    (keys, count), (other, times) = (mine, its) if len(mine[0]) <= len(its[0]) else (its, mine)
-    if not len(keys):
-        return 0
-    at = np.minimum(np.searchsorted(other, keys), len(other) - 1)
-    return int(np.minimum(count, times[at])[other[at] == keys].sum())
+@dataclass
+class Kinds:
+    """The distinct keys of each item and how often it has each."""
+
+    start: np.ndarray
+    key: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[np.ndarray]) -> Kinds:
+        both = [np.unique(k, return_counts=True) for k in items]
+        return cls(np.cumsum([0, *(len(k) for k, _ in both)]), _joined([k for k, _ in both]), _joined([c for _, c in both]))
+
+    def of_item(self, k: int) -> np.ndarray:
+        return self.key[self.start[k] : self.start[k + 1]]
+
+    def in_common(self, items: np.ndarray, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """For each of some items, how many keys it shares with a document (sorted distinct keys), each as often as both hold it."""
+        if not len(keys) or not len(items):
+            return np.zeros(len(items), dtype=np.int64)
+        size = self.start[items + 1] - self.start[items]
+        at = np.repeat(self.start[items] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        own = self.key[at]
+        place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        shared = np.where(keys[place] == own, np.minimum(self.count[at], times[place]), 0)
+        return np.bincount(np.repeat(np.arange(len(items)), size), weights=shared, minlength=len(items)).astype(np.int64)
 
 
 def _places(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -116,8 +135,9 @@ class Items:
     n: int
     pairs: np.ndarray  # sorted codes
     needs: np.ndarray  # the score that a passage needs
-    word_keys: list[tuple[np.ndarray, np.ndarray]]
-    pair_keys: list[tuple[np.ndarray, np.ndarray]]
+    sizes: np.ndarray
+    word_keys: Kinds
+    pair_keys: Kinds
     word_seeds: Seeds
     pair_seeds: Seeds
 
@@ -138,7 +158,7 @@ class Items:
         least_pairs = [math.ceil(s - 1 - m - 1e-9) for s, m in zip(needs, sizes, strict=True)]
         least_words = [math.ceil(s / MATCH - 1e-9) if p < 1 else 0 for s, p in zip(needs, least_pairs, strict=True)]
         return cls(
-            ids, words, number, n, pairs, needs, [np.unique(w, return_counts=True) for w in words], [np.unique(k, return_counts=True) for k in own_pairs],
+            ids, words, number, n, pairs, needs, sizes, Kinds.of(words), Kinds.of(own_pairs),
             Seeds.of(words, least_words, len(number)), Seeds.of(own_pairs, least_pairs, len(pairs)),
         )
 
@@ -205,15 +225,14 @@ def matches(items: Items, w: np.ndarray) -> list[tuple[int, float, int, int]]:
         return []
     pairs, out = items.pairs_of(w), []
     words, doubles = _kinds(w), _kinds(pairs)
-    for k in items.candidates(words[0], doubles[0]).tolist():
+    may = items.candidates(words[0], doubles[0])
+    n_pairs = items.pair_keys.in_common(may, *doubles)
+    near = items.sizes[may] + n_pairs + 1 >= items.needs[may]
+    may, n_pairs = may[near], n_pairs[near]
+    n_words = items.word_keys.in_common(may, *words)
+    for k in may[(MATCH * n_words >= items.needs[may]) & (n_words + n_pairs + 1 >= items.needs[may])].tolist():
         item, need = items.words[k], items.needs[k]
-        n_pairs = _common(doubles, items.pair_keys[k])
-        if len(item) + n_pairs + 1 < need:
-            continue
-        n_words = _common(words, items.word_keys[k])
-        if MATCH * n_words < need or n_words + n_pairs + 1 < need:
-            continue
-        mine, both = _places(w, items.word_keys[k][0]), _places(pairs, items.pair_keys[k][0])
+        mine, both = _places(w, items.word_keys.of_item(k)), _places(pairs, items.pair_keys.of_item(k))
         m, best = len(item), (0.0, 0, 0)
         for a, b in windows(mine, both, m, need):
             score, end = align(item, w[a:b])
