@@ -3,7 +3,9 @@
 Work is dealt by content. Each window of ``length`` bytes has an anchor: the k-gram of least hash within it, leftmost on a tie.
 Windows in a row with one anchor form a segment of at most 2 * length - k bytes. Equal windows have equal anchors, so a bucket
 of anchor hashes holds all documents that can share a window; map tasks send compressed segments to buckets of a fixed
-expected size.
+expected size. A passage that very many documents hold is aggregated before it is sent: of equal segments that a task sees, those of
+its smallest document alone go to the bucket. The others lie in a later document than an equal one, so they are removed whole. A hot
+bucket thus grows with the tasks, not with the documents.
 
 In a bucket, anchors of one document are dropped. Equal segments are one, with their smallest document. Where an anchor
 has different segments, and some flanks agree far enough for a common window, these are concatenated and their transform is
@@ -37,6 +39,8 @@ ROUNDS = 2
 #: Texts that a compression dictionary is made from, about, and its size. It keeps small blobs small, and changes no result.
 SAMPLE_TEXTS, DICTIONARY_BYTES = 300, 65_536
 CHUNK_BYTES = 2_000_000
+#: Segments that a task remembers, beside those of one chunk.
+SEEN = 200_000
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 
@@ -130,31 +134,86 @@ def _codec(words: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
 
 
+class Seen:
+    """Segments that repeated in a task, with their smallest document, so that later chunks need not send them. What is forgotten is sent."""
+
+    def __init__(self, most: int = SEEN):
+        self.most = most
+        self.a = self.b = np.zeros(0, dtype=np.uint64)
+        self.doc = np.zeros(0, dtype=np.int64)
+
+    def least(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The smallest known document of each segment, the largest number for unknown ones."""
+        out = np.full(len(a), np.iinfo(np.int64).max)
+        if len(self.a):
+            at = np.minimum(np.searchsorted(self.a, a), len(self.a) - 1)
+            hit = (self.a[at] == a) & (self.b[at] == b)
+            out[hit] = self.doc[at[hit]]
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> None:
+        if len(self.a) + len(a) > self.most:
+            self.__init__(self.most)
+        a, b, doc = np.concatenate((self.a, a)), np.concatenate((self.b, b)), np.concatenate((self.doc, doc))
+        order = np.lexsort((doc, a))
+        first = np.concatenate(([True], a[order][1:] != a[order][:-1]))[: len(a)]
+        self.a, self.b, self.doc = (x[order[first]] for x in (a, b, doc))
+
+
+def marks(b: np.ndarray, first: np.ndarray, size: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """What tells segments of one anchor apart: hashes of the first and of the last window, mixed with where these are."""
+    where = size.astype(np.uint64) * _U(0xFF51AFD7ED558CCD) + (anchor - first).astype(np.uint64)
+    return row_hashes(b, first, length) ^ where, row_hashes(b, first + size - length, length) * _U(_BASE) + where
+
+
+def repeats(a: np.ndarray, b: np.ndarray, names: np.ndarray, seen: Seen) -> np.ndarray:
+    """Which segments have an equal one in a smaller document that the task has seen, this chunk included. ``seen`` learns."""
+    order = np.lexsort((names, b, a))
+    new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))[: len(a)]
+    kind = np.empty(len(a), dtype=np.int64)
+    kind[order] = np.cumsum(new) - 1
+    head = order[new]  # of each kind the segment of the smallest document
+    known = seen.least(a[head], b[head])
+    often = (np.bincount(kind, minlength=len(head)) > 1) & (names[head] < known)
+    seen.add(a[head[often]], b[head[often]], names[head[often]])
+    return names > np.minimum(names[head], known)[kind]
+
+
 def send(docs: DataFrame, key: str, text: str, n_buckets: int, length: int, k: int, words: bytes = b"", round_: int = 0, rounds: int = 1) -> DataFrame:
-    """(bucket, blob): compressed segments of a chunk of documents, for each bucket of a round."""
+    """(bucket, blob): compressed segments of a chunk of documents, for each bucket of a round; also runs that are known to go, in
+    blobs of their own for any bucket."""
 
-    def chunk(ids: list[int], texts: list[bytes], pack: zstandard.ZstdCompressor) -> pd.DataFrame:
+    def chunk(ids: list[int], texts: list[bytes], pack: zstandard.ZstdCompressor, seen: Seen) -> pd.DataFrame:
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes)
         b = np.frombuffer(b"".join(texts), dtype=np.uint8)
         h, first, end, anchor, doc = segments(b, ends, sizes, length, k)
         own = np.flatnonzero((h >> _U(8)) % _U(rounds) == _U(round_))
         h, first, end, anchor, doc = h[own], first[own], end[own], anchor[own], doc[own]
+        starts, names = ends - sizes, np.array(ids, dtype=np.int64)
+        buckets, blobs = [], []
+        if len(h):
+            gone = repeats(*marks(b, first, end - first, anchor, length), names[doc], seen)
+            if gone.any():
+                d = doc[gone]
+                body = (names[d], first[gone] - starts[d], end[gone] - first[gone])
+                buckets.append(int(h[0] % _U(n_buckets)))
+                blobs.append(pack.compress(b"".join((np.array([-len(d)], dtype="<i8").tobytes(), *map(_planes, body)))))
+            h, first, end, anchor, doc = (x[~gone] for x in (h, first, end, anchor, doc))
         bucket = ((h >> _U(20)) % _U(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         bucket, first, end, anchor, doc = bucket[order], first[order], end[order], anchor[order], doc[order]
         at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, dtype=int)
-        starts, names = ends - sizes, np.array(ids, dtype=np.int64)
-        blobs = []
-        for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            f, n, d = first[a:z], end[a:z] - first[a:z], doc[a:z]
+        for x, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            f, n, d = first[x:z], end[x:z] - first[x:z], doc[x:z]
             body = b[np.repeat(f - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-            head = (names[d], f - starts[d], n, anchor[a:z] - f)
-            blobs.append(pack.compress(b"".join((np.array([z - a], dtype="<i8").tobytes(), *map(_planes, head), body.tobytes()))))
-        return pd.DataFrame({"bucket": bucket[at[:-1]] if len(bucket) else [], "blob": blobs})
+            head = (names[d], f - starts[d], n, anchor[x:z] - f)
+            buckets.append(int(bucket[x]))
+            blobs.append(pack.compress(b"".join((np.array([z - x], dtype="<i8").tobytes(), *map(_planes, head), body.tobytes()))))
+        return pd.DataFrame({"bucket": buckets, "blob": blobs})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=1, **_codec(words))
+        pack, seen = zstandard.ZstdCompressor(level=1, **_codec(words)), Seen()
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, t in zip(batch[key], batch[text], strict=True):
@@ -164,10 +223,10 @@ def send(docs: DataFrame, key: str, text: str, n_buckets: int, length: int, k: i
                     texts.append(raw)
                     size += len(raw)
                 if size >= CHUNK_BYTES:
-                    yield chunk(ids, texts, pack)
+                    yield chunk(ids, texts, pack, seen)
                     ids, texts, size = [], [], 0
         if ids:
-            yield chunk(ids, texts, pack)
+            yield chunk(ids, texts, pack, seen)
 
     return docs.select(key, text).where(F.col(key).isNotNull()).mapInPandas(run, "bucket long, blob binary")
 
@@ -278,11 +337,20 @@ def resolve(blobs: list[bytes], length: int, k: int, words: bytes = b"") -> pd.D
     """(id, first, end): runs of bytes to remove that the segments of one bucket show."""
     empty = pd.DataFrame({"id": np.zeros(0, dtype="int64"), "first": np.zeros(0, dtype="int64"), "end": np.zeros(0, dtype="int64")})
     unpack = zstandard.ZstdDecompressor(**_codec(words))
-    parts = []
+    parts, known = [], []
     for blob in blobs:
         raw = unpack.decompress(blob)
         n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
-        parts.append((*(_unplanes(raw, n, 8 + 8 * n * c) for c in range(4)), np.frombuffer(raw, dtype=np.uint8, offset=8 + 32 * n)))
+        if n < 0:
+            i, f, z = (_unplanes(raw, -n, 8 - 8 * n * c) for c in range(3))
+            known.append(pd.DataFrame({"id": i, "first": f, "end": f + z}))
+        else:
+            parts.append((*(_unplanes(raw, n, 8 + 8 * n * c) for c in range(4)), np.frombuffer(raw, dtype=np.uint8, offset=8 + 32 * n)))
+    found = _resolved(parts, length, k) if parts else None
+    return pd.concat([x for x in (*known, found) if x is not None] or [empty], ignore_index=True)
+
+
+def _resolved(parts: list[tuple[np.ndarray, ...]], length: int, k: int) -> pd.DataFrame | None:
     doc, pos, size, anchor, contents = (np.concatenate(c) for c in zip(*parts, strict=True))
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
     grams = row_hashes(contents, start + anchor, k)
@@ -295,7 +363,7 @@ def resolve(blobs: list[bytes], length: int, k: int, words: bytes = b"") -> pd.D
     np.maximum.at(high, group, doc)
     many = np.flatnonzero((low < high)[group])
     if not len(many):
-        return empty
+        return None
     doc, pos, size, anchor, start, group = doc[many], pos[many], size[many], anchor[many], start[many], group[many]
     # Equal segments of one anchor: the first and the last window, where they are, and the size tell a segment.
     mark = row_hashes(contents, start, length) * _U(0x9E3779B97F4A7C15) + row_hashes(contents, start + size - length, length)

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lexispark.llm import components, decontaminate, ngram_join, nn_graph, queries, substring_dedup
@@ -148,6 +149,42 @@ def test_substrings(spark, length, k, size):
     assert substring_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_substrings_of_a_passage_in_every_document(spark):
+    rng = random.Random(17)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(60)) + passage[rng.randint(0, 9) : 390 + rng.randint(0, 9)] + f" {i} end" for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    # Of thousands of equal segments each task sends one; the rest it settles itself.
+    sent = substring_dedup.send(docs, "doc_id", "text", 4, 50, 20)
+    sizes = [r.n for r in sent.groupBy("bucket").agg(F.sum(F.length("blob")).alias("n")).collect()]
+    assert sum(sizes) < 0.7 * sum(map(len, texts))
+    unpack = zstandard.ZstdDecompressor()
+    kept = [n for r in sent.collect() if (n := int.from_bytes(unpack.decompress(bytes(r.blob))[:8], "little", signed=True)) > 0]
+    settled = [-n for r in sent.collect() if (n := int.from_bytes(unpack.decompress(bytes(r.blob))[:8], "little", signed=True)) < 0]
+    assert len(settled) >= 6 and sum(settled) > 3000 * 10
+    want = cover_brute([(i, t.encode()) for i, t in enumerate(texts)], 50)
+    for r in substring_dedup.dedup(docs).collect():
+        cover = np.zeros(len(texts[r.doc_id]), dtype=bool)
+        for s in r.spans:
+            cover[s.first : s.end] = True
+        assert (cover == want[r.doc_id]).all()
+    assert sum(kept) < 3000 * 12
+
+
+def test_segments_that_a_task_forgets_are_sent(spark):
+    few, all_ = substring_dedup.Seen(3), substring_dedup.Seen()
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a, b, names = rng.integers(0, 9, 40).astype(np.uint64), rng.integers(0, 2, 40).astype(np.uint64), rng.integers(0, 50, 40)
+        least = {}
+        for x, y, d in zip(a.tolist(), b.tolist(), names.tolist()):
+            least[x, y] = min(d, least.get((x, y), d))
+        here = np.array([d > least[x, y] for x, y, d in zip(a.tolist(), b.tolist(), names.tolist())])
+        for seen in (few, all_):
+            gone = substring_dedup.repeats(a, b, names, seen)
+            assert (gone | ~here).all() and len(seen.a) <= seen.most + 9  # that of one chunk more
+
+
 def test_substring_query(spark, sf):
     rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = cover_brute(rows, 50)
