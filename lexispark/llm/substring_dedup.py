@@ -195,10 +195,12 @@ def send(docs: DataFrame, key: str, text: str, n_buckets: int, length: int, k: i
         if len(h):
             gone = repeats(*marks(b, first, end - first, anchor, length), names[doc], seen)
             if gone.any():
-                d = doc[gone]
-                body = (names[d], first[gone] - starts[d], end[gone] - first[gone])
+                # Segments of a document overlap, so a copied part is one run.
+                d, f, e = doc[gone], first[gone], end[gone]
+                new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (f[1:] > e[:-1]))))
+                d, f, e = d[new], f[new], e[np.append(new[1:] - 1, len(e) - 1)]
                 buckets.append(int(h[0] % _U(n_buckets)))
-                blobs.append(pack.compress(b"".join((np.array([-len(d)], dtype="<i8").tobytes(), *map(_planes, body)))))
+                blobs.append(pack.compress(b"".join((np.array([-len(d)], dtype="<i8").tobytes(), *map(_planes, (names[d], f - starts[d], e - f))))))
             h, first, end, anchor, doc = (x[~gone] for x in (h, first, end, anchor, doc))
         bucket = ((h >> _U(20)) % _U(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
