@@ -10,14 +10,16 @@ Partitions are sized by rows, so tasks hold a bounded part of links; no group is
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, as query or
 candidate; equal vectors all are candidates, ties to the smaller id; a query returns all candidates if fewer than k exist; repeated
-ids are repeated candidates; further columns are ignored; an empty table gives no rows.
+ids are repeated candidates, and as queries give rows each; further columns are ignored; an empty table gives no rows.
 
 Vectors without structure, such as random ones, are the hardest case: the graph converges slowly and a search must look at several
-hundredths of a small table. EXPAND and SEARCH_ROUNDS are set for a recall of 0.9 on these.
+hundredths of a small table. EXPAND and SEARCH_ROUNDS are set for a recall of 0.9 on these, and searches go on for as long as many of them still find
+nearer nodes.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,8 +42,11 @@ EXPAND = 64
 SEARCH_ROUNDS = 8
 #: How many of a query's pool, for each neighbour wanted, are compared exactly.
 EXACT = 5
-#: Bytes of rows that a task holds at once.
+#: Searches go on for more rounds while more than this share of the queries found a nearer neighbour in the last one.
+MOVING = 0.02
+#: Bytes of rows that a task holds at once, and nodes whose first links it finds.
 TASK_BYTES = 24_000_000
+TASK_NODES = 8192
 
 
 def usable(v: Column) -> Column:
@@ -137,7 +142,7 @@ def build_graph(nodes: DataFrame, n: int, width: int, degree: int = DEGREE, reve
     directions = np.random.default_rng(seed).normal(size=(width, DIRECTIONS)).astype("float32")
     first = None
     for d in range(DIRECTIONS):
-        dealt = nodes.select("id", "x", _along(directions[:, d])("x").alias("p")).repartitionByRange(buckets_for(n * (2 * width + 16), TASK_BYTES), "p", "id")
+        dealt = nodes.select("id", "x", _along(directions[:, d])("x").alias("p")).repartitionByRange(max(buckets_for(n * (2 * width + 16), TASK_BYTES), buckets_for(n, TASK_NODES)), "p", "id")
         part = dealt.mapInPandas(chunks, "u long, w long, s float")
         first = part if first is None else first.union(part)
     parts = buckets_for(n * degree * 40 * DIRECTIONS, TASK_BYTES)
@@ -183,7 +188,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, width
     entry = nodes.orderBy(F.xxhash64("id")).limit(ENTRIES).collect()
     entry_ids = np.array([r["id"] for r in entry], dtype="<i8")
     entry_x = _matrix([bytes(r["x"]) for r in entry]) if entry else np.zeros((0, width), dtype=np.float32)
-    state_type = "q long, x binary, ids binary, sims binary, done binary, next array<long>"
+    state_type = "q long, x binary, ids binary, sims binary, done binary, next array<long>, moved boolean"
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -191,13 +196,13 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, width
             # A query's own node is expanded first: its links are its neighbours.
             yield pd.DataFrame({
                 "q": b["q"], "x": b["x"], "ids": [entry_ids.tobytes()] * len(b), "sims": [s.astype("<f4").tobytes() for s in sims],
-                "done": [bytes(len(entry_ids))] * len(b), "next": [[q] for q in b["q"]],
+                "done": [bytes(len(entry_ids))] * len(b), "next": [[q] for q in b["q"]], "moved": True,
             })
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sims = [(np.frombuffer(xs, dtype="<f2").reshape(-1, width).astype(np.float32) @ np.frombuffer(x, dtype="<f2").astype(np.float32)).tobytes() for x, xs in zip(b["x"], b["xs"], strict=True)]
-            yield pd.DataFrame({"q": b["q"], "x": None, "ids": b["ws"], "sims": sims, "done": None, "next": None})
+            yield pd.DataFrame({"q": b["q"], "x": None, "ids": b["ws"], "sims": sims, "done": None, "next": None, "moved": None})
 
     def advance(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -206,7 +211,8 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, width
         q = rows["q"].to_numpy()
         for a, b in _segments(q):
             xs, ids, sims, done = (c[a:b] for c in columns)
-            x = next(v for v in xs if v is not None)
+            at = next(k for k, v in enumerate(xs) if v is not None)
+            x, before = xs[at], np.frombuffer(ids[at], dtype="<i8")[: keep // EXACT]
             i = np.frombuffer(b"".join(ids), dtype="<i8")
             s = np.frombuffer(b"".join(sims), dtype="<f4")
             d = np.frombuffer(b"".join(z if z is not None else bytes(len(w) // 8) for z, w in zip(done, ids, strict=True)), dtype=np.uint8)
@@ -218,15 +224,19 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, width
             i, s, d = i[order], s[order], d[order].copy()
             todo = np.flatnonzero(d == 0)[:expand]
             d[todo] = 1
-            out.append((q[a], x, i.tobytes(), s.tobytes(), d.tobytes(), i[todo].tolist()))
-        return pd.DataFrame(out, columns=["q", "x", "ids", "sims", "done", "next"])
+            out.append((q[a], x, i.tobytes(), s.tobytes(), d.tobytes(), i[todo].tolist(), len(np.setdiff1d(i[: keep // EXACT], before)) > 0))
+        return pd.DataFrame(out, columns=["q", "x", "ids", "sims", "done", "next", "moved"])
 
     state = queries.mapInPandas(begin, state_type)
-    for _ in range(rounds):
+    for k in itertools.count(1):
         frontier = state.select("q", "x", F.explode("next").alias("u"))
         seen = frontier.join(inline, "u").select("q", "x", "ws", "xs").mapInPandas(compare, state_type)
-        both = state.select("q", "x", "ids", "sims", "done", F.lit(None).cast("array<long>").alias("next")).union(seen)
+        both = state.select("q", "x", "ids", "sims", "done", F.lit(None).cast("array<long>").alias("next"), F.lit(None).cast("boolean").alias("moved")).union(seen)
         state = cut(_whole(both, "q", buckets_for(n // 20 * expand * 2 * DEGREE * 16, TASK_BYTES), advance, state_type), "pool")
+        moving, asked = state.agg(F.count_if("moved"), F.count(F.lit(1))).first()
+        # ``rounds`` at least, and more for as long as many still move.
+        if k >= rounds and moving <= MOVING * asked:
+            break
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -241,7 +251,12 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     rows = vectors.select(F.col(key).alias("vec_id"), F.col(vector).alias("v"), is_query.alias("is_query")).where(usable(F.col("v")))
     groups = rows.groupBy("v").agg(F.min("vec_id").alias("id"), F.max(F.coalesce("is_query", F.lit(False))).alias("asked"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    classes = cut(groups.withColumn("square", square).dropDuplicates(["id"]), "vectors")
+    classes = cut(groups.withColumn("square", square), "vectors")
+    shared = classes.groupBy("id").count().where("count > 1").select(F.col("id").alias("_id"), F.lit(True).alias("_shared"))
+    if not shared.isEmpty():
+        # Unlike vectors of one vec_id: nodes of their own.
+        apart = F.when(F.col("_shared"), F.xxhash64("id", "v")).otherwise(F.col("id"))
+        classes = cut(classes.join(shared, F.col("id") == F.col("_id"), "left").select("v", apart.alias("id"), "asked", "square"), "vectors")
     facts = classes.agg(F.count(F.lit(1)), F.max("square"), F.max(F.size("v"))).first()
     n, longest, width = facts[0], facts[1] or 1.0, (facts[2] or 0) + 1
 

@@ -347,6 +347,10 @@ def test_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in nn_graph.nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(2, 1.0), (1, 0.0)]
     assert nn_graph.nearest(few.limit(0), F.col("vec_id") == 0).count() == 0
+    # A repeated id is a repeated candidate, with unlike vectors too.
+    again = few.union(spark.createDataFrame([(1, [3.0, 0.0]), (2, [1.0, 1.0])], few.schema))
+    found = [(r.vec_id, r.score) for r in nn_graph.nearest(again, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert found == [(1, 3.0), (2, 1.0), (2, 1.0), (1, 0.0)]
 
 
 def test_neighbour_query_recall(spark, sf):
