@@ -215,7 +215,7 @@ def send(docs: DataFrame, key: str, text: str, n_buckets: int, length: int, k: i
         return pd.DataFrame({"bucket": buckets, "blob": blobs})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack, seen = zstandard.ZstdCompressor(level=1, **_codec(words)), Seen()
+        pack, seen = zstandard.ZstdCompressor(level=3, **_codec(words)), Seen()
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, t in zip(batch[key], batch[text], strict=True):
