@@ -91,21 +91,21 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(b: np.ndarray, ends: np.ndarray, sizes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(hash, first byte, end, anchor, document index) of each segment of concatenated documents."""
+    """The hash of each k-gram of concatenated documents; and (hash, first byte, end, anchor, document index) of each segment."""
     none = np.zeros(0, dtype=np.int64)
     if len(b) < length:
-        return none.astype(np.uint64), none, none, none, none
+        return none, none.astype(np.uint64), none, none, none, none
     h = gram_hashes(b, k)
     key = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     low = (sliding_min(key, length - k + 1) & _U(0xFFFFFFFF)).astype(np.int64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     start = np.flatnonzero(np.arange(len(low)) + length <= ends[owner[: len(low)]])
     if not len(start):
-        return none.astype(np.uint64), none, none, none, none
+        return h, none.astype(np.uint64), none, none, none, none
     anchor, doc = low[start], owner[start]
     new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))
     last = start[np.append(new[1:] - 1, len(start) - 1)]
-    return h[anchor[new]], start[new], last + length, anchor[new], doc[new]
+    return h, h[anchor[new]], start[new], last + length, anchor[new], doc[new]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -160,10 +160,18 @@ class Seen:
         self.a, self.b, self.doc = (x[order[first]] for x in (a, b, doc))
 
 
-def marks(b: np.ndarray, first: np.ndarray, size: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """What tells segments of one anchor apart: hashes of the first and of the last window, mixed with where these are."""
-    where = size.astype(np.uint64) * _U(0xFF51AFD7ED558CCD) + (anchor - first).astype(np.uint64)
-    return row_hashes(b, first, length) ^ where, row_hashes(b, first + size - length, length) * _U(_BASE) + where
+def marks(h: np.ndarray, first: np.ndarray, size: np.ndarray, anchor: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """What tells segments of one anchor apart: the hashes of k-grams that cover the first and the last window, mixed with where these
+    are. Both windows cover a segment, as it has at most 2 * length - k bytes."""
+    steps = [*range(0, length - k, k), length - k]
+    out = []
+    for at in (first, first + size - length):
+        m = size.astype(np.uint64) * _U(0xFF51AFD7ED558CCD) + (anchor - first).astype(np.uint64)
+        for step in steps:
+            m = (m ^ h[at + step]) * _U(_BASE)
+            m ^= m >> _U(29)
+        out.append(m)
+    return out[0], out[1]
 
 
 def repeats(a: np.ndarray, b: np.ndarray, names: np.ndarray, seen: Seen) -> np.ndarray:
@@ -187,13 +195,13 @@ def send(docs: DataFrame, key: str, text: str, n_buckets: int, length: int, k: i
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes)
         b = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        h, first, end, anchor, doc = segments(b, ends, sizes, length, k)
+        grams, h, first, end, anchor, doc = segments(b, ends, sizes, length, k)
         own = np.flatnonzero((h >> _U(8)) % _U(rounds) == _U(round_))
         h, first, end, anchor, doc = h[own], first[own], end[own], anchor[own], doc[own]
         starts, names = ends - sizes, np.array(ids, dtype=np.int64)
         buckets, blobs = [], []
         if len(h):
-            gone = repeats(*marks(b, first, end - first, anchor, length), names[doc], seen)
+            gone = repeats(*marks(grams, first, end - first, anchor, length, k), names[doc], seen)
             if gone.any():
                 # Segments of a document overlap, so a copied part is one run.
                 d, f, e = doc[gone], first[gone], end[gone]
@@ -215,7 +223,7 @@ def send(docs: DataFrame, key: str, text: str, n_buckets: int, length: int, k: i
         return pd.DataFrame({"bucket": buckets, "blob": blobs})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack, seen = zstandard.ZstdCompressor(level=3, **_codec(words)), Seen()
+        pack, seen = zstandard.ZstdCompressor(level=2, **_codec(words)), Seen()
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, t in zip(batch[key], batch[text], strict=True):
