@@ -14,7 +14,7 @@ ids are repeated candidates, and as queries give rows each; further columns are
 
 Vectors without structure, such as random ones, are the hardest case: the graph converges slowly and a search must look at several
 hundredths of a small table. EXPAND and SEARCH_ROUNDS are set for a recall of 0.9 on these, and searches go on for as long as many of them still find
-nearer nodes.
+nearer nodes; one that has found none for QUIET rounds asks for no more.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ INTO = 24
 ENTRIES = 32
 POOL = 600
 EXPAND = 64
-SEARCH_ROUNDS = 8
+SEARCH_ROUNDS = 4
+#: A query stops after so many rounds in a row without a nearer neighbour.
+QUIET = 3
 #: How many of a query's pool, for each neighbour wanted, are compared exactly.
 EXACT = 5
 #: Searches go on for more rounds while more than this share of the queries found a nearer neighbour in the last one.
@@ -184,33 +186,46 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, width
         return pd.DataFrame({"u": [u[a] for a, _ in cuts], "ws": [w[a:b].tobytes() for a, b in cuts], "xs": [b"".join(x[a:b]) for a, b in cuts]})
 
     inline = cut(_whole(near, "u", buckets_for(n * 2 * DEGREE * (2 * width + 24), TASK_BYTES), beside, "u long, ws binary, xs binary"), "inline")
-    # Entry nodes: a fixed number, so that a search can leave a part of the graph that nothing links to the rest.
+    # Entry nodes: a fixed number, so that a search can leave a part of the graph that nothing links to the rest. Every query begins
+    # with them and their neighbours (a bounded number, too), so that no node is joined with all queries.
     entry = nodes.orderBy(F.xxhash64("id")).limit(ENTRIES).collect()
-    entry_ids = np.array([r["id"] for r in entry], dtype="<i8")
-    entry_x = _matrix([bytes(r["x"]) for r in entry]) if entry else np.zeros((0, width), dtype=np.float32)
-    state_type = "q long, x binary, ids binary, sims binary, done binary, next array<long>, moved boolean"
+    known = {r["id"]: bytes(r["x"]) for r in entry}
+    for r in inline.where(F.col("u").isin([e["id"] for e in entry])).collect():
+        step = 2 * width
+        known.update((w, bytes(r["xs"][k * step : (k + 1) * step])) for k, w in enumerate(np.frombuffer(r["ws"], dtype="<i8").tolist()))
+    entry_ids = np.array(list(known), dtype="<i8")
+    entry_done = np.isin(entry_ids, [e["id"] for e in entry]).astype(np.uint8)
+    entry_x = _matrix(list(known.values())) if known else np.zeros((0, width), dtype=np.float32)
+    state_type = "q long, x binary, ids binary, sims binary, done binary, next array<long>, quiet int"
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sims = _matrix(b["x"]) @ entry_x.T if len(b) else []
-            # A query's own node is expanded first: its links are its neighbours.
-            yield pd.DataFrame({
-                "q": b["q"], "x": b["x"], "ids": [entry_ids.tobytes()] * len(b), "sims": [s.astype("<f4").tobytes() for s in sims],
-                "done": [bytes(len(entry_ids))] * len(b), "next": [[q] for q in b["q"]], "moved": True,
-            })
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                b = whole.iloc[at : at + 1000]
+                sims = (_matrix(b["x"]) @ entry_x.T).astype("<f4")
+                order = np.argsort(-sims, axis=1, kind="stable")[:, :pool]
+                # A query's own node is expanded first: its links are its neighbours.
+                yield pd.DataFrame({
+                    "q": b["q"], "x": b["x"], "ids": [entry_ids[o].tobytes() for o in order], "sims": [v[o].tobytes() for v, o in zip(sims, order, strict=True)],
+                    "done": [entry_done[o].tobytes() for o in order], "next": [[q] for q in b["q"]], "quiet": 0,
+                })
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sims = [(np.frombuffer(xs, dtype="<f2").reshape(-1, width).astype(np.float32) @ np.frombuffer(x, dtype="<f2").astype(np.float32)).tobytes() for x, xs in zip(b["x"], b["xs"], strict=True)]
-            yield pd.DataFrame({"q": b["q"], "x": None, "ids": b["ws"], "sims": sims, "done": None, "next": None, "moved": None})
+            sims: list[bytes] = []
+            # The join leaves rows of one node side by side: its neighbours are read once for all queries that ask for it.
+            for a, z in _segments(b["u"].to_numpy()) if len(b) else []:
+                near = np.frombuffer(b["xs"].iat[a], dtype="<f2").reshape(-1, width).astype(np.float32)
+                sims += [v.tobytes() for v in _matrix(b["x"].iloc[a:z]) @ near.T]
+            yield pd.DataFrame({"q": b["q"], "x": None, "ids": b["ws"], "sims": sims, "done": None, "next": None, "quiet": None})
 
     def advance(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         rows = rows.sort_values("q", kind="stable")
-        columns = [rows[c].tolist() for c in ("x", "ids", "sims", "done")]
+        columns = [rows[c].tolist() for c in ("x", "ids", "sims", "done", "quiet")]
         q = rows["q"].to_numpy()
         for a, b in _segments(q):
-            xs, ids, sims, done = (c[a:b] for c in columns)
+            xs, ids, sims, done, quiet = (c[a:b] for c in columns)
             at = next(k for k, v in enumerate(xs) if v is not None)
             x, before = xs[at], np.frombuffer(ids[at], dtype="<i8")[: keep // EXACT]
             i = np.frombuffer(b"".join(ids), dtype="<i8")
@@ -222,18 +237,19 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, width
             i, s, d = i[once], s[once], d[once]
             order = np.lexsort((i, -s))[:pool]
             i, s, d = i[order], s[order], d[order].copy()
-            todo = np.flatnonzero(d == 0)[:expand]
+            still = 0 if len(np.setdiff1d(i[: keep // EXACT], before)) else int(quiet[at]) + 1
+            todo = np.flatnonzero(d == 0)[: expand if still < QUIET else 0]
             d[todo] = 1
-            out.append((q[a], x, i.tobytes(), s.tobytes(), d.tobytes(), i[todo].tolist(), len(np.setdiff1d(i[: keep // EXACT], before)) > 0))
-        return pd.DataFrame(out, columns=["q", "x", "ids", "sims", "done", "next", "moved"])
+            out.append((q[a], x, i.tobytes(), s.tobytes(), d.tobytes(), i[todo].tolist(), still))
+        return pd.DataFrame(out, columns=["q", "x", "ids", "sims", "done", "next", "quiet"])
 
     state = queries.mapInPandas(begin, state_type)
     for k in itertools.count(1):
         frontier = state.select("q", "x", F.explode("next").alias("u"))
-        seen = frontier.join(inline, "u").select("q", "x", "ws", "xs").mapInPandas(compare, state_type)
-        both = state.select("q", "x", "ids", "sims", "done", F.lit(None).cast("array<long>").alias("next"), F.lit(None).cast("boolean").alias("moved")).union(seen)
+        seen = frontier.join(inline, "u").select("q", "u", "x", "ws", "xs").mapInPandas(compare, state_type)
+        both = state.select("q", "x", "ids", "sims", "done", F.lit(None).cast("array<long>").alias("next"), "quiet").union(seen)
         state = cut(_whole(both, "q", buckets_for(n // 20 * expand * 2 * DEGREE * 16, TASK_BYTES), advance, state_type), "pool")
-        moving, asked = state.agg(F.count_if("moved"), F.count(F.lit(1))).first()
+        moving, asked = state.agg(F.count_if(F.col("quiet") == 0), F.count(F.lit(1))).first()
         # ``rounds`` at least, and more for as long as many still move.
         if k >= rounds and moving <= MOVING * asked:
             break
