@@ -12,7 +12,8 @@ hash, each with a pass of its own, so that neither a task nor the driver holds m
 
 Defined results: words are runs of word characters of the lower-cased text; null or empty documents and items without a word
 match nothing; an item of fewer than n words has to occur whole; repeated items and repeated documents each give
-rows; of several passages of a document the best counts, the first on a tie; further columns are ignored.
+rows; of several passages of a document the best counts, the first on a tie; rows without an id keep
+their null, and ids of any size stay exact beside it; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -271,14 +273,16 @@ def find(docs: DataFrame, slices: Sequence[Items], key: str = "doc_id", text: st
     get this slice alone."""
 
     def passages(part: Items) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = []
-                for i, t in zip(b[key], b[text], strict=True):
-                    out += [(i, part.ids[k], s, a, z) for k, s, a, z in matches(part, part.numbers(t))]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "first_word", "end_word"])
-
-        return docs.select(key, text).mapInPandas(run, "doc_id long, item_id long, score double, first_word long, end_word long")
+                out = [(row, part.ids[k], s, a, z) for row, t in enumerate(b.column(1).to_pylist()) for k, s, a, z in matches(part, part.numbers(t))]
+                rows, items, scores, firsts, ends = ([x[c] for x in out] for c in range(5))
+                # Ids of documents are taken as they are: as numbers of pandas they would be floats beside a null.
+                columns = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(scores, pa.float64()), pa.array(firsts, pa.int64()), pa.array(ends, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "first_word", "end_word"])
+
+        ids = F.col(key).cast("long").alias("doc_id")
+        return docs.select(ids, F.col(text).alias("text")).mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long")
 
     if len(slices) == 1:
         return passages(slices[0])

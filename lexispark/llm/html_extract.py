@@ -8,7 +8,7 @@ strength of the edges is then chosen on sampled pages that the fit has not seen:
 the one that errs least where half of the blocks lose what names say, then the one nearest the default. Pages are handled one by one in map tasks.
 
 Defined results: a null or empty page, or one without content, has an empty text; comments, scripts, styles, titles and the like hold no
-text; a tag that never ends takes the rest of the page with it, an element that never ends lasts to the end of its parent;
+text, and a self-closing ``svg`` or ``math`` ends there; a tag that never ends takes the rest of the page with it, an element that never ends lasts to the end of its parent;
 ``br`` is white space; character references without a semicolon are decoded as browsers do; a block whose costs tie is boilerplate;
 repeated pages each give a row; an empty table gives none; a long page is cut whole, in time near linear in its blocks; further
 columns and clashing names do not matter.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -62,7 +62,7 @@ _SLUGS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd".split())
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>|<({_SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -122,6 +122,7 @@ def blocks(page: str | None) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # name, zone, number, hint
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name in the stack
     parts: list[str] = []
     linked, in_link, number, last = 0, False, 0, 0
     page = page or ""
@@ -137,6 +138,11 @@ def blocks(page: str | None) -> list[Block]:
             parts.clear()
         linked = 0
 
+    def leave(k: int) -> None:
+        for name, *_ in stack[k:]:
+            places[name].pop()
+        del stack[k:]
+
     for m in _TOKEN.finditer(page):
         start = m.start()
         if start > last:
@@ -159,14 +165,12 @@ def blocks(page: str | None) -> list[Block]:
         if tag in _VOID:
             continue
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if not block and k:
-                        flush()
-                    del stack[k:]
-                    break
-                if block and stack[k][0] in ("body", "html"):
-                    break
+            # An end tag closes the innermost element of its name; a block's does not reach out of the body.
+            k = places[tag][-1] if places[tag] else 0
+            if k and not (block and any(places[x] and places[x][-1] > k for x in ("body", "html"))):
+                if not block:
+                    flush()
+                leave(k)
             continue
         says, hint = element_says(tag, m[4].strip())
         if not block and says in (0, 2):
@@ -175,14 +179,15 @@ def blocks(page: str | None) -> list[Block]:
             flush()
         else:
             if stack[-1][0] == "p":
-                stack.pop()
+                leave(len(stack) - 1)
             for name in _IMPLIED.get(tag, ()):
                 if stack[-1][0] == name:
-                    stack.pop()
+                    leave(len(stack) - 1)
         above = stack[-1][1]
         if says == 2:
             says = 0 if above == 1 else -1
         number += 1
+        places[tag].append(len(stack))
         stack.append((tag, above if above == -1 or not says else says, number, hint or stack[-1][3]))
     if last < len(page):
         tail = _REST.sub("", page[last:])

@@ -7,7 +7,8 @@ by nature. That does not depend on the table's size. Prediction is one pass over
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and not accepted; a text whose best cosine is
 below the rejection cosine keeps its nearest language but is not accepted; a null training language is no label; repeated rows each
-count; an empty table gives no rows, further columns and clashing names do not matter; ties go to the language that sorts first; with no training rows every text is ``und``. Whole texts are used.
+count; an empty table gives no rows, further columns and clashing names do not matter; ties go to the language that sorts first; with no training rows every text is ``und``; ids of
+training rows need not differ nor be there. Whole texts are used.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import cut, forget_others
@@ -93,11 +94,16 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return df[:-1], int(df[-1])
 
 
-def bounded_sample(docs: DataFrame, by: str, key: str, limit: int) -> DataFrame:
-    """About ``limit`` rows for each value of ``by``, those of the smallest hashes of ``key``."""
-    share = docs.groupBy(by).agg((F.lit(float(limit)) / F.count(F.lit(1))).alias("_share"))
-    place = (F.xxhash64(F.col(key).cast("string")).cast("double") + 2.0**63) / 2.0**64
-    return docs.join(F.broadcast(share), by).where(place < F.col("_share")).withColumn("_place", place).drop("_share")
+def bounded_sample(docs: DataFrame, by: str, key: list[str], limit: int) -> DataFrame:
+    """``limit`` rows at most for each value of ``by``, and one at least: those of the smallest hashes of ``key``. Of rows of one hash
+    any stay, so the key should tell rows apart that differ."""
+    place = (F.xxhash64(*(F.col(k).cast("string") for k in key)).cast("double") + 2.0**63) / 2.0**64
+    placed = docs.withColumn("_place", place)
+    share = placed.groupBy(by).agg((F.lit(float(limit)) / F.count(F.lit(1))).alias("_share"), F.min("_place").alias("_least"))
+    some = placed.join(F.broadcast(share), by).where((F.col("_place") < F.col("_share")) | (F.col("_place") == F.col("_least")))
+    # About ``limit`` rows are left, but for a hash that many have; map tasks keep the first ones already.
+    order = F.row_number().over(Window.partitionBy(by).orderBy("_place"))
+    return some.withColumn("_order", order).where(F.col("_order") <= limit).drop("_share", "_least", "_order")
 
 
 def spherical_clusters(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +146,7 @@ def fit(training: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     rows = training.select(key, text, lang).where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     df, n = document_frequencies(rows, text)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    chosen = cut(bounded_sample(rows, lang, key, sample).select(text, F.col(lang).cast("string").alias("_lang"), "_place"), "languages")  # read twice
+    chosen = cut(bounded_sample(rows, lang, [key, text], sample).select(text, F.col(lang).cast("string").alias("_lang"), "_place"), "languages")  # read twice
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

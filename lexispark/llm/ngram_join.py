@@ -9,8 +9,9 @@
 4. Verified links make the classes.
 
 Defined results: words are runs of word characters of the lower-cased text; a text of fewer than n words is one n-gram of all
-its words; null texts and texts without a word have no n-grams, no links and a class of their own; rows that repeat a doc_id
-with the same text count as copies; extra columns are ignored; an empty table gives no rows.
+its words; null texts and texts without a word have no n-grams, no links and a class of their own; rows of one doc_id are one
+document, that of the longest of their texts; rows without a doc_id have no name to link by and are not returned (the pipeline names them
+first); extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ nodes that are not yet expanded are joined with the graph, which holds the vecto
 Partitions are sized by rows, so tasks hold a bounded part of links; no group is collected, and no list grows with the table.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, as query or
-candidate; equal vectors all are candidates, ties to the smaller id; a query returns all candidates if fewer than k exist; repeated
+candidate, nor do rows without an id, nor vectors of another length than most unlike vectors have (of two such, the longer); equal vectors all are candidates, ties to the smaller id; a query returns all candidates if fewer than k exist; repeated
 ids are repeated candidates, and as queries give rows each; further columns are ignored; an empty table gives no rows.
 
 Vectors without structure, such as random ones, are the hardest case: the graph converges slowly and a search must look at several
@@ -264,10 +264,15 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, width
 
 def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k nearest found, by exact inner product of the original vectors."""
-    rows = vectors.select(F.col(key).alias("vec_id"), F.col(vector).alias("v"), is_query.alias("is_query")).where(usable(F.col("v")))
+    named = vectors.select(F.col(key).alias("vec_id"), F.col(vector).alias("v"), is_query.alias("is_query")).where("vec_id is not null")
+    rows = named.where(usable(F.col("v")))
     groups = rows.groupBy("v").agg(F.min("vec_id").alias("id"), F.max(F.coalesce("is_query", F.lit(False))).alias("asked"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     classes = cut(groups.withColumn("square", square), "vectors")
+    # One row a length.
+    lengths = classes.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("c").desc(), F.col("n").desc()).limit(2).collect()
+    if len(lengths) > 1:
+        classes = classes.where(F.size("v") == lengths[0]["n"])
     shared = classes.groupBy("id").count().where("count > 1").select(F.col("id").alias("_id"), F.lit(True).alias("_shared"))
     if not shared.isEmpty():
         # Unlike vectors of one vec_id: nodes of their own.

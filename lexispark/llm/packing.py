@@ -7,7 +7,7 @@ longest first, which leaves short ones to fill the gaps; a bin is opened only wh
 
 Defined results: a null or empty text is the single end id; a table without rows gives none; rows that repeat a document
 are packed each, told apart by their order in the group; documents longer than the capacity are the only ones cut; ties in length go by
-id and piece; further columns are ignored, and names of the result that the input has do not matter.
+id and piece, rows without an id last; ids of any size stay exact beside nulls; further columns are ignored, and names of the result that the input has do not matter.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,23 +132,27 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """(doc_id, piece, start, length, ids_crc32) of every document, and a number to deal by, without a shuffle."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("packing")
         encoder = word_encoder(path)
         # In turn from a place of its own: rows of one task go to different groups, and what is written stays so.
         turn = zlib.crc32(str(TaskContext.get().partitionId()).encode())
         for batch in batches:
-            out = []
-            encoded = (ids for texts in batches_by_size(batch["text"].tolist()) for ids in encoder.encode(texts))
-            for doc_id, ids in zip(batch["doc_id"], encoded, strict=True):
+            out, rows = [], []
+            encoded = (ids for texts in batches_by_size(batch.column("text").to_pylist()) for ids in encoder.encode(texts))
+            for row, ids in enumerate(encoded):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), turn))
+                    out.append((k, at // 4, len(part) // 4, zlib.crc32(part), turn))
+                    rows.append(row)
                     turn += 1
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "turn"])
+            # Ids are taken as they are: as numbers of pandas they would be floats beside a null.
+            columns = [batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array([x[c] for x in out], pa.int32() if not c else pa.int64()) for c in range(5))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "turn"])
 
-    return docs.select("doc_id", "text").mapInPandas(split, "doc_id long, piece int, start long, length long, ids_crc32 long, turn long")
+    fields = "doc_id long, piece int, start long, length long, ids_crc32 long, turn long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, fields)
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,15 +186,16 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(parts: DataFrame, n_groups: int, capacity: int = CAPACITY) -> DataFrame:
     """parts with sequence_id and offset; one task packs one group."""
 
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        bins, offsets = pack_lengths(group["length"].to_numpy(), capacity)
-        number = int(group["turn"].iloc[0]) % n_groups
-        return group.assign(sequence_id=bins * n_groups + number, offset=offsets).drop(columns=["turn", "_group"])
+    def place(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        bins, offsets = pack_lengths(group.column("length").to_numpy(), capacity)
+        number = group.column("turn")[0].as_py() % n_groups
+        placed = group.append_column("sequence_id", pa.array(bins * n_groups + number)).append_column("offset", pa.array(offsets))
+        return placed.drop_columns(["turn", "_group"])
 
     dealt = parts.withColumn("_group", F.pmod("turn", F.lit(n_groups)))
     fields = ", ".join(f"{n} {t}" for n, t in parts.dtypes if n != "turn")
-    return dealt.groupBy("_group").applyInPandas(place, f"{fields}, sequence_id long, offset long")
+    return dealt.groupBy("_group").applyInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:

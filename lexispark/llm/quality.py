@@ -6,7 +6,8 @@ rows, each weighted by the training rows of its label for one drawn, so scores d
 
 Defined results: a null or empty text has the features of an empty text and gets a score like any other; labels that are null
 or neither 0 nor 1 are ignored; a document labelled twice counts twice; without both labels every score is 0.5; repeated rows
-are scored each. Whole texts are used.
+are scored each; equal texts get equal scores; an empty table gives no rows, and no labels a model all the same; further columns and
+clashing names do not matter. Whole texts of any length are used.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """``limit`` bounds the rows of each label that reach the driver."""
     known = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("_y"))
     # At most about 2 * limit rows of numbers, so the texts need not be shuffled to meet them.
-    rows = docs.select(key, text).join(F.broadcast(bounded_sample(known, "_y", key, limit)), key)
+    rows = docs.select(key, text).join(F.broadcast(bounded_sample(known, "_y", [key], limit)), key)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -14,7 +14,7 @@ marks a longest common prefix of as many bytes as there were rounds, and only su
 what is not set is a common prefix of ``length`` or more, and the suffixes between two ends that are set share a window.
 
 Defined results: a null text is empty; matches are of bytes, inside one document's bounds, on the input; texts shorter than
-``length`` lose nothing; doc_id is a key (a row repeated as a whole is the same document, and not earlier than itself); rows of a null
+``length`` lose nothing; ids of any size stay exact beside nulls; doc_id is a key (a row repeated as a whole is the same document, and not earlier than itself); rows of a null
 doc_id lose nothing; further columns are ignored; an empty table gives no rows.
 """
 
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -460,16 +461,22 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     by_doc = runs.groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(by_doc, F.col("doc_id") == F.col("id"), "left")
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spans_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, t, found in zip(b["doc_id"], b["text"], b["runs"], strict=True):
-                raw = (t or "").encode("utf-8", "surrogatepass")
+            sizes, gone, left = [], [], []
+            for t, found in zip(b.column("text"), b.column("runs"), strict=True):
+                raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 kept, spans = raw, []
-                if found is not None and len(found):
-                    pairs = np.array([(r["first"], r["end"]) for r in found], dtype=np.int64)
-                    kept, spans = remove(raw, pairs[:, 0], pairs[:, 1])
-                out.append((i, len(raw), [{"first": a, "end": z} for a, z in spans], kept))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept"])
-
-    return rows.select("doc_id", "text", "runs").mapInPandas(apply, "doc_id long, n_bytes long, spans array<struct<first:long,end:long>>, kept binary")
+                if found.is_valid and len(found):
+                    kept, spans = remove(raw, found.values.field("first").to_numpy(), found.values.field("end").to_numpy())
+                sizes.append(len(raw))
+                gone.append([{"first": a, "end": z} for a, z in spans])
+                left.append(kept)
+            # Ids pass as they are: as numbers of pandas they would be floats beside a null.
+            columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, spans_type), pa.array(left, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "spans", "kept"])
+
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
+    return rows.mapInArrow(apply, "doc_id long, n_bytes long, spans array<struct<first:long,end:long>>, kept binary")

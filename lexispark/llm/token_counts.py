@@ -4,7 +4,7 @@ Only the length of each document leaves the tokenizing task; documents are summe
 suffix sums run in two levels (blocks of lengths, then lengths inside a block), so no task sees the whole histogram.
 
 Defined results: a null text has 0 tokens, as has an empty one; repeated rows count each; an empty table gives no rows;
-further columns are ignored. Whole texts are encoded, never prefixes; very long runs of white space, on which the encoder's pattern fails,
+further columns are ignored. Whole texts are encoded, never prefixes; long runs of white space, on which the encoder's pattern is slow or fails,
 are encoded as the one piece that the pattern makes of them.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 #: Lengths in one block of the two-level suffix sum.
 BLOCK = 1024
 _encoders: dict = {}
-#: A run of white space (as the pattern has it) that is taken out of a text before encoding.
-_LONG_RUN = re.compile(r"[^\S\x1c-\x1f]{20000,}")
+#: A run of white space (as the pattern has it) that is taken out of a text before encoding, as the pattern takes its square in time.
+_LONG_RUN = re.compile(r"[^\S\x1c-\x1f]{64,}")
 
 
 def encoder(path: str, pattern: str):
