@@ -28,11 +28,23 @@ def classify(new: DataFrame, stored: DataFrame, now: int, fresh_seconds: int, ke
     return new.join(old, key, "left").withColumn("outcome", outcome).drop("_sha", "_at", "_known")
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
-    """A new snapshot: new values win, fields that are not supplied keep theirs. Of new rows of one key, one counts; both it and the
-    join need the rows by key, so they share a shuffle."""
+def one_row_a_key(rows: DataFrame, key: str, order: list[str] | None, last: bool) -> DataFrame:
+    """The last or first row of each key by the columns of ``order`` (fetched_at, if there is one, by default), ties by a hash of the
+    rows, so that the choice is the same in every run."""
+    by = ["fetched_at"] if order is None and "fetched_at" in rows.columns else order or []
+    others = [c for c in rows.columns if c != key]
+    if not others:
+        return rows.distinct()
+    place = F.struct(*by, F.xxhash64(*(c for c in others if c not in by)))
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(key).agg(pick(F.struct(*others), place).alias("_row")).select(key, "_row.*").select(rows.columns)
+
+
+def upsert(stored: DataFrame, new: DataFrame, key: str = "url", order: list[str] | None = None) -> DataFrame:
+    """A new snapshot: new values win, fields that are not supplied keep theirs. Of new rows of one key the last one by ``order`` counts;
+    both it and the join need the rows by key, so they share a shuffle."""
     columns = list(dict.fromkeys([*stored.columns, *new.columns]))
-    s, n = stored.alias("s"), new.dropDuplicates([key]).alias("n")
+    s, n = stored.alias("s"), one_row_a_key(new, key, order, last=True).alias("n")
 
     def merged(c: str) -> Column:
         sides = [F.col(f"{a}.{c}") for a, d in (("n", new), ("s", stored)) if c in d.columns]
@@ -47,8 +59,10 @@ def touch(stored: DataFrame, seen: DataFrame, now: int, key: str = "url") -> Dat
     return stored.join(marks, key, "left").withColumn("checked_at", F.when(F.col("_seen"), F.lit(now).cast("long")).otherwise(F.col("checked_at"))).drop("_seen")
 
 
-def insert_if_absent(stored: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
-    return stored.unionByName(new.join(stored.select(key), key, "left_anti"), allowMissingColumns=True)
+def insert_if_absent(stored: DataFrame, new: DataFrame, key: str = "url", order: list[str] | None = None) -> DataFrame:
+    """stored, and of each key that it lacks the first new row by ``order``."""
+    first = one_row_a_key(new, key, order, last=False)
+    return stored.unionByName(first.join(stored.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
 def within_quota(rows: DataFrame, quota: int, by: str = "source", order: str = "url") -> DataFrame:
@@ -56,6 +70,25 @@ def within_quota(rows: DataFrame, quota: int, by: str = "source", order: str = "
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_n") <= quota).drop("_n")
 
 
+def within_budget(rows: DataFrame, budget: int, order: list[str], block: int = 1000) -> DataFrame:
+    """The first ``budget`` rows by the columns of ``order``, of which the last is a number: a running total over blocks of it, and places
+    inside the block where the budget ends. No task sorts all rows."""
+    *groups, number = order
+    at = [*groups, "_block"]
+    rows = rows.withColumn("_block", F.floor(F.col(number) / block))
+    sizes = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = sizes.withColumn("_before", before).where(F.col("_before") < budget).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*at).orderBy(number))
+    return rows.join(open_, at).withColumn("_place", place).where(F.col("_before") + F.col("_place") <= budget).drop("_block", "_before", "_place")
+
+
+def apply_outcomes(stored: DataFrame, seen: DataFrame, now: int, key: str = "url") -> DataFrame:
+    """A new snapshot: of rows with an outcome, new and changed ones are upserted and unchanged ones marked as checked."""
+    touched = touch(stored, seen.where("outcome = 'unchanged'"), now, key)
+    return upsert(touched, seen.where("outcome in ('new', 'changed')").drop("outcome"), key)
+
+
 def outcomes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
@@ -108,20 +141,22 @@ def crawl(
     max_pages: int = 0,
     max_docs: int = 0,
     fresh_seconds: int = 0,
+    source: str | None = None,
 ) -> DataFrame:
     """Crawl from seeds (url) until no link is new: a round takes all new links of the last one, fetches them, and reads their links.
 
     fetch: (url) -> (url, html). A URL is asked for once, whether or not it answers. A document's key is its URL without the query;
     of several URLs of one key the last round counts, with fresh_seconds the first one, and the largest URL of a round.
-    max_pages bounds the pages that answer, max_docs the new or changed documents and those in ``stored`` together; 0 is no bound, and
-    the rest of a round goes in order of URLs. Returns (url, raw_content, raw_sha256, parsed_text, title, outcome); a page without a
+    max_pages bounds the pages that answer, max_docs the new or changed documents and those in ``stored`` (of ``source``, if named)
+    together; 0 is no bound, and the rest of a round goes in order of URLs. Returns (url, raw_content, raw_sha256, parsed_text, title, outcome); a page without a
     title has its URL for one. Each round is written to the shared folder, which ends its lineage.
     """
     spark = seeds.sparkSession
     root, u = new_path(spark, "crawl"), F.col("url")
     wanted = web.is_allowed_domain(u, allowed) & web.looks_like_html(u) & web.may_follow(u, follow, web.is_document(u, document))
     frontier = seeds.select(web.normalize_url(u).alias("url"))
-    pages_left, docs_left = max_pages, max_docs - (stored.count() if max_docs else 0)
+    own = stored if source is None else stored.where(F.col("source") == source)
+    pages_left, docs_left = max_pages, max_docs - (own.count() if max_docs else 0)
     asked: list[str] = []
     rounds: list[DataFrame] = []
     while (not max_pages or pages_left > 0) and (not max_docs or docs_left > 0):

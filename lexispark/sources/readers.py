@@ -1,4 +1,4 @@
-"""Where rows come from: tables, lines, JSON, files; and pages of remote services through a data source of its own."""
+"""Where rows come from: tables, lines, JSON, files, and pages by a function that fetches them."""
 
 from __future__ import annotations
 
@@ -48,11 +48,21 @@ def jsonl(spark: SparkSession, path: str, schema: str = META) -> DataFrame:
     return parsed.where("r is not null and r._bad is null").select("r.*").drop("_bad")
 
 
-def files(spark: SparkSession, path: str, glob: str = "*", limit: int = 0) -> DataFrame:
-    """(path, content) of whole files as text; bytes that are no UTF-8 are replaced."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    rows = rows.select("path", _decoded("content").alias("content"))
-    return rows.orderBy("path").limit(limit) if limit else rows
+def files(spark: SparkSession, path: str | list[str], glob: str = "*", limit: int = 0) -> DataFrame:
+    """(path, content) of whole files as text; bytes that are no UTF-8 are replaced. With a limit, the first ones by path: these are
+    chosen by a scan of paths alone, and no other file is opened."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    if limit:
+        chosen = [r["path"] for r in found.load(path).select("path").orderBy("path").limit(limit).collect()]
+        if not chosen:
+            return spark.createDataFrame([], "path string, content string")
+        return spark.read.format("binaryFile").load([_escaped(p) for p in chosen]).select("path", _decoded("content").alias("content"))
+    return found.load(path).select("path", _decoded("content").alias("content"))
+
+
+def _escaped(path: str) -> str:
+    """A path that is no pattern, whatever it holds."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
 
 @F.pandas_udf(T.StringType())
@@ -118,15 +128,17 @@ def http_get(url: str, timeout: float = 30, retries: int = 3, pause: float = 1.0
         except urllib.error.HTTPError as e:
             if e.code == 304:
                 return Page(304, dict(e.headers.items()) if e.headers else {}, "")
+            if e.code < 500 and e.code not in (408, 425, 429):
+                return None  # asking again cannot heal it
             time.sleep(pause * attempt)
         except OSError:
             time.sleep(pause * attempt)
     return None
 
 
-def http_text(url: str) -> str | None:
+def http_text(url: str, timeout: float = 30, retries: int = 3) -> str | None:
     """For fetch_with: the text of a page that answers with 200."""
-    page = http_get(url)
+    page = http_get(url, timeout, retries)
     return page.text if page is not None and page.status == 200 else None
 
 
@@ -135,30 +147,7 @@ def fetch_from_table(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda urls: urls.join(pages.select("url", "html"), "url")
 
 
-def esearch_pages(base: str, db: str, term: str, count: int, size: int = 100) -> list[str]:
-    """Addresses of all pages of ids of a search."""
-    return [web.build_url(f"{base}/esearch.fcgi", {"db": db, "term": term, "retstart": s, "retmax": size, "retmode": "json"}) for s in range(0, count, size)]
-
-
-def esearch_count(body: str | None) -> int:
-    """How many ids a search has, by its first page."""
-    return int(json.loads(body or "{}").get("esearchresult", {}).get("count", 0) or 0)
-
-
-def esearch_ids(spark: SparkSession, addresses: list[str], get: Callable[[str], str | None]) -> DataFrame:
-    """(ncbi_id) of search pages, each once."""
-    body = fetch_with(get)(spark.createDataFrame([(a,) for a in addresses], "url string"))
-    ids = F.from_json(F.get_json_object("html", "$.esearchresult.idlist"), "array<string>")
-    return body.select(F.explode(ids).alias("ncbi_id")).where("ncbi_id <> ''").distinct()
-
-
-def ncbi_search(spark: SparkSession, base: str, db: str, terms: list[str], get: Callable[[str], str | None], size: int = 200) -> DataFrame:
-    """(ncbi_id) of some searches, each once. The driver asks for the totals, one answer a term; tasks read the pages of ids."""
-    addresses = [a for t in terms for a in esearch_pages(base, db, t, esearch_count(get(esearch_pages(base, db, t, 1, size)[0])), size)]
-    return esearch_ids(spark, addresses, get)
-
-
-def _page_rows(found: DataFrame, get: Callable[[str], str | None], address: Column, title: Column | None = None) -> DataFrame:
+def page_rows(found: DataFrame, get: Callable[[str], str | None], address: Column, title: Column | None = None) -> DataFrame:
     """found (url, ...) with raw_content, raw_sha256, parsed_text and title of what lies at each address. Rows without an answer go."""
     asked = found.withColumn("_address", address)
     pages = fetch_with(get)(asked.select(F.col("_address").alias("url")).distinct()).withColumnRenamed("url", "_address")
@@ -169,34 +158,6 @@ def _page_rows(found: DataFrame, get: Callable[[str], str | None], address: Colu
     )
 
 
-def ncbi_documents(ids: DataFrame, stored: DataFrame, source: str, base: str, db: str, get: Callable[[str], str | None]) -> DataFrame:
-    """(ncbi_id, url, raw_content, raw_sha256, parsed_text, title) of ids that are not stored (source, ncbi_id) yet."""
-    new = ids.select("ncbi_id").distinct().join(stored.where(F.col("source") == source).select("ncbi_id"), "ncbi_id", "left_anti")
-    found = new.withColumn("url", web.ncbi_article_url(F.lit(source), F.col("ncbi_id")))
-    address = F.concat(F.lit(web.build_url(f"{base}/efetch.fcgi", {"db": db, "retmode": "xml"}) + "&id="), F.url_encode("ncbi_id"))
-    return _page_rows(found, get, address)
-
-
-def plos_documents(spark: SparkSession, addresses: list[str], get: Callable[[str], str | None]) -> DataFrame:
-    """(url, doi, title_display) of pages of a search."""
-    body = fetch_with(get)(spark.createDataFrame([(a,) for a in addresses], "url string"))
-    docs = F.from_json(F.get_json_object("html", "$.response.docs"), "array<struct<id:string,title_display:string>>")
-    found = body.select(F.explode(docs).alias("d")).where("d.id is not null").dropDuplicates(["d"])
-    return found.select(F.concat(F.lit("https://journals.plos.org/plosone/article?id="), F.col("d.id")).alias("url"), F.col("d.id").alias("doi"), "d.title_display")
-
-
-def plos_articles(found: DataFrame, stored: DataFrame, get: Callable[[str], str | None]) -> DataFrame:
-    """Pages of documents that are not stored (url) yet. The title is the search's, else the page's, else the doi."""
-    return _page_rows(found.join(stored.select("url"), "url", "left_anti").dropDuplicates(["url"]), get, F.col("url"), F.col("title_display"))
-
-
-def wikipedia_titles(spark: SparkSession, addresses: list[str], get: Callable[[str], str | None]) -> DataFrame:
-    """(title) of search pages: not empty, without a colon, each once."""
-    body = fetch_with(get)(spark.createDataFrame([(a,) for a in addresses], "url string"))
-    hits = F.from_json(F.get_json_object("html", "$.query.search"), "array<struct<title:string>>")
-    return body.select(F.explode(hits).alias("h")).select("h.title").where("title <> '' and instr(title, ':') = 0").distinct()
-
-
 def wikipedia_articles(titles: DataFrame, get: Callable[[str], str | None], api: str = "https://en.wikipedia.org/w/api.php", site: str = "https://en.wikipedia.org/wiki/") -> DataFrame:
     """(title, url, text): plain text of articles by (title); titles without a page or a text are left out."""
     fixed = web.build_url(api, {"action": "query", "prop": "extracts|info", "explaintext": 1, "exsectionformat": "plain", "inprop": "url", "format": "json"})
@@ -207,11 +168,6 @@ def wikipedia_articles(titles: DataFrame, get: Callable[[str], str | None], api:
     return got.where("page_id <> '-1' and coalesce(p.extract, '') <> ''").select("title", address.alias("url"), F.col("p.extract").alias("text"))
 
 
-def first_of(source: dict, logic: dict, name: str, default: object) -> object:
-    """A setting of the source, else of all sources, else the default; 0 and empty count as not set."""
-    return source.get(name) or logic.get(name) or default
-
-
 def read_config(path: str) -> dict:
     """A YAML or JSON mapping; anything else is empty. YAML needs its package, which is optional."""
     with open(path, encoding="utf-8") as f:

@@ -5,8 +5,9 @@ import tempfile
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH")) if x)
+TESTS = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [ROOT, TESTS]
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, TESTS, os.environ.get("PYTHONPATH")) if x)
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 

@@ -155,28 +155,7 @@ def test_sources(spark, tmp_path):
     assert {(r.doi, r.title, r.parsed_text) for r in readers.json_files(spark, str(d)).collect()} == {("10/1", "T", "text"), ("10/2", "10/2", "�")}
 
 
-def test_services_through_a_fake_network(spark):
-    bodies = {
-        "s0": json.dumps({"esearchresult": {"idlist": ["1", "2", ""]}}), "s1": json.dumps({"esearchresult": {"idlist": ["2", "3"]}}),
-        "p": json.dumps({"response": {"docs": [{"id": "d1", "title_display": "T"}, {"title_display": "no id"}]}}), "w": json.dumps({"query": {"search": [{"title": "Cat"}, {"title": "File:x"}, {"title": ""}]}}),
-    }
-    get = bodies.get
-    assert sorted(r.ncbi_id for r in readers.esearch_ids(spark, ["s0", "s1", "gone"], get).collect()) == ["1", "2", "3"]
-    assert [tuple(r) for r in readers.plos_documents(spark, ["p"], get).collect()] == [("https://journals.plos.org/plosone/article?id=d1", "d1", "T")]
-    assert [r.title for r in readers.wikipedia_titles(spark, ["w"], get).collect()] == ["Cat"]
-    found = spark.createDataFrame([("u1", "d1", "T"), ("u2", "d2", None), ("u3", "d3", None), ("u4", "d4", "stored")], "url string, doi string, title_display string")
-    web_pages = {"u1": "<title>x</title>a", "u2": "<title>Page</title>b", "u3": "c", "u4": "d"}
-    got = readers.plos_articles(found, spark.createDataFrame([("u4",)], "url string"), web_pages.get).collect()
-    assert {r.url: (r.title, r.parsed_text) for r in got} == {"u1": ("T", "x a"), "u2": ("Page", "Page b"), "u3": ("d3", "c")}
-    assert readers.esearch_count('{"esearchresult": {"count": "7"}}') == 7 and readers.esearch_count(None) == 0
-    search_bodies = {a: json.dumps({"esearchresult": {"count": "3", "idlist": ["1", "2"] if k == 0 else ["3", "1"]}}) for k, a in enumerate(readers.esearch_pages("b", "pmc", "t", 3, 2))}
-    ids = readers.ncbi_search(spark, "b", "pmc", ["t"], search_bodies.get, 2)
-    assert sorted(r.ncbi_id for r in ids.collect()) == ["1", "2", "3"]
-    xml = {f"b/efetch.fcgi?db=pmc&retmode=xml&id={i}": f"<title>T{i}</title><p>body</p>" for i in (1, 2)}
-    stored_ids = spark.createDataFrame([("pmc", "1"), ("other", "2")], "source string, ncbi_id string")
-    got = readers.ncbi_documents(ids, stored_ids, "pmc", "b", "pmc", xml.get).collect()
-    assert [(r.ncbi_id, r.url, r.title, r.parsed_text) for r in got] == [("2", "https://pmc.ncbi.nlm.nih.gov/articles/PMC2/", "T2", "T2 body")]
-
+def test_articles_through_a_fake_network(spark):
     def extract(url):
         title = urllib.parse.parse_qs(urllib.parse.urlsplit(url).query)["titles"][0]
         pages = {"Cat & dog": {"7": {"extract": "Text", "fullurl": "http://w/C"}}, "None": {"-1": {}}, "No url": {"8": {"extract": "x"}}}
@@ -184,7 +163,6 @@ def test_services_through_a_fake_network(spark):
 
     titles = spark.createDataFrame([("Cat & dog",), ("None",), ("No url",)], "title string")
     assert sorted((r.title, r.url, r.text) for r in readers.wikipedia_articles(titles, extract).collect()) == [("Cat & dog", "http://w/C", "Text"), ("No url", "https://en.wikipedia.org/wiki/No_url", "x")]
-    assert readers.first_of({"a": 0}, {"a": 5}, "a", 1) == 5
 
     def failing(url, timeout):
         raise OSError

@@ -1,0 +1,239 @@
+"""Searches of services and configured crawls over a fake network."""
+
+import hashlib
+import json
+import urllib.parse
+
+import fake_network as net
+import pytest
+import yaml
+from pyspark.sql import functions as F
+
+from lexispark.operators import ingest
+from lexispark.plans import ingest as plan
+from lexispark.sources import readers, services
+
+STORED = "url string, source string, raw_content string, raw_sha256 string, parsed_text string, title string, fetched_at long, checked_at long, ncbi_id string"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def put_ncbi(folder, term, ids, size, **more):
+    for start in range(0, max(1, len(ids)), size):
+        address = services._ncbi_address({"base": "http://n", "db": "pmc", **more}, term, start, size)
+        net.put(folder, address, json.dumps({"esearchresult": {"count": str(len(ids)), "idlist": ids[start : start + size]}}))
+
+
+def put_xml(folder, i, body, **more):
+    fixed = services.web.build_url("http://n/efetch.fcgi", {"db": "pmc", "retmode": "xml"} | services._named(more))
+    net.put(folder, f"{fixed}&id={i}", body)
+
+
+def test_batch_source_plans_pages(spark, tmp_path):
+    f = str(tmp_path)
+    put_ncbi(f, "a", ["1", "2", "3", "4", "5"], 2)
+    put_ncbi(f, "b", ["5", "", "6"], 2)
+    put_ncbi(f, "none", [], 2)
+    services.register(spark, net.answers(f))
+    asked = {"terms": json.dumps(["a", "b", "none"]), "page_size": 2, "base": "http://n", "db": "pmc", "readers": 3}
+    rows = spark.read.format("ncbi_search").options(**asked).load()
+    got = sorted(map(tuple, rows.collect()))
+    assert got == [(0, "a", k, str(k + 1), None) for k in range(5)] + [(1, "b", 0, "5", None), (1, "b", 2, "6", None)]
+    assert rows.rdd.getNumPartitions() == 3
+    part = spark.read.format("ncbi_search").options(**asked, from_page=2, n_pages=2, totals="[5, 3, 0]").load()
+    assert [(r.term, r.position) for r in part.orderBy("term_no", "position").collect()] == [("a", 4), ("b", 0)]
+    # The registered name serves SQL as well.
+    spark.sql(f"CREATE TEMPORARY VIEW found USING ncbi_search OPTIONS (terms '[\"a\"]', page_size '2', base 'http://n', db 'pmc')")
+    assert spark.sql("SELECT count(DISTINCT id) FROM found").first()[0] == 5
+    with pytest.raises(Exception, match="no answer"):
+        spark.read.format("ncbi_search").options(**(asked | {"terms": '["unknown"]'})).load().collect()
+
+
+def test_stream_goes_on_from_its_offset(spark, tmp_path):
+    f, at = str(tmp_path / "net"), str(tmp_path / "stream")
+    put_ncbi(f, "a", ["1", "2", "3"], 2)
+    services.register(spark, net.answers(f))
+
+    def run():
+        stream = spark.readStream.format("ncbi_search").options(terms='["a"]', page_size=2, base="http://n", db="pmc").load()
+        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r.position, r.id) for r in spark.read.parquet(f"{at}/out").collect())
+
+    assert run() == [(0, "1"), (1, "2"), (2, "3")]
+    before = len(net.asked(f))
+    assert len(run()) == 3
+    # Two hits more; a page from where the last batch ended.
+    body = {"esearchresult": {"count": "5", "idlist": ["4", "5"]}}
+    net.put(f, services._ncbi_address({"base": "http://n", "db": "pmc"}, "a", 0, 2), json.dumps(body | {"esearchresult": {"count": "5", "idlist": ["1", "2"]}}))
+    net.put(f, services._ncbi_address({"base": "http://n", "db": "pmc"}, "a", 3, 2), json.dumps(body))
+    assert run() == [(k, str(k + 1)) for k in range(5)]
+    starts = [urllib.parse.parse_qs(urllib.parse.urlsplit(a).query)["retstart"][0] for a in net.asked(f)]
+    assert len(starts) > before and starts.count("2") == 1 and starts.count("3") == 1
+
+
+def test_budget_in_order(spark):
+    rows = spark.createDataFrame([(t, p, f"{t}-{p}") for t in range(3) for p in range(0, 5000, 2)], "term_no int, position long, id string").repartition(7)
+    for budget in (0, 1, 499, 500, 2500, 2501, 7000, 9000):
+        got = sorted((r.term_no, r.position) for r in ingest.within_budget(rows, budget, ["term_no", "position"]).collect())
+        assert got == [(t, p) for t in range(3) for p in range(0, 5000, 2)][:budget]
+
+
+def test_ncbi_documents_under_a_budget(spark, tmp_path):
+    f = str(tmp_path)
+    put_ncbi(f, "a", ["1", "2", "3", "2", "4"], 2, tool="t", email="m")
+    put_ncbi(f, "b", ["9", "1", "8", "7"], 2, tool="t", email="m")
+    for i in "123478":
+        put_xml(f, i, f"<title>T{i}</title><p>body</p>", tool="t", email="m")
+    # 1 is stored with its id; 3 without one, unchanged; 4 fresh; 9 does not answer.
+    url = "https://pmc.ncbi.nlm.nih.gov/articles/PMC"
+    stored = [(f"{url}1/", "pmc", "", "x", "", "", 5, 5, "1"), (f"{url}3/", "old", "", sha("<title>T3</title><p>body</p>"), "", "", 5, 5, None), (f"{url}4/", "old", "", "x", "", "", 950, 5, None)]
+    stored = spark.createDataFrame(stored, STORED)
+
+    def run(max_docs):
+        got = services.ncbi(spark, "pmc", "pmc", ["a", "b"], stored, net.answers(f), 1000, max_docs, 100, base="http://n", page_size=2, tool="t", email="m")
+        return {} if got is None else {r.ncbi_id: (r.outcome, r.term, r.title) for r in got.collect()}
+
+    assert run(0) == {"2": ("new", "a", "T2"), "3": ("unchanged", "a", "T3"), "8": ("new", "b", "T8"), "7": ("new", "b", "T7")}
+    before = len(net.asked(f))
+    assert run(1) == {} and run(2) == {"2": ("new", "a", "T2")}
+    assert sum("esearch" in a for a in net.asked(f)[before:]) <= 2 * 2 + 2  # totals of both runs and a page or two, not all
+    assert run(3) == {"2": ("new", "a", "T2"), "3": ("unchanged", "a", "T3")}
+    assert set(run(6)) == {"2", "3", "8"}  # 4 is fresh and 9 does not answer; both count
+    row = services.ncbi(spark, "pmc", "pmc", ["a"], stored, net.answers(f), 1000, 2, base="http://n", page_size=2, tool="t", email="m").first()
+    assert (row.method, row.ncbi_db, row.source, row.fetched_at, row.url, row.parsed_text) == ("ncbi_eutils", "pmc", "pmc", 1000, f"{url}2/", "T2 body")
+
+
+def put_plos(folder, query, docs):
+    for start in range(0, len(docs) + 1, 100):
+        page = [d for d in docs[start : start + 100]]
+        net.put(folder, services._plos_address({"base": "http://p"}, query, start, 100), json.dumps({"response": {"numFound": len(docs), "docs": page}}))
+
+
+def test_plos_counts_what_is_saved(spark, tmp_path):
+    f = str(tmp_path)
+    docs = [{"id": f"10/{k}", "title_display": f"T{k}"} if k % 3 else {"id": f"10/{k}"} for k in range(150)] + [{"title_display": "no id"}]
+    put_plos(f, "gene editing", docs)
+    for k in range(150):
+        if k % 2:  # half of the pages do not answer
+            net.put(f, services.PLOS_ARTICLE + f"10/{k}", f"<title>Page {k}</title>x")
+    stored = spark.createDataFrame([(services.PLOS_ARTICLE + "10/1", "plos", "", "", "", "", 1, 1, None)], STORED)
+    got = services.plos(spark, "plos", "gene editing", stored, net.answers(f), 50, max_docs=60, base="http://p").collect()
+    # In order: 3, 5, 7, ... 121.
+    assert sorted(int(r.doi[3:]) for r in got) == list(range(3, 122, 2))
+    titles = {r.doi: r.title for r in got}
+    assert titles["10/3"] == "Page 3" and titles["10/5"] == "T5" and {r.method for r in got} == {"plos_api"}
+    assert len(services.plos(spark, "plos", "gene editing", stored, net.answers(f), 50, max_docs=1000, base="http://p").collect()) == 74
+
+
+def test_wikipedia_articles_under_a_cap(spark, tmp_path):
+    f = str(tmp_path)
+    found = {"x": ["Cat & dog", "File:no", "Short", "Cat  dog", "Taken"], "y": ["Cat & dog", "Bird", "Fish"]}
+    for term, titles in found.items():
+        for start in range(0, len(titles), 2):
+            page = {"query": {"search": [{"title": t} for t in titles[start : start + 2]], "searchinfo": {"totalhits": len(titles)}}}
+            net.put(f, services._wikipedia_address({"base": "http://w"}, term, start, 2), json.dumps(page))
+    fixed = services.web.build_url("http://w", {"action": "query", "prop": "extracts|info", "explaintext": 1, "exsectionformat": "plain", "inprop": "url", "format": "json"})
+    for t in ("Cat & dog", "Short", "Cat  dog", "Taken", "Bird", "Fish"):
+        text = "word " * (4 if t == "Short" else 600)
+        net.put(f, fixed + "&titles=" + urllib.parse.quote_plus(t), json.dumps({"query": {"pages": {"7": {"extract": text, "fullurl": f"http://w/{t}"}}}}))
+    names = spark.createDataFrame([("TAKEN",)], "name string")
+
+    def run(max_docs):
+        got = services.wikipedia(spark, ["x", "y"], names, net.answers(f), max_docs, base="http://w", page_size=2).collect()
+        return sorted((r["name"], json.loads(r["metadata"])["category"]) for r in got)
+
+    assert run(5) == [("Bird", "y"), ("Cat__dog", "x"), ("Fish", "y")]
+    assert run(2) == [("Bird", "y"), ("Cat__dog", "x")]
+
+
+CONFIG = {
+    "logic": {"sleep_ms": 7, "timeout_s": 9, "fresh_seconds": 60, "max_pages_total": 40},
+    "ncbi": {"eutils_base": "http://n", "tool": "t", "email": ""},
+    "sources": [
+        {"name": "pmc", "method": "ncbi_eutils", "db": "pmc", "terms": "a", "max_docs": 3, "sleep_ms": 0, "esearch_page_size": 2},
+        {"name": "plos", "method": "plos", "query": "q", "max_docs": 2},
+        {"name": "site", "sleep_ms": 0, "seeds": ["http://h.org/"], "allowed_domains": ["h.org"], "doc_url_regex": r"/doc/\d+", "max_docs": 2, "fresh_seconds": None},
+        {"name": "broken", "method": "ncbi_eutils"}, "no mapping",
+    ],
+}
+
+
+def test_config_becomes_a_plan(monkeypatch):
+    monkeypatch.setenv("NCBI_API_KEY", "key")
+    pmc, plos, site = plan.compile_config(CONFIG)
+    assert (pmc.method, pmc.terms, pmc.max_docs, pmc.sleep_ms, pmc.timeout_s, pmc.retries, pmc.fresh_seconds) == ("ncbi_eutils", ("a",), 3, 0, 9, 3, 60)
+    assert pmc.options == {"db": "pmc", "page_size": "2", "base": "http://n", "tool": "t", "api_key": "key"}
+    assert (plos.method, plos.terms, plos.max_docs) == ("plos", ("q",), 2)
+    assert (site.method, site.fresh_seconds, site.max_pages_total, site.follow, site.domains) == ("web", 0, 40, None, ("h.org",))
+    assert [s.name for s in plan.compile_config(CONFIG, "plos")] == ["plos"] and plan.compile_config({}) == [] and plan.compile_config(CONFIG, "x") == []
+    assert plan.compile_config({"sources": [{"name": "w"}]})[0].sleep_ms == 350
+
+
+def test_configured_run_end_to_end(spark, tmp_path):
+    f, path = str(tmp_path / "net"), tmp_path / "config.yaml"
+    path.write_text(yaml.safe_dump(CONFIG))
+    put_ncbi(f, "a", ["1", "2", "3", "4"], 2, tool="t")
+    for i in "1234":
+        put_xml(f, i, f"<title>T{i}</title>", tool="t")
+    net.put(f, services._plos_address({}, "q", 0, 100), json.dumps({"response": {"numFound": 3, "docs": [{"id": "d1"}, {"id": "d2"}, {"id": "d3"}]}}))
+    for d in ("d1", "d2", "d3"):
+        net.put(f, services.PLOS_ARTICLE + d, f"<title>{d}</title>")
+    net.put(f, "http://h.org/", "".join(f'<a href="/doc/{k}">x</a>' for k in range(6)))
+    for k in range(6):
+        net.put(f, f"http://h.org/doc/{k}", f"doc {k}")
+    stored = spark.createDataFrame([("http://h.org/doc/0", "site", "doc 0", sha("doc 0"), "doc 0", "t", 5, 5, None), ("http://x/", "other", "", "", "", "", 5, 5, None)], STORED)
+    after, seen = plan.run_config(spark, str(path), stored, 1000, network=lambda source: net.answers(f))
+    assert {n: sorted((r.url.split("/")[-1] or r.url.split("/")[-2], r.outcome) for r in rows.collect()) for n, rows in seen.items()} == {
+        "pmc": [("PMC1", "new"), ("PMC2", "new"), ("PMC3", "new")], "plos": [("article?id=d1", "new"), ("article?id=d2", "new")], "site": [("0", "unchanged"), ("1", "new")],
+    }
+    rows = {r.url: r for r in after.collect()}
+    assert len(rows) == 8 and rows["http://h.org/doc/0"].checked_at == 1000 and rows["http://h.org/doc/0"].fetched_at == 5
+    assert rows["http://h.org/doc/1"].method == "web" and rows[services.PLOS_ARTICLE + "d1"].doi == "d1" and rows["https://pmc.ncbi.nlm.nih.gov/articles/PMC3/"].ncbi_id == "3"
+    # Again: the budget of each source is used up by what it has stored, but for plos, whose budget is of a run.
+    _, again = plan.run_config(spark, str(path), after, 2000, network=lambda source: net.answers(f))
+    assert {n: rows.count() for n, rows in again.items()} == {"plos": 1, "site": 0}
+    only, seen = plan.run_config(spark, str(path), stored, 1000, "plos", network=lambda source: net.answers(f))
+    assert set(seen) == {"plos"} and only.count() == 4
+
+
+def test_files_with_a_limit_open_no_other(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"d{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"d{k % 3}" / f"a[{k:02d}]{{x}}*.txt").write_text(f"text {k}")
+    got = readers.files(spark, str(tmp_path), "*.txt", limit=4)
+    assert [r.content for r in got.orderBy("path").collect()] == ["text 0", "text 3", "text 6", "text 9"]
+    assert len(got.inputFiles()) == 4
+    assert readers.files(spark, str(tmp_path), "*.none", limit=4).count() == 0 and readers.files(spark, str(tmp_path), "*.txt").count() == 30
+
+
+def test_one_row_a_key(spark):
+    new = spark.createDataFrame([("a", "old", 1), ("a", "new", 3), ("a", "mid", 2), ("b", "x", 1), (None, "n", 1)], "url string, title string, fetched_at long")
+    stored = spark.createDataFrame([("b", "kept", 0)], "url string, title string, fetched_at long")
+    for _ in range(2):
+        assert {r.url: r.title for r in ingest.upsert(stored, new.where("url is not null")).collect()} == {"a": "new", "b": "x"}
+        assert {r.url: r.title for r in ingest.insert_if_absent(stored, new.where("url is not null").repartition(4)).collect()} == {"a": "old", "b": "kept"}
+    assert {r.url: r.title for r in ingest.upsert(stored, new.where("url = 'a'"), order=["title"]).collect()} == {"a": "old", "b": "kept"}
+    twice = new.unionByName(new).withColumn("fetched_at", F.lit(1).cast("long"))
+    assert ingest.insert_if_absent(stored, twice.where("url is not null")).count() == 2
+
+
+def test_quota_is_the_sources_own(spark):
+    pages = [(f"http://h.org/doc/{i}", f'<a href="/doc/{i + 1}"></a>') for i in range(6)]
+    table = spark.createDataFrame(pages, "url string, html string")
+    stored = spark.createDataFrame([(f"u{k}", "s", 0, "other") for k in range(50)] + [("http://h.org/doc/0", "s", 0, "site")], "url string, raw_sha256 string, fetched_at long, source string")
+    seeds = spark.createDataFrame([("http://h.org/doc/1",)], "url string")
+    got = ingest.crawl(seeds, readers.fetch_from_table(table), stored, ["h.org"], r"/doc/\d+", None, 1000, max_docs=3, source="site")
+    assert got.count() == 2
+
+
+def test_gone_pages_are_asked_for_once():
+    calls = []
+
+    def gone(request, timeout):
+        calls.append(1)
+        raise readers.urllib.error.HTTPError("http://x/", 404, "", {}, None)
+
+    assert readers.http_get("http://x/", pause=0, opener=gone) is None and len(calls) == 1
