@@ -64,8 +64,8 @@ def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
 
 
 def dictionary(posts: DataFrame) -> DataFrame:
-    """(term, doc_count)."""
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("doc_count"))
+    """(term, doc_count, first_doc, last_doc)."""
+    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("doc_count"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
 @dataclass
@@ -82,6 +82,15 @@ class Index:
             return postings(self.texts, terms)
         return self.postings.where(F.col("term").isin(sorted(terms)))
 
+    def ids(self, terms: list[str]) -> DataFrame:
+        """(term, doc_id) of some terms; of a stored index, positions are not read."""
+        return self.lookup(terms).select("term", "doc_id")
+
+    def within(self, first: int, end: int) -> Index:
+        """The part of documents from one id to before another. Postings of a term are sorted by document, so row groups of others are skipped."""
+        inside = F.col("doc_id").between(first, end - 1)
+        return Index(self.docs.where(inside), self.postings.where(inside), self.dictionary, None if self.texts is None else self.texts.where(inside))
+
 
 def build(docs: DataFrame) -> Index:
     """An index that is computed when it is read."""
@@ -90,11 +99,14 @@ def build(docs: DataFrame) -> Index:
 
 
 def write(index: Index, path: str, mode: str = "overwrite") -> None:
-    """Postings are ranged by term and then document: a frequent term takes several files, a rare one shares a row group."""
+    """Postings are ranged by term and then document: a frequent term takes several files, a rare one shares a row group.
+
+    They are written as they come first, since ranges are found by a sample of what they cut: every text is read and stemmed once.
+    """
     index.docs.write.mode(mode).parquet(f"{path}/docs")
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
-    stored = index.docs.sparkSession.read.parquet(f"{path}/postings")
-    dictionary(stored).sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/dictionary")
+    posts = cut(index.postings, "postings")
+    dictionary(posts).sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/dictionary")
+    posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
 
 
 def load(spark: SparkSession, path: str) -> Index:

@@ -188,6 +188,50 @@ def terms_of(node: Node) -> set[str]:
     return set()
 
 
+#: Operators of a postfix program; numbers from 0 put a leaf on the stack.
+NOT, AND, OR, NOTHING = -1, -2, -3, -4
+
+
+def postfix(node: Node) -> tuple[list[int], list[Term | Near]]:
+    """A tree as a program for a stack, and its leaves, each once."""
+    program: list[int] = []
+    leaves: dict[Term | Near, int] = {}
+
+    def put(x: Node) -> None:
+        match x:
+            case Term() | Near():
+                program.append(leaves.setdefault(x, len(leaves)))
+            case Not(of):
+                put(of)
+                program.append(NOT)
+            case And(a, b) | Or(a, b):
+                put(a)
+                put(b)
+                program.append(AND if isinstance(x, And) else OR)
+            case _:
+                program.append(NOTHING)
+
+    put(node)
+    return program, list(leaves)
+
+
+def leaf_name(leaf: Term | Near) -> str:
+    """A word is its term; a window has a name that no word has."""
+    return leaf.term if isinstance(leaf, Term) else f"{leaf.distance} {' '.join(leaf.terms)}"
+
+
+def placed_terms(node: Node) -> set[str]:
+    """Terms of phrases and windows, which need positions."""
+    match node:
+        case Near(ts, _):
+            return set(ts)
+        case Not(x):
+            return placed_terms(x)
+        case And(a, b) | Or(a, b):
+            return placed_terms(a) | placed_terms(b)
+    return set()
+
+
 def matches_without_terms(node: Node) -> bool:
     """Whether a document that holds none of the terms matches: only then are all documents needed."""
     match node:

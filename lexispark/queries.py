@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexispark.functions import codec, text, web
 from lexispark.functions.porter import sql_steps
 from lexispark import storage
-from lexispark.operators import analysis, index, ingest, search
+from lexispark.operators import analysis, bitmaps, index, ingest, query_table, search
 from lexispark.sources import readers
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -36,12 +36,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.corpus(d, url, title, F.col("text"), F.col("doc_id"))
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple, str] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The stored index of a folder's documents; an application writes it when it first asks."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The stored index of a folder's documents; an application writes it when it first asks, and anew when their files have changed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet").select("path", "length", "modificationTime")
+    state = files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first()  # contents are not read
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
     if key not in _written:
         path = storage.new_path(spark, "index")
         index.write(index.build(_docs(spark, sf_dir)), path)
@@ -129,7 +131,7 @@ def postings_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).dictionary
+    return _index(spark, d).dictionary.select("term", "doc_count")
 
 
 def doc_term_freq(spark: SparkSession, d: str) -> DataFrame:
@@ -158,20 +160,37 @@ def batch_queries_topk(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("query_id").cast("long").alias("query_id"), "hits", F.col("rank").cast("long").alias("rank"), "doc_id", "line")
 
 
-def _ids(spark: SparkSession, d: str, term: str) -> DataFrame:
-    return _index(spark, d).lookup([term]).select("doc_id")
+def query_table_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Four queries of the first two words of every benchmark item: both, side by side, within five, and the second or not the first."""
+    words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w))
+    items = _table(spark, d, "benchmark").select("item_id", words.alias("w")).where(F.size("w") >= 2)
+    a, b = F.col("w")[0], F.col("w")[1]
+    forms = [F.concat(a, F.lit(" && "), b), F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"')), F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('" / 5')), F.concat(F.lit("!"), a, F.lit(" || "), b)]
+    queries = items.select("item_id", F.posexplode(F.array(*forms)).alias("k", "query")).select((F.col("item_id") * 4 + F.col("k")).cast("long").alias("query_id"), "query")
+    got = query_table.batch(_index(spark, d), queries)
+    return got.select("query_id", "hits", F.col("rank").cast("long").alias("rank"), "doc_id", "line")
+
+
+def _set(spark: SparkSession, d: str, term: str) -> DataFrame:
+    return bitmaps.bitmaps(_index(spark, d).ids([term]))
 
 
 def set_union(spark: SparkSession, d: str) -> DataFrame:
-    return _ids(spark, d, "der").union(_ids(spark, d, "que")).distinct()
+    return bitmaps.members(bitmaps.combine(_set(spark, d, "der"), _set(spark, d, "que"), "union"))
 
 
 def set_intersect(spark: SparkSession, d: str) -> DataFrame:
-    return _ids(spark, d, "of").intersect(_ids(spark, d, "the"))
+    return bitmaps.members(bitmaps.combine(_set(spark, d, "of"), _set(spark, d, "the"), "intersect"))
 
 
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id").subtract(_ids(spark, d, "of"))
+    everyone = bitmaps.bitmaps(_docs(spark, d).select("doc_id"))
+    return bitmaps.members(bitmaps.combine(everyone, _set(spark, d, "of"), "difference"))
+
+
+def term_bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    """Every term's documents, 64 ids a row."""
+    return bitmaps.bitmaps(_index(spark, d).postings.select("term", "doc_id"), "term").select("term", "word", F.hex("bits").alias("bits"), F.bit_count("bits").alias("n_docs"))
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -390,10 +409,20 @@ def oracle_sql() -> dict[str, str]:
         "search_hit_count": f"{t} SELECT count(*) AS hits FROM documents WHERE NOT {_has('der')}",
         "batch_queries_topk": f"""{t}, h AS ({batch}), r AS (SELECT query_id, doc_id, count(*) OVER (PARTITION BY query_id) AS hits,
 row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM h)
+SELECT query_id, hits, rank, r.doc_id, coalesce(nullif({_TITLE}, ''), 'No Title') || ' (' || {_URL} || ')' AS line FROM r JOIN documents USING (doc_id) WHERE rank <= 10""",
+        "query_table_topk": f"""{t}, bw AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) AS ws FROM benchmark WHERE text IS NOT NULL),
+q AS MATERIALIZED (SELECT item_id, coalesce(v1.w, '') AS a, coalesce(v2.w, '') AS b FROM bw LEFT JOIN voc v1 ON v1.w0 = ws[1] LEFT JOIN voc v2 ON v2.w0 = ws[2] WHERE len(ws) >= 2),
+p AS MATERIALIZED (SELECT * FROM terms WHERE term IN (SELECT a FROM q UNION SELECT b FROM q)), d AS MATERIALIZED (SELECT DISTINCT term, doc_id FROM p),
+h AS (SELECT 4 * item_id AS query_id, x.doc_id FROM q JOIN d x ON x.term = a JOIN d y ON y.term = b AND y.doc_id = x.doc_id
+UNION ALL SELECT DISTINCT 4 * item_id + 1, x.doc_id FROM q JOIN p x ON x.term = a JOIN p y ON y.term = b AND y.doc_id = x.doc_id AND y.pos = x.pos + 1
+UNION ALL SELECT DISTINCT 4 * item_id + 2, x.doc_id FROM q JOIN p x ON x.term = a JOIN p y ON y.term = b AND y.doc_id = x.doc_id AND y.pos > x.pos AND y.pos <= x.pos + 5
+UNION ALL SELECT 4 * item_id + 3, o.doc_id FROM q CROSS JOIN (SELECT doc_id FROM documents WHERE text IS NOT NULL) o LEFT JOIN d x ON x.term = a AND x.doc_id = o.doc_id LEFT JOIN d y ON y.term = b AND y.doc_id = o.doc_id WHERE x.term IS NULL OR y.term IS NOT NULL),
+r AS (SELECT query_id, doc_id, count(*) OVER (PARTITION BY query_id) AS hits, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM h)
 SELECT query_id, hits, rank, r.doc_id, coalesce(nullif({_TITLE}, ''), 'No Title') || ' (' || {_URL} || ')' AS line FROM r JOIN documents USING (doc_id) WHERE rank <= 10""",
         "set_union": f"{t} SELECT doc_id FROM terms WHERE term = 'der' UNION SELECT doc_id FROM terms WHERE term = 'que'",
         "set_intersect": f"{t} SELECT doc_id FROM terms WHERE term = 'of' INTERSECT SELECT doc_id FROM terms WHERE term = 'the'",
         "set_difference": f"{t} SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM terms WHERE term = 'of'",
+        "term_bitmaps": f"{t}, b AS (SELECT term, doc_id // 64 AS word, bit_or(CAST(1 AS UBIGINT) << CAST(doc_id % 64 AS UBIGINT)) AS bits FROM terms GROUP BY ALL) SELECT term, word, printf('%X', bits) AS bits, CAST(bit_count(bits) AS INTEGER) AS n_docs FROM b",
         "corpus_stats": f"WITH p AS (SELECT html, {page_text_sql} AS text FROM pages) SELECT count(*) AS n_docs, CAST(sum(length(html)) AS BIGINT) AS raw_chars, CAST(sum(length(text)) AS BIGINT) AS text_chars, round(avg(length(html)), 6) AS avg_raw_chars, round(avg(length(text)), 6) AS avg_text_chars FROM p",
         "token_stats": f"{t} SELECT count(*) AS n_tokens, round(avg(length(term)), 6) AS avg_token_length FROM terms",
         "unique_term_stats": f"{t} SELECT count(DISTINCT term) AS n_terms, round(avg(strlen(term)), 6) AS avg_term_length FROM (SELECT DISTINCT term FROM terms)",
@@ -437,7 +466,7 @@ def queries() -> dict[str, Query]:
     out = {name: _search(q, dialect) for name, (q, dialect, _) in SEARCHES.items()}
     plain = (
         token_positions, stem_vocabulary, term_postings, postings_positions, term_doc_freq, doc_term_freq, search_page_top10, search_page_top50, search_page_second,
-        search_hit_count, batch_queries_topk, set_union, set_intersect, set_difference, corpus_stats, token_stats, unique_term_stats, term_counts,
+        search_hit_count, batch_queries_topk, query_table_topk, set_union, set_intersect, set_difference, term_bitmaps, corpus_stats, token_stats, unique_term_stats, term_counts,
         term_frequencies_top10, zipf_rank_curve, docs_per_source, tokenizer_report, position_delta_encode, position_delta_decode, varbyte_length, url_strip_query,
         url_normalize, url_allowed_domain, url_html_filter, page_links, page_title, page_text, content_sha256, freshness_classify, outcome_counts, upsert_merge,
         touch_checked, insert_if_absent, source_quota, word_count_filter, safe_title, ncbi_article_url, document_numbers, tsv_fields, tokenizer_first_words, average_length_difference, text_with_json_by_stem, window_position_deltas,
