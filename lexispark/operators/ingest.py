@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -35,7 +36,8 @@ def one_row_a_key(rows: DataFrame, key: str, order: list[str] | None, last: bool
     others = [c for c in rows.columns if c != key]
     if not others:
         return rows.distinct()
-    place = F.struct(*by, F.xxhash64(*(c for c in others if c not in by)))
+    rest = [c for c in others if c not in by]
+    place = F.struct(*by, *([F.xxhash64(*rest)] if rest else []))
     pick = F.max_by if last else F.min_by
     return rows.groupBy(key).agg(pick(F.struct(*others), place).alias("_row")).select(key, "_row.*").select(rows.columns)
 
@@ -130,6 +132,16 @@ def text_files(texts: DataFrame, raws: DataFrame, now: int, site: str = "https:/
     )
 
 
+def remember(urls: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Add to a table of URLs that is bucketed by them, one file a bucket and round."""
+    urls.repartition(buckets, "url").write.bucketBy(buckets, "url").sortBy("url").mode("append").option("path", path).saveAsTable(table)
+
+
+def unasked(todo: DataFrame, asked: DataFrame) -> DataFrame:
+    """URLs that are not in a bucketed table, which is joined where it lies."""
+    return todo.join(asked.hint("merge"), "url", "left_anti")
+
+
 def crawl(
     seeds: DataFrame,
     fetch: Callable[[DataFrame], DataFrame],
@@ -157,19 +169,23 @@ def crawl(
     frontier = seeds.select(web.normalize_url(u).alias("url"))
     own = stored if source is None else stored.where(F.col("source") == source)
     pages_left, docs_left = max_pages, max_docs - (own.count() if max_docs else 0)
-    asked: list[str] = []
+    # Keys that were asked for, by hash: later rounds come to them, and they are not moved again.
+    asked = f"asked_{uuid.uuid4().hex}"
+    n_asked = spark.sparkContext.defaultParallelism
     rounds: list[DataFrame] = []
+    turn = 0
     while (not max_pages or pages_left > 0) and (not max_docs or docs_left > 0):
         todo = frontier.where(u.isNotNull() & wanted).distinct()
-        if asked:
-            todo = todo.join(spark.read.parquet(*asked), "url", "left_anti")
+        if turn:
+            todo = unasked(todo, spark.table(asked))
         if max_pages:
             todo = todo.orderBy("url").limit(pages_left)
-        at = f"{root}/{len(asked)}"
+        at, turn = f"{root}/{turn}", turn + 1
         # By URL, so that a site of many pages is fetched by many tasks.
-        todo.repartition(spark.sparkContext.defaultParallelism, "url").write.parquet(f"{at}/asked")
-        asked.append(f"{at}/asked")
-        fetch(spark.read.parquet(asked[-1])).write.parquet(f"{at}/pages")
+        todo.repartition(n_asked, "url").write.parquet(f"{at}/asked")
+        new_urls = spark.read.schema("url string").parquet(f"{at}/asked")
+        remember(new_urls, asked, f"{root}/all", n_asked)
+        fetch(new_urls.repartition(n_asked, "url")).write.parquet(f"{at}/pages")
         pages = spark.read.parquet(f"{at}/pages")
         n = pages.count()
         if not n:
@@ -179,7 +195,7 @@ def crawl(
         found = found.groupBy("url").agg(F.max_by("html", "_from").alias("html"))
         title = F.coalesce(F.nullif(web.html_title(F.col("html")), F.lit("")), u)
         new = found.select("url", F.col("html").alias("raw_content"), F.sha2("html", 256).alias("raw_sha256"), web.html_text(F.col("html")).alias("parsed_text"), title.alias("title"))
-        seen = classify(new, stored, now, fresh_seconds).withColumn("_round", F.lit(len(asked)))
+        seen = classify(new, stored, now, fresh_seconds).withColumn("_round", F.lit(turn))
         if max_docs:
             saved = F.col("outcome").isin("new", "changed")
             seen = seen.where(~saved).union(seen.where(saved).orderBy("url").limit(docs_left))
@@ -188,6 +204,7 @@ def crawl(
         if max_docs:
             docs_left -= rounds[-1].where(F.col("outcome").isin("new", "changed")).count()
         frontier = pages.select(F.explode(web.extract_links(F.col("html"), u)).alias("url"))
+    spark.sql(f"DROP TABLE IF EXISTS {asked}")
     if not rounds:
         empty = spark.createDataFrame([], "url string, raw_content string, raw_sha256 string, parsed_text string, title string")
         return classify(empty, stored, now, fresh_seconds)

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexispark.functions import codec, text, web
+from lexispark.functions import codec, table, text, web
 from lexispark.functions.porter import sql_steps
 from lexispark import storage
 from lexispark.operators import analysis, bitmaps, index, ingest, query_table, search
+from lexispark.operators.store import Store
 from lexispark.sources import readers
+from lexispark.streaming import recrawl
+from lexispark.streaming import term_counts as stream_counts
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 NOW = 1_700_000_000
@@ -313,6 +317,40 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return ingest.upsert(stored, new).select("url", "raw_sha256", "source", F.coalesce("fetched_at", F.lit(0)).alias("fetched_at"))
 
 
+def store_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """As upsert_merge, through a store of folders by key hash."""
+    new, stored = _new_and_stored(spark, d)
+    store = Store.create(stored, storage.new_path(spark, "store"), buckets=16)
+    store.upsert(new)
+    return store.read().select("url", "raw_sha256", "source", F.coalesce("fetched_at", F.lit(0)).alias("fetched_at"))
+
+
+def recrawl_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Pages fetched anew in two batches, of which each comes twice, at a later time."""
+    new, stored = _new_and_stored(spark, d)
+    store = Store.create(stored, storage.new_path(spark, "store"), buckets=16)
+    for batch, pages in enumerate((new.where(F.crc32(F.col("url").cast("string")) < 1 << 31), new.where(F.crc32(F.col("url").cast("string")) >= 1 << 31))):
+        for late in (0, 500):
+            recrawl.merge_into(store, "recrawl", lambda late=late: NOW + late, 2000)(pages, batch)
+    return store.read().select("url", "raw_sha256", "source", "fetched_at", "checked_at")
+
+
+def stream_term_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Frequencies by a stream over the files of documents."""
+    at = storage.new_path(spark, "counts")
+    texts = spark.readStream.schema(_table(spark, d, "documents").schema).option("recursiveFileLookup", "true").parquet(f"{d}/documents.parquet*")
+    stream_counts.start(texts.select("text"), f"{at}/out", f"{at}/state").awaitTermination()
+    return stream_counts.read(spark, f"{at}/out")
+
+
+def sql_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms by the table function of SQL."""
+    table.register(spark)
+    name = f"documents_{uuid.uuid4().hex}"
+    _docs(spark, d).createOrReplaceTempView(name)
+    return spark.sql(f"SELECT doc_id, CAST(t.pos AS BIGINT) AS pos, t.term FROM {name}, LATERAL terms(text) t")
+
+
 def touch_checked(spark: SparkSession, d: str) -> DataFrame:
     new, stored = _new_and_stored(spark, d)
     same = ingest.classify(new, stored, NOW, 2000).where("outcome = 'unchanged'")
@@ -449,6 +487,13 @@ SELECT page_id, CAST(generate_subscripts(hs, 1) - 1 AS BIGINT) AS pos, lower(sit
         "freshness_classify": f"{_OLD} SELECT url, outcome FROM seen",
         "outcome_counts": f"{_OLD} SELECT outcome, count(*) AS n FROM seen GROUP BY outcome",
         "upsert_merge": f"{_OLD} SELECT coalesce(n.url, s.url) AS url, coalesce(n.raw_sha256, s.raw_sha256) AS raw_sha256, coalesce(n.source, s.source) AS source, coalesce(s.fetched_at, 0) AS fetched_at FROM stored s FULL JOIN new n ON n.url = s.url",
+        "store_upsert": f"{_OLD} SELECT coalesce(n.url, s.url) AS url, coalesce(n.raw_sha256, s.raw_sha256) AS raw_sha256, coalesce(n.source, s.source) AS source, coalesce(s.fetched_at, 0) AS fetched_at FROM stored s FULL JOIN new n ON n.url = s.url",
+        "recrawl_batches": f"""{_OLD}, c AS (SELECT url, raw_sha256, source FROM new JOIN seen USING (url) WHERE outcome IN ('new', 'changed'))
+SELECT coalesce(c.url, s.url) AS url, coalesce(c.raw_sha256, s.raw_sha256) AS raw_sha256, coalesce(c.source, s.source) AS source,
+CASE WHEN c.url IS NOT NULL THEN {NOW} ELSE s.fetched_at END AS fetched_at,
+CASE WHEN c.url IS NOT NULL OR s.url IN (SELECT url FROM seen WHERE outcome = 'unchanged') THEN {NOW} ELSE s.checked_at END AS checked_at FROM stored s FULL JOIN c ON c.url = s.url""",
+        "stream_term_counts": f"{t}, {freq} SELECT * FROM counts",
+        "sql_terms": f"{t} SELECT doc_id, pos, term FROM terms",
         "touch_checked": f"{_OLD} SELECT url, CAST(CASE WHEN outcome = 'unchanged' THEN {NOW} ELSE 0 END AS BIGINT) AS checked_at FROM stored LEFT JOIN (SELECT DISTINCT url, outcome FROM seen WHERE outcome = 'unchanged') USING (url)",
         "insert_if_absent": f"{_OLD} SELECT url, source FROM stored UNION ALL SELECT url, source FROM new WHERE url NOT IN (SELECT url FROM stored)",
         "source_quota": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 7",
@@ -468,7 +513,7 @@ def queries() -> dict[str, Query]:
         token_positions, stem_vocabulary, term_postings, postings_positions, term_doc_freq, doc_term_freq, search_page_top10, search_page_top50, search_page_second,
         search_hit_count, batch_queries_topk, query_table_topk, set_union, set_intersect, set_difference, term_bitmaps, corpus_stats, token_stats, unique_term_stats, term_counts,
         term_frequencies_top10, zipf_rank_curve, docs_per_source, tokenizer_report, position_delta_encode, position_delta_decode, varbyte_length, url_strip_query,
-        url_normalize, url_allowed_domain, url_html_filter, page_links, page_title, page_text, content_sha256, freshness_classify, outcome_counts, upsert_merge,
+        url_normalize, url_allowed_domain, url_html_filter, page_links, page_title, page_text, content_sha256, freshness_classify, outcome_counts, upsert_merge, store_upsert, recrawl_batches, stream_term_counts, sql_terms,
         touch_checked, insert_if_absent, source_quota, word_count_filter, safe_title, ncbi_article_url, document_numbers, tsv_fields, tokenizer_first_words, average_length_difference, text_with_json_by_stem, window_position_deltas,
     )
     return out | {f.__name__: f for f in plain}
