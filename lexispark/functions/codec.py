@@ -1,4 +1,4 @@
-"""Delta and variable-byte coding of ascending integers, as columns and as plain functions."""
+"""Delta and variable-byte coding of ascending integers, as columns."""
 
 from __future__ import annotations
 
@@ -39,29 +39,3 @@ def varbyte_hex(value: Column) -> Column:
     parts = [F.when(v >= F.lit(1 << (7 * k)).cast("bigint") if k else F.lit(True), F.lpad(F.hex(
         F.shiftright(v, 7 * k).bitwiseAND(F.lit(127)) + F.when(F.shiftright(v, 7 * k) >= 128, 128).otherwise(0)), 2, "0")) for k in range(9)]
     return F.when(v < 0, F.raise_error(F.lit("negative value"))).otherwise(F.concat_ws("", *parts))
-
-
-def encode_varbyte(values: list[int]) -> bytes:
-    out = bytearray()
-    for v in values:
-        if v < 0:
-            raise ValueError("negative value")
-        while v > 127:
-            out.append(v & 127 | 128)
-            v >>= 7
-        out.append(v)
-    return bytes(out)
-
-
-def decode_varbyte(data: bytes) -> list[int]:
-    out, value, shift = [], 0, 0
-    for byte in data:
-        value |= (byte & 127) << shift
-        if byte & 128:
-            shift += 7
-        else:
-            out.append(value)
-            value, shift = 0, 0
-    if shift:
-        raise ValueError("truncated stream")
-    return out

@@ -12,8 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Extensions that are not followed.
+# Extensions that are not followed, and patterns of what is cut out of a page or found in it.
 SKIPPED = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".pdf", ".zip", ".rar", ".7z", ".tar", ".gz", ".mp3", ".mp4", ".avi", ".mov", ".css", ".js", ".ico")
+WITHOUT_TEXT = (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?is)<noscript[^>]*>.*?</noscript>", r"(?s)<!--.*?-->", r"(?s)<[^>]+>")
+BRACKETED_NUMBER = r"(?U)\[\s*\d+\s*\]"
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+HREF = r"""(?is)href\s*=\s*("[^"]+"|'[^']+'|[^\s"'<>]+)"""
+NO_LINK = "^(#|javascript:|mailto:)"
 
 
 def strip_query(url: Column) -> Column:
@@ -111,22 +116,22 @@ def _collapse(c: Column) -> Column:
 def html_text(page: Column) -> Column:
     """Text of a page: scripts, styles, noscript, comments and tags become spaces in this order, references are decoded, numbers in
     brackets dropped, white space collapsed."""
-    for pattern in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?is)<noscript[^>]*>.*?</noscript>", r"(?s)<!--.*?-->", r"(?s)<[^>]+>"):
+    for pattern in WITHOUT_TEXT:
         page = F.regexp_replace(page, pattern, " ")
-    return _collapse(F.regexp_replace(unescape(page), r"(?U)\[\s*\d+\s*\]", ""))
+    return _collapse(F.regexp_replace(unescape(page), BRACKETED_NUMBER, ""))
 
 
 def html_title(page: Column) -> Column:
     """The first title, decoded and collapsed; null if there is none."""
-    found = F.get(F.regexp_extract_all(page, F.lit(r"(?is)<title[^>]*>(.*?)</title>"), F.lit(1)), F.lit(0))
+    found = F.get(F.regexp_extract_all(page, F.lit(TITLE), F.lit(1)), F.lit(0))
     return _collapse(unescape(found))
 
 
 def hrefs(page: Column) -> Column:
     """Targets of href attributes in order; blank ones, fragments, javascript: and mailto: are left out."""
-    attribute = F.regexp_extract_all(page, F.lit(r"""(?is)href\s*=\s*("[^"]+"|'[^']+'|[^\s"'<>]+)"""), F.lit(1))
+    attribute = F.regexp_extract_all(page, F.lit(HREF), F.lit(1))
     clean = F.transform(attribute, lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\"']|[\"']$", ""), r"(?U)^\s+|\s+$", ""))
-    return F.filter(clean, lambda x: (x != "") & ~x.rlike("^(#|javascript:|mailto:)"))
+    return F.filter(clean, lambda x: (x != "") & ~x.rlike(NO_LINK))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -64,8 +64,10 @@ def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
 
 
 def dictionary(posts: DataFrame) -> DataFrame:
-    """(term, doc_count, first_doc, last_doc)."""
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("doc_count"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    """(term, doc_count, freq, first_doc, last_doc): documents and occurrences of each term, and the ids between which they lie."""
+    return posts.groupBy("term").agg(
+        F.count(F.lit(1)).alias("doc_count"), F.sum("tf").cast("long").alias("freq"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
+    )
 
 
 @dataclass

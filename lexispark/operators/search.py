@@ -127,3 +127,20 @@ def run_file(index: Index, lines: list[str], dialect: str = "F") -> tuple[DataFr
 
 def title_or_default(title: Column) -> Column:
     return F.coalesce(F.nullif(title, F.lit("")), F.lit("No Title"))
+
+
+def report(index: Index, lines: DataFrame, path: str, dialect: str = "F", size: int | None = None) -> None:
+    """Answer a file of queries (line_no, value), of any number, and write the answers as text in its order: for each query its text, its
+    number of hits or what is wrong with it, the first hits by rank, and an empty line."""
+    from lexispark.operators import query_table
+    from lexispark.storage import cut
+
+    asked = cut(lines.where(F.trim("value") != "").select(F.col("line_no").alias("query_id"), F.trim("value").alias("query")), "queries")
+    programs = query_table.parsed(asked, dialect)
+    found = cut(query_table.batch(index, asked, dialect, size), "answers")
+    hits = found.groupBy("query_id").agg(F.max("hits").alias("hits"))
+    head = asked.join(programs.select("query_id", "error"), "query_id").join(hits, "query_id", "left")
+    said = F.when(F.col("error").isNotNull(), F.concat(F.lit("Error: "), "error")).otherwise(F.format_string("Found %d docs.", F.coalesce("hits", F.lit(0))))
+    texts = F.array(F.struct(F.lit(-2).alias("k"), F.concat(F.lit("Query: "), "query").alias("line")), F.struct(F.lit(-1).alias("k"), said.alias("line")), F.struct(F.lit(1 << 30).alias("k"), F.lit("").alias("line")))
+    rows = head.select("query_id", F.inline(texts)).union(found.select("query_id", F.col("rank").alias("k"), F.format_string("%d. %s", "rank", "line").alias("line")))
+    rows.repartitionByRange("query_id", "k").sortWithinPartitions("query_id", "k").select("line").write.mode("overwrite").text(path)

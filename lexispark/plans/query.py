@@ -51,10 +51,9 @@ class Term:
 
 Node = Nothing | Term | Near | Not | And | Or
 
-# What the two dialects take for phrases, numbers, operators and words, and how operators bind.
+# What the two dialects take for phrases, numbers, operators and words.
 _F_TOKEN = re.compile(r'"([^"]+)"|(\d+)|(&&|\|\||[!()/])|([^\s"&|!()/]+)')
 _B_TOKEN = re.compile(r"(&&|\|\||[()]|!(?!=))|([A-Za-z0-9]+)")
-_BINDS = {"!": 3, "&&": 2, "||": 1}
 
 
 def _term(words: list[str]) -> Node:
@@ -90,85 +89,72 @@ def _read_f(query: str) -> list[Node | str]:
     return out
 
 
-def parse_f(query: str) -> Node:
-    """Operators with too few operands are skipped; a closing bracket too many closes all, one too few is as if it were at the end."""
-    items: list[Node | str] = []
-    for x in _read_f(query):
-        if items and (items[-1] == ")" or not isinstance(items[-1], str)) and (x in ("(", "!") or not isinstance(x, str)):
-            items.append("&&")
-        items.append(x)
-    operands: list[Node] = []
-    waiting: list[str] = []
-
-    def apply(sign: str) -> None:
-        if sign == "!" and operands:
-            operands.append(Not(operands.pop()))
-        elif sign in ("&&", "||") and len(operands) > 1:
-            right, left = operands.pop(), operands.pop()
-            operands.append(And(left, right) if sign == "&&" else Or(left, right))
-
-    for x in items:
-        if not isinstance(x, str):
-            operands.append(x)
-        elif x == "(":
-            waiting.append(x)
-        elif x == ")":
-            while waiting and waiting[-1] != "(":
-                apply(waiting.pop())
-            if waiting:
-                waiting.pop()
-        else:
-            # A second ! waits for the first: double negation is none.
-            while waiting and waiting[-1] != "(" and x != "!" and _BINDS[waiting[-1]] >= _BINDS[x]:
-                apply(waiting.pop())
-            waiting.append(x)
-    while waiting:
-        apply(waiting.pop())
-    return operands[-1] if operands else Nothing()
+@dataclass(frozen=True)
+class Policy:
+    """What a dialect makes of queries that are not well formed. missing: what stands for an operand that is not there, if anything does;
+    else an operator that lacks one is left out. closes: whether a closing bracket without an opening one closes all before it, or ends the query."""
 
+    missing: Node | None
+    closes: bool
 
-def parse_b(query: str) -> Node:
-    """A missing operand matches nothing; reading stops at a closing bracket without an opening one."""
-    items = [s or stem_text(w)[0] + "\0" for s, w in _B_TOKEN.findall(query)]
+
+def _descend(items: list[Node | str], policy: Policy) -> Node:
+    """By precedence; juxtaposition is AND, and a bracket that is not closed is closed at the end."""
     at = 0
 
-    def peek() -> str:
-        return items[at] if at < len(items) else ""
+    def peek() -> Node | str | None:
+        return items[at] if at < len(items) else None
 
-    def factor() -> Node:
+    def took(sign: str) -> bool:
         nonlocal at
-        x = peek()
-        if x == "!":
-            at += 1
-            return Not(factor())
-        if x == "(":
-            at += 1
-            inner = either()
-            if peek() == ")":
-                at += 1
+        if peek() != sign:
+            return False
+        at += 1
+        return True
+
+    def join(kind: type[And] | type[Or], left: Node | None, right: Node | None) -> Node | None:
+        return kind(left, right) if left is not None and right is not None else right if left is None else left
+
+    def factor() -> Node | None:
+        nonlocal at
+        if took("!"):
+            inner = factor()
+            return None if inner is None else Not(inner)
+        if took("("):
+            inner = either(None)
+            took(")")
             return inner
-        if x.endswith("\0"):
+        if isinstance(peek(), Node):
             at += 1
-            return Term(x[:-1])
-        return Nothing()
+            return items[at - 1]
+        return policy.missing
 
-    def both() -> Node:
-        nonlocal at
-        left = factor()
-        while (x := peek()) and (x in ("&&", "(", "!") or x.endswith("\0")):
-            at += x == "&&"
-            left = And(left, factor())
+    def both(left: Node | None) -> Node | None:
+        left = factor() if left is None else left
+        while took("&&") or peek() in ("(", "!") or isinstance(peek(), Node):
+            left = join(And, left, factor())
         return left
 
-    def either() -> Node:
-        nonlocal at
-        left = both()
-        while peek() == "||":
-            at += 1
-            left = Or(left, both())
+    def either(left: Node | None) -> Node | None:
+        left = both(left)
+        while took("||"):
+            left = join(Or, left, both(None))
         return left
 
-    return either() if items else Nothing()
+    out = either(None) if items else None
+    while policy.closes and took(")"):
+        # What was read so far is one operand of what follows.
+        out = either(out)
+    return Nothing() if out is None else out
+
+
+def parse_f(query: str) -> Node:
+    return _descend(_read_f(query), Policy(missing=None, closes=True))
+
+
+def parse_b(query: str) -> Node:
+    items = [s or Term(stem_text(w)[0]) for s, w in _B_TOKEN.findall(query)]
+    return _descend(items, Policy(missing=Nothing(), closes=False))
 
 
 def parse(query: str, dialect: str = "F") -> Node:

@@ -55,11 +55,17 @@ def _index(spark: SparkSession, sf_dir: str) -> index.Index:
     return index.load(spark, _written[key])
 
 
-def _terms_sql() -> str:
-    """(doc_id, pos, term) of all documents in SQL."""
-    stemmed = "SELECT w AS w0, w FROM (SELECT DISTINCT w FROM tok)"
+def _stemmed_sql(words: str) -> str:
+    """(w0, w): words (w) of a table and their stems."""
+    stemmed = f"SELECT w AS w0, w FROM (SELECT DISTINCT w FROM {words})"
     for step in sql_steps(duckdb=True):
         stemmed = f"SELECT w0, {step} AS w FROM ({stemmed})"
+    return stemmed
+
+
+def _terms_sql() -> str:
+    """(doc_id, pos, term) of all documents in SQL."""
+    stemmed = _stemmed_sql("tok")
     return f"""WITH runs AS (SELECT doc_id, regexp_extract_all(text, '[0-9A-Za-z]+') AS ws FROM documents WHERE text IS NOT NULL),
 tok AS MATERIALIZED (SELECT doc_id, lower(unnest(ws)) AS w, CAST(generate_subscripts(ws, 1) - 1 AS BIGINT) AS pos FROM runs),
 voc AS MATERIALIZED ({stemmed}), terms AS MATERIALIZED (SELECT doc_id, pos, voc.w AS term FROM tok JOIN voc ON tok.w = voc.w0) """
@@ -201,8 +207,13 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return analysis.corpus_stats(_table(spark, d, "pages"), F.col("html"), web.html_text(F.col("html"))).select("n_docs", "raw_chars", "text_chars", F.round("avg_raw_chars", 6).alias("avg_raw_chars"), F.round("avg_text_chars", 6).alias("avg_text_chars"))
 
 
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    """Term frequencies that the stored index has."""
+    return _index(spark, d).dictionary.select("term", "freq")
+
+
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.token_stats(analysis.term_counts(_docs(spark, d))).select("n_tokens", F.round("avg_token_length", 6).alias("avg_token_length"))
+    return analysis.token_stats(_counts(spark, d)).select("n_tokens", F.round("avg_token_length", 6).alias("avg_token_length"))
 
 
 def unique_term_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -214,11 +225,11 @@ def term_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_frequencies_top10(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.top_terms(analysis.term_counts(_docs(spark, d)))
+    return analysis.top_terms(_counts(spark, d))
 
 
 def zipf_rank_curve(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.zipf(analysis.term_counts(_docs(spark, d)))
+    return analysis.zipf(_counts(spark, d))
 
 
 def docs_per_source(spark: SparkSession, d: str) -> DataFrame:
@@ -237,7 +248,7 @@ def tokenizer_first_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def average_length_difference(spark: SparkSession, d: str) -> DataFrame:
-    got = analysis.length_difference(analysis.term_counts(_docs(spark, d)), _index(spark, d).dictionary)
+    got = analysis.length_difference(_counts(spark, d), _index(spark, d).dictionary)
     return got.select(F.round("difference", 6).alias("difference"))
 
 
@@ -312,9 +323,15 @@ def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
     return ingest.outcomes(ingest.classify(new, stored, NOW, 2000))
 
 
+def _twice(new: DataFrame) -> DataFrame:
+    """Each row and one of the same key from another source, which sorts behind it."""
+    return new.unionByName(new.withColumn("source", F.concat("source", F.lit("-again"))))
+
+
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Of the rows of one key the last by source."""
     new, stored = _new_and_stored(spark, d)
-    return ingest.upsert(stored, new).select("url", "raw_sha256", "source", F.coalesce("fetched_at", F.lit(0)).alias("fetched_at"))
+    return ingest.upsert(stored, _twice(new), order=["source"]).select("url", "raw_sha256", "source", F.coalesce("fetched_at", F.lit(0)).alias("fetched_at"))
 
 
 def store_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -358,8 +375,14 @@ def touch_checked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
+    """Of the rows of one key the first by source."""
     new, stored = _new_and_stored(spark, d)
-    return ingest.insert_if_absent(stored, new).select("url", "source")
+    return ingest.insert_if_absent(stored, _twice(new), order=["source"]).select("url", "source")
+
+
+def first_within_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The first 300 documents by source and id."""
+    return ingest.within_budget(_table(spark, d, "documents").select("source", "doc_id"), 300, ["source", "doc_id"])
 
 
 def source_quota(spark: SparkSession, d: str) -> DataFrame:
@@ -449,7 +472,8 @@ def oracle_sql() -> dict[str, str]:
 row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM h)
 SELECT query_id, hits, rank, r.doc_id, coalesce(nullif({_TITLE}, ''), 'No Title') || ' (' || {_URL} || ')' AS line FROM r JOIN documents USING (doc_id) WHERE rank <= 10""",
         "query_table_topk": f"""{t}, bw AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) AS ws FROM benchmark WHERE text IS NOT NULL),
-q AS MATERIALIZED (SELECT item_id, coalesce(v1.w, '') AS a, coalesce(v2.w, '') AS b FROM bw LEFT JOIN voc v1 ON v1.w0 = ws[1] LEFT JOIN voc v2 ON v2.w0 = ws[2] WHERE len(ws) >= 2),
+asked AS (SELECT ws[1] AS w FROM bw UNION SELECT ws[2] FROM bw), av AS MATERIALIZED ({_stemmed_sql("asked")}),
+q AS MATERIALIZED (SELECT item_id, v1.w AS a, v2.w AS b FROM bw JOIN av v1 ON v1.w0 = ws[1] JOIN av v2 ON v2.w0 = ws[2] WHERE len(ws) >= 2),
 p AS MATERIALIZED (SELECT * FROM terms WHERE term IN (SELECT a FROM q UNION SELECT b FROM q)), d AS MATERIALIZED (SELECT DISTINCT term, doc_id FROM p),
 h AS (SELECT 4 * item_id AS query_id, x.doc_id FROM q JOIN d x ON x.term = a JOIN d y ON y.term = b AND y.doc_id = x.doc_id
 UNION ALL SELECT DISTINCT 4 * item_id + 1, x.doc_id FROM q JOIN p x ON x.term = a JOIN p y ON y.term = b AND y.doc_id = x.doc_id AND y.pos = x.pos + 1
@@ -486,7 +510,7 @@ SELECT page_id, CAST(generate_subscripts(hs, 1) - 1 AS BIGINT) AS pos, lower(sit
         "content_sha256": "SELECT page_id, sha256(html) AS sha FROM pages",
         "freshness_classify": f"{_OLD} SELECT url, outcome FROM seen",
         "outcome_counts": f"{_OLD} SELECT outcome, count(*) AS n FROM seen GROUP BY outcome",
-        "upsert_merge": f"{_OLD} SELECT coalesce(n.url, s.url) AS url, coalesce(n.raw_sha256, s.raw_sha256) AS raw_sha256, coalesce(n.source, s.source) AS source, coalesce(s.fetched_at, 0) AS fetched_at FROM stored s FULL JOIN new n ON n.url = s.url",
+        "upsert_merge": f"{_OLD} SELECT coalesce(n.url, s.url) AS url, coalesce(n.raw_sha256, s.raw_sha256) AS raw_sha256, coalesce(n.source || '-again', s.source) AS source, coalesce(s.fetched_at, 0) AS fetched_at FROM stored s FULL JOIN new n ON n.url = s.url",
         "store_upsert": f"{_OLD} SELECT coalesce(n.url, s.url) AS url, coalesce(n.raw_sha256, s.raw_sha256) AS raw_sha256, coalesce(n.source, s.source) AS source, coalesce(s.fetched_at, 0) AS fetched_at FROM stored s FULL JOIN new n ON n.url = s.url",
         "recrawl_batches": f"""{_OLD}, c AS (SELECT url, raw_sha256, source FROM new JOIN seen USING (url) WHERE outcome IN ('new', 'changed'))
 SELECT coalesce(c.url, s.url) AS url, coalesce(c.raw_sha256, s.raw_sha256) AS raw_sha256, coalesce(c.source, s.source) AS source,
@@ -496,6 +520,7 @@ CASE WHEN c.url IS NOT NULL OR s.url IN (SELECT url FROM seen WHERE outcome = 'u
         "sql_terms": f"{t} SELECT doc_id, pos, term FROM terms",
         "touch_checked": f"{_OLD} SELECT url, CAST(CASE WHEN outcome = 'unchanged' THEN {NOW} ELSE 0 END AS BIGINT) AS checked_at FROM stored LEFT JOIN (SELECT DISTINCT url, outcome FROM seen WHERE outcome = 'unchanged') USING (url)",
         "insert_if_absent": f"{_OLD} SELECT url, source FROM stored UNION ALL SELECT url, source FROM new WHERE url NOT IN (SELECT url FROM stored)",
+        "first_within_budget": "SELECT source, doc_id FROM documents ORDER BY source, doc_id LIMIT 300",
         "source_quota": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 7",
         "word_count_filter": r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS BIGINT) AS n_words FROM documents WHERE n_words >= 500",
         "safe_title": r"SELECT doc_id, substr(replace(trim(regexp_replace(split_part(text, chr(10), 1), '[^\p{L}\p{M}\p{N}_\s-]', '', 'g')), ' ', '_'), 1, 100) AS name FROM documents",
@@ -514,6 +539,6 @@ def queries() -> dict[str, Query]:
         search_hit_count, batch_queries_topk, query_table_topk, set_union, set_intersect, set_difference, term_bitmaps, corpus_stats, token_stats, unique_term_stats, term_counts,
         term_frequencies_top10, zipf_rank_curve, docs_per_source, tokenizer_report, position_delta_encode, position_delta_decode, varbyte_length, url_strip_query,
         url_normalize, url_allowed_domain, url_html_filter, page_links, page_title, page_text, content_sha256, freshness_classify, outcome_counts, upsert_merge, store_upsert, recrawl_batches, stream_term_counts, sql_terms,
-        touch_checked, insert_if_absent, source_quota, word_count_filter, safe_title, ncbi_article_url, document_numbers, tsv_fields, tokenizer_first_words, average_length_difference, text_with_json_by_stem, window_position_deltas,
+        touch_checked, insert_if_absent, first_within_budget, source_quota, word_count_filter, safe_title, ncbi_article_url, document_numbers, tsv_fields, tokenizer_first_words, average_length_difference, text_with_json_by_stem, window_position_deltas,
     )
     return out | {f.__name__: f for f in plain}

@@ -37,6 +37,13 @@ def tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.size(parts) == 3).select(parts[0].alias("url"), parts[1].alias("title"), parts[2].alias("text"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value) of a text file, from 1; a file is one task's, as only its whole tells where a line is."""
+    whole = spark.read.text(path, wholetext=True)
+    lines = F.posexplode(F.split("value", "\\r?\\n"))
+    return whole.select(lines.alias("line_no", "value")).withColumn("line_no", (F.col("line_no") + 1).cast("long"))
+
+
 def to_line(url: str, title: str, text: str) -> list:
     """Columns for a TSV line: tabs and line ends become spaces."""
     return [F.translate(F.col(c), "\t\n", "  ").alias(c) for c in (url, title, text)]

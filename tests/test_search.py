@@ -15,6 +15,7 @@ TABLE = [
     ("a1 &&", A, Q.And(A, X)), ("&& a1", A, Q.And(X, A)), ("a1 ||", A, Q.Or(A, X)), ("|| a1", A, Q.Or(X, A)), ("!", X, Q.Not(X)),
     ("!!a1", Q.Not(Q.Not(A)), Q.Not(Q.Not(A))), ("a1 && !!b1", Q.And(A, Q.Not(Q.Not(B))), Q.And(A, Q.Not(Q.Not(B)))), ("a1 ) b1", Q.And(A, B), A),
     ("a1 && && b1", Q.And(A, B), Q.And(Q.And(A, X), B)), ("a1 ()", A, Q.And(A, X)), ("( a1", A, A), ("!=a1", Q.Not(A), A), ("2024", X, Q.Term("2024")), ("", X, X),
+    ("a1 !", A, Q.And(A, Q.Not(X))), ("a1 || (&& b1)", Q.Or(A, B), Q.Or(A, Q.And(X, B))), ("a1 || b1 ) c1", Q.And(Q.Or(A, B), Q.Term("c1")), Q.Or(A, B)), ("a1 || && b1", Q.Or(A, B), Q.Or(A, Q.And(X, B))),
     ("a1 || b1 && !a1", Q.Or(A, Q.And(B, Q.Not(A))), Q.Or(A, Q.And(B, Q.Not(A)))), ('"', X, X), ("a1 & b1", Q.And(A, B), Q.And(A, B)),
 ]
 

@@ -168,6 +168,22 @@ def test_many_queries_have_a_plan_of_one_size(spark, stored, monkeypatch):
     assert bitmaps.size(query_table.evaluate(stored, few), "query_id").count() == 2
 
 
+def test_report_of_a_query_file(spark, corpus, tmp_path):
+    from lexispark import __main__ as command
+
+    at = str(tmp_path / "i")
+    docs = spark.createDataFrame([(i, f"u{i}", f"T{i}", t) for i, t in corpus.items()], "doc_id long, url string, title string, text string")
+    index.write(index.build(docs), at)
+    bad = '"a b" / ' + "9" * 5000
+    (tmp_path / "q.txt").write_text(f"cat && !dog\n\n  unknown \r\n{bad}\n\"cat dog\"")
+    command.main([at, str(tmp_path / "q.txt"), str(tmp_path / "out"), "--size", "2"])
+    got = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    cats, pairs = expected(corpus, "cat && !dog"), expected(corpus, '"cat dog"')
+    want = ["Query: cat && !dog", f"Found {len(cats)} docs.", *(f"{k}. T{i} (u{i})" for k, i in enumerate(cats[:2], 1)), "", "Query: unknown", "Found 0 docs.", ""]
+    assert got[:8] == want and got[8] == f"Query: {bad}" and got[9].startswith("Error: ") and got[10] == ""
+    assert got[11:] == ['Query: "cat dog"', f"Found {len(pairs)} docs.", *(f"{k}. T{i} (u{i})" for k, i in enumerate(pairs[:2], 1)), ""]
+
+
 def test_every_sql_is_quick_inside_another_query():
     """The driver of a comparison may put a text into a subquery, which changes how it is planned."""
     import os

