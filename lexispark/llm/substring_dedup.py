@@ -1,11 +1,13 @@
 """Suffix-array dedup: long strings that also start in an earlier document, by interval expansion on a Burrows-Wheeler transform.
 
-Work is dealt by content. Each window of ``length`` bytes has an anchor: the k-gram of least hash within it, leftmost on a tie.
+Work is dealt by content. Each window of ``length`` bytes has an anchor: the k-gram of least hash within it, leftmost on a tie; k-grams
+that very many documents hold come after all others, so that a common phrase in unlike surroundings is no anchor and fills no bucket. They
+are counted first, over all documents, in a table of fixed size; which ones count as common changes the work, never the result.
 Windows in a row with one anchor form a segment of at most 2 * length - k bytes. Equal windows have equal anchors, so a bucket
 of anchor hashes holds all documents that can share a window; map tasks send compressed segments to buckets of a fixed
 expected size. A passage that very many documents hold is aggregated before it is sent: of equal segments that a task sees, those of
-its smallest document alone go to the bucket. The others lie in a later document than an equal one, so they are removed whole. A hot
-bucket thus grows with the tasks, not with the documents.
+its smallest document alone go to the bucket. The others lie in a later document than an equal one, so they are removed whole. What
+stays in one bucket whatever is done: unlike windows of common k-grams only, and of a common passage one copy a task.
 
 In a bucket, anchors of one document are dropped. Equal segments are one, with their smallest document. Where an anchor
 has different segments, and some flanks agree far enough for a common window, these are concatenated and their transform is
@@ -40,6 +42,9 @@ ROUNDS = 2
 #: Texts that a compression dictionary is made from, about, and its size. It keeps small blobs small, and changes no result.
 SAMPLE_TEXTS, DICTIONARY_BYTES = 300, 65_536
 CHUNK_BYTES = 2_000_000
+#: Cells that k-grams are counted in, by hash; the least count in a task, and its share of a task's counts, of a cell that a task reports;
+#: the cells that count as common, at most.
+CELLS, COMMON_COUNT, COMMON_SHARE, COMMON_CELLS = 1 << 22, 64, 1e-5, 1 << 16
 #: Segments that a task remembers, beside those of one chunk.
 SEEN = 200_000
 _U = np.uint64
@@ -91,13 +96,50 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: n - w], x[w - n :]) if n < w and len(x) > w - n else x if n == w else x[:0]
 
 
-def segments(b: np.ndarray, ends: np.ndarray, sizes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """The hash of each k-gram of concatenated documents; and (hash, first byte, end, anchor, document index) of each segment."""
+def common_cells(docs: DataFrame, text: str, length: int, k: int) -> np.ndarray:
+    """The cells of common k-grams, as one array of bits. Only k-grams of low hashes are counted, as others are hardly ever anchors.
+
+    A task reports cells that stand out in it, which a k-gram of a larger share in all texts does in some task; a fixed number at most.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, dtype=np.int64)
+
+        def add(texts: list[bytes]) -> None:
+            h = gram_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), k)
+            counts[:] += np.bincount((h[h < _U(1 << 62)] & _U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+
+        texts, size = [], 0
+        for batch in batches:
+            for t in batch.column(0):
+                if t.is_valid and len(raw := t.as_buffer().to_pybytes()) >= length:
+                    texts.append(raw)
+                    size += len(raw)
+                if size >= CHUNK_BYTES:
+                    add(texts)
+                    texts, size = [], 0
+        if texts:
+            add(texts)
+        found = np.flatnonzero(counts >= max(COMMON_COUNT, COMMON_SHARE * counts.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["cell", "n"])
+
+    found = docs.select(text).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = found.orderBy(F.col("n").desc(), "cell").limit(COMMON_CELLS).collect()  # so many numbers at most
+    bits = np.zeros(CELLS, dtype=bool)
+    bits[[r["cell"] for r in rows]] = True
+    return np.packbits(bits)
+
+
+def segments(b: np.ndarray, ends: np.ndarray, sizes: np.ndarray, length: int, k: int, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The hash of each k-gram of concatenated documents; and (hash, first byte, end, anchor, document index) of each segment. common: for
+    each cell, whether its k-grams come last."""
     none = np.zeros(0, dtype=np.int64)
     if len(b) < length:
         return none, none.astype(np.uint64), none, none, none, none
     h = gram_hashes(b, k)
-    key = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    key = ((h >> _U(1)) & _U(0x7FFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    if common is not None:
+        key |= common[(h & _U(CELLS - 1)).astype(np.int64)].astype(np.uint64) << _U(63)
     low = (sliding_min(key, length - k + 1) & _U(0xFFFFFFFF)).astype(np.int64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     start = np.flatnonzero(np.arange(len(low)) + length <= ends[owner[: len(low)]])
@@ -188,15 +230,15 @@ def repeats(a: np.ndarray, b: np.ndarray, names: np.ndarray, seen: Seen) -> np.n
     return names > np.minimum(names[head], known)[kind]
 
 
-def send(docs: DataFrame, key: str, text: str, n_buckets: int, length: int, k: int, words: bytes = b"", round_: int = 0, rounds: int = 1) -> DataFrame:
+def send(docs: DataFrame, key: str, text: str, n_buckets: int, length: int, k: int, words: bytes = b"", round_: int = 0, rounds: int = 1, common: np.ndarray | None = None) -> DataFrame:
     """(bucket, blob): compressed segments of a chunk of documents, for each bucket of a round; also runs that are known to go, in
     blobs of their own for any bucket."""
 
-    def chunk(ids: list[int], texts: list[bytes], pack: zstandard.ZstdCompressor, seen: Seen) -> pd.DataFrame:
+    def chunk(ids: list[int], texts: list[bytes], pack: zstandard.ZstdCompressor, seen: Seen, last: np.ndarray | None) -> pd.DataFrame:
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes)
         b = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        grams, h, first, end, anchor, doc = segments(b, ends, sizes, length, k)
+        grams, h, first, end, anchor, doc = segments(b, ends, sizes, length, k, last)
         own = np.flatnonzero((h >> _U(8)) % _U(rounds) == _U(round_))
         h, first, end, anchor, doc = h[own], first[own], end[own], anchor[own], doc[own]
         starts, names = ends - sizes, np.array(ids, dtype=np.int64)
@@ -225,6 +267,7 @@ def send(docs: DataFrame, key: str, text: str, n_buckets: int, length: int, k: i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack, seen = zstandard.ZstdCompressor(level=2, **_codec(words)), Seen()
+        last = None if common is None else np.unpackbits(common).astype(bool)
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, t in zip(batch[key], batch[text], strict=True):
@@ -234,10 +277,10 @@ def send(docs: DataFrame, key: str, text: str, n_buckets: int, length: int, k: i
                     texts.append(raw)
                     size += len(raw)
                 if size >= CHUNK_BYTES:
-                    yield chunk(ids, texts, pack, seen)
+                    yield chunk(ids, texts, pack, seen, last)
                     ids, texts, size = [], [], 0
         if ids:
-            yield chunk(ids, texts, pack, seen)
+            yield chunk(ids, texts, pack, seen, last)
 
     return docs.select(key, text).where(F.col(key).isNotNull()).mapInPandas(run, "bucket long, blob binary")
 
@@ -428,13 +471,14 @@ def covered(
     n_docs, total = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
     n_buckets = buckets_for(buckets_for(total, bucket_bytes), rounds)
     words = dictionary(docs, text, n_docs)
+    common = common_cells(docs.where(F.col(key).isNotNull()), text, length, k)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return resolve(group["blob"].tolist(), length, k, words)
 
     out = None
     for r in range(rounds):
-        sent = send(docs, key, text, n_buckets, length, k, words, r, rounds)
+        sent = send(docs, key, text, n_buckets, length, k, words, r, rounds, common)
         runs = cut(sent.groupBy("bucket").applyInPandas(run, "id long, first long, end long"), "runs")
         del sent
         release(docs.sparkSession)

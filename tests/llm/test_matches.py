@@ -171,6 +171,30 @@ def test_substrings_of_a_passage_in_every_document(spark):
     assert sum(kept) < 3000 * 12
 
 
+def test_a_common_phrase_fills_no_bucket(spark):
+    """A phrase shorter than a window, between unlike texts: its bucket does not grow with the documents."""
+    rng, phrase = random.Random(5), "in the united states of america"
+    assert len(phrase) == 31
+    largest = {}
+    for n in (1000, 4000, 16_000):
+        texts = ["".join(rng.choice("abcdefghijkl ") for _ in range(90)) + phrase + "".join(rng.choice("abcdefghijkl ") for _ in range(90)) for _ in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        common = substring_dedup.common_cells(docs, "text", 50, 20)
+        for way in (None, common):
+            sent = substring_dedup.send(docs, "doc_id", "text", 64, 50, 20, common=way)
+            unpack = zstandard.ZstdDecompressor()
+            count = collections.Counter()
+            for r in sent.collect():
+                count[r.bucket] += max(0, int.from_bytes(unpack.decompress(bytes(r.blob))[:8], "little", signed=True))
+            largest[n, way is None] = max(count.values()) * 64 / sum(count.values())
+        got = {r.doc_id: r.spans for r in substring_dedup.dedup(docs).collect()}
+        if n == 1000:
+            want = cover_brute([(i, t.encode()) for i, t in enumerate(texts)], 50)
+            assert {i for i, s in got.items() if s} == {i for i, c in want.items() if c.any()}
+    # Against an even share of all segments.
+    assert all(largest[n, True] > 2 for n in (1000, 4000, 16_000)) and all(largest[n, False] < 1.5 for n in (1000, 4000, 16_000)), largest
+
+
 def test_segments_that_a_task_forgets_are_sent(spark):
     few, all_ = substring_dedup.Seen(3), substring_dedup.Seen()
     rng = np.random.default_rng(2)
