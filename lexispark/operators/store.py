@@ -8,16 +8,19 @@ changes nothing, or gets the same time and the same rows as before. One writer a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexispark.operators import ingest
 
 BUCKET = "_bucket"
+ABOUT = "key string, buckets int, schema string"
 Change = Callable[[DataFrame], DataFrame]
 
 
@@ -49,16 +52,23 @@ class Store:
         spark = docs.sparkSession
         store = Store(spark, path.rstrip("/"), key, buckets)
         store._write(store._with_bucket(docs), f"{store.path}/rows")
-        _note(spark, f"{store.path}/about", [(key, buckets)], "key string, buckets int")
+        store._describe(docs.schema)
         return store
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Store:
-        about = _noted(spark, f"{path.rstrip('/')}/about", "key string, buckets int")
+        about = _noted(spark, f"{path.rstrip('/')}/about", ABOUT)
         if not about:
             raise ValueError(f"no store at {path}")
         return Store(spark, path.rstrip("/"), about[0]["key"], about[0]["buckets"])
 
+    def _describe(self, schema: T.StructType) -> None:
+        _note(self.spark, f"{self.path}/about", [(self.key, self.buckets, schema.json())], ABOUT)
+
+    def _schema(self) -> T.StructType:
+        """As noted, so that no file is opened to know it; columns that came later are null in older files."""
+        return T.StructType.fromJson(json.loads(_noted(self.spark, f"{self.path}/about", ABOUT)[0]["schema"]))
+
     def _with_bucket(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn(BUCKET, F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int"))
 
@@ -67,36 +77,45 @@ class Store:
         ranged = rows.repartitionByRange(BUCKET, self.key).sortWithinPartitions(BUCKET, self.key)
         ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
-    def _rows(self, path: str = "rows") -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{path}")
-
     def read(self) -> DataFrame:
-        return self._rows().drop(BUCKET)
+        return self.spark.read.schema(self._schema()).parquet(f"{self.path}/rows")
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """The rows of keys (key): folders without any are not read."""
-        return self._touched(self._buckets_of(keys)).drop(BUCKET).join(keys.select(self.key).distinct(), self.key, "left_semi")
+        return self._touched(self._buckets_of(keys)).join(keys.select(self.key).distinct(), self.key, "left_semi")
 
     def _buckets_of(self, keys: DataFrame) -> list[int]:
         """At most as many numbers as there are buckets."""
         return sorted(r[BUCKET] for r in self._with_bucket(keys.select(self.key)).select(BUCKET).distinct().collect())
 
     def _touched(self, buckets: list[int]) -> DataFrame:
-        return self._rows().where(F.col(BUCKET).isin(buckets))
+        """Rows of some folders; others are not even listed."""
+        schema = self._schema()
+        try:
+            named = ",".join(map(str, buckets))
+            return self.spark.read.schema(schema).parquet(f"{self.path}/rows/{BUCKET}={{{named}}}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def recover(self) -> None:
         """Put in place what a writer that is gone had staged and noted."""
         pending = _noted(self.spark, f"{self.path}/pending", "staged string")
         for r in pending:
-            self._write(self._rows(r["staged"]), f"{self.path}/rows")
+            self._write(self._with_bucket(self.spark.read.schema(self._schema()).parquet(f"{self.path}/{r['staged']}")), f"{self.path}/rows")
         if pending:
             _note(self.spark, f"{self.path}/pending", [], "staged string")
 
     def _stage(self, keys: DataFrame, change: Change, name: str) -> list[int]:
         buckets = self._buckets_of(keys)
         if buckets:
-            changed = self._with_bucket(change(self._touched(buckets).drop(BUCKET)))
-            changed.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/staged/{name}")
+            changed, schema = change(self._touched(buckets)), self._schema()
+            new = [f for f in changed.schema if f.name not in schema.names]
+            if new:
+                self._describe(T.StructType([*schema, *new]))
+            typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in [*schema, *new]]
+            changed.select(*typed).write.mode("overwrite").parquet(f"{self.path}/staged/{name}")
         return buckets
 
     def _put(self, name: str) -> None:

@@ -237,3 +237,24 @@ def test_gone_pages_are_asked_for_once():
         raise readers.urllib.error.HTTPError("http://x/", 404, "", {}, None)
 
     assert readers.http_get("http://x/", pause=0, opener=gone) is None and len(calls) == 1
+
+
+def test_scan_snapshot_and_titles(spark, tmp_path):
+    from lexispark.operators import index, search
+    from lexispark.sources import sinks
+
+    rows = [("u3", "a", "T3", "cat", "raw"), ("u1", "b", "", "cat dog", "raw"), ("u2", "a", None, None, "raw"), ("u0", "a", "T0", "", "raw")]
+    docs = spark.createDataFrame(rows, "url string, source string, title string, parsed_text string, raw_content string")
+    sinks.write_snapshot(docs, str(tmp_path / "docs"))
+    scanned = readers.scan(spark, str(tmp_path / "docs"))
+    assert scanned.columns == ["url", "title", "parsed_text"] and sorted(r.url for r in scanned.collect()) == ["u0", "u1", "u3"]
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert "raw_content" not in plan and "IsNotNull(parsed_text)" in plan
+    assert [r.url for r in readers.scan(spark, str(tmp_path / "docs"), limit=2).collect()] == ["u0", "u1"]
+    corpus = index.corpus(scanned, F.col("url"), F.col("title"), F.col("parsed_text"))
+    assert {r.url: r.doc_id for r in corpus.collect()} == {"u0": 0, "u1": 1, "u3": 2}
+    assert index.corpus(scanned, F.col("url"), F.col("title"), F.col("parsed_text"), limit=2).count() == 2
+    lines = {r.url: r.line for r in search.batch(index.build(corpus), {1: "cat"}).collect()}
+    assert lines == {"u3": "T3 (u3)", "u1": "No Title (u1)"}
+    with pytest.raises(Exception, match="exists"):
+        sinks.write_snapshot(docs, str(tmp_path / "docs"))
