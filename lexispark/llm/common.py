@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import gc
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexispark.storage import cut
+from lexispark.storage import cut, new_path
 
-__all__ = ["buckets_for", "cut", "forget_others", "one_row_an_id", "release", "remembers", "ship", "table", "unused"]
+__all__ = ["bucketed", "buckets_for", "cut", "forget_others", "one_row_an_id", "release", "remembers", "ship", "table", "unused"]
 
 #: What a Python worker remembers between tasks, by operator: how to forget it.
 _memories: dict[str, Callable[[], None]] = {}
@@ -50,6 +51,14 @@ def one_row_an_id(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.join(again, key, "left_anti").unionByName(one.select(docs.columns)).select(docs.columns)
 
 
+def bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
+    """A table of df, which is dealt to n partitions by the key already, with the same n buckets: joins on the key leave it where it is, if n is not
+    below the session's shuffle partitions. Its folder is the shared one."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).sortBy(key).option("path", new_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove shuffle files that nothing refers to any more, as its periodic collection would."""
     gc.collect()

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import buckets_for, cut, release
+from lexispark.llm.common import bucketed, buckets_for, cut, release
 
 DEGREE = 28
 REVERSE = 20
@@ -185,7 +185,9 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, width
         cuts = _segments(u)
         return pd.DataFrame({"u": [u[a] for a, _ in cuts], "ws": [w[a:b].tobytes() for a, b in cuts], "xs": [b"".join(x[a:b]) for a, b in cuts]})
 
-    inline = cut(_whole(near, "u", buckets_for(n * 2 * DEGREE * (2 * width + 24), TASK_BYTES), beside, "u long, ws binary, xs binary"), "inline")
+    # Every round's queries come to the neighbours, which are by far the larger table and stay where they are.
+    n_buckets = max(buckets_for(n * 2 * DEGREE * (2 * width + 24), TASK_BYTES), int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    inline = bucketed(_whole(near, "u", n_buckets, beside, "u long, ws binary, xs binary"), "u", n_buckets, "inline")
     # Entry nodes: a fixed number, so that a search can leave a part of the graph that nothing links to the rest. Every query begins
     # with them and their neighbours (a bounded number, too), so that no node is joined with all queries.
     entry = nodes.orderBy(F.xxhash64("id")).limit(ENTRIES).collect()
@@ -246,7 +248,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, width
     state = queries.mapInPandas(begin, state_type)
     for k in itertools.count(1):
         frontier = state.select("q", "x", F.explode("next").alias("u"))
-        seen = frontier.join(inline, "u").select("q", "u", "x", "ws", "xs").mapInPandas(compare, state_type)
+        seen = frontier.hint("merge").join(inline, "u").select("q", "u", "x", "ws", "xs").mapInPandas(compare, state_type)
         both = state.select("q", "x", "ids", "sims", "done", F.lit(None).cast("array<long>").alias("next"), "quiet").union(seen)
         state = cut(_whole(both, "q", buckets_for(n // 20 * expand * 2 * DEGREE * 16, TASK_BYTES), advance, state_type), "pool")
         moving, asked = state.agg(F.count_if(F.col("quiet") == 0), F.count(F.lit(1))).first()
