@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,16 +111,15 @@ class WordEncoder:
         return out
 
 
-def batches_by_size(texts: list[str | None], characters: int = 2_000_000) -> Iterator[list[str | None]]:
-    """Slices of texts of about so many characters, one text at least."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= characters:
-            yield texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield texts[start:]
+def texts_by_size(column: pa.Array, size: int = 2_000_000) -> Iterator[list[str | None]]:
+    """The texts of an Arrow column in slices of about so many bytes, one text at least; others stay in Arrow's memory."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        before = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + size, side="right")))
+        yield column.slice(start, end - start).to_pylist()
+        start = end
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         turn = zlib.crc32(str(TaskContext.get().partitionId()).encode())
         for batch in batches:
             out, rows = [], []
-            encoded = (ids for texts in batches_by_size(batch.column("text").to_pylist()) for ids in encoder.encode(texts))
+            encoded = (ids for texts in texts_by_size(batch.column("text")) for ids in encoder.encode(texts))
             for row, ids in enumerate(encoded):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
