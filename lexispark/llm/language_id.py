@@ -1,9 +1,12 @@
 """Language ID by the nearest of several clustered centroids of each language, over TF-IDF vectors of hashed byte trigrams.
 
-Document frequencies come from all training rows. Centroids are fitted on a bounded sample: SAMPLE rows of each language, by
-smallest hash. Parts of the same rows, of one word to the whole, give the cosines that own texts of each length reach: a text is
-rejected below LOW_SHARE of their LOW_QUANTILE, for its language and its number of distinct trigrams, as short texts score low
-by nature. That does not depend on the table's size. Prediction is one pass over the table without a shuffle; each text becomes a vector of DIMENSIONS floats.
+Document frequencies, centroids and rejection cosines come from all training rows. Each row is encoded once; rounds of k-means read the
+encoded rows and add up vectors in whole numbers, so the sums do not hang on the order of rows. Only the places that rounds start from are
+single rows. Then each row and its runs of 1, 2, 4, ... words, which leave no word out, give the cosines that own texts of each length
+reach: a text is rejected below LOW_SHARE of their LOW_QUANTILE, for its language and its number of distinct trigrams, as short texts
+score low by nature. Cosines are counted in STEPS steps, so a quantile is found among counts. The driver gets some numbers for each
+language and trigram, whatever the table's size. Prediction is one pass over the table without a shuffle; each text becomes a vector of
+DIMENSIONS floats.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and not accepted; a text whose best cosine is
 below the rejection cosine keeps its nearest language but is not accepted; a null training language is no label; repeated rows each
@@ -13,7 +16,6 @@ training rows need not differ nor be there. Whole texts are used.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,17 +28,22 @@ from lexispark.llm.common import cut, forget_others
 
 BITS = 12
 DIMENSIONS = 1 << BITS
-SAMPLE = 400
 CENTROIDS = 3
-#: A cluster with less of its language's sample than this is no centroid: a few wrong labels must not found one.
+#: Rounds of k-means; they end before when no sum changes.
+ROUNDS = 12
+#: A cluster with less of its language's rows than this is no centroid: a few wrong labels must not found one.
 LEAST_SHARE = 0.1
 #: What part of which quantile of own texts' cosines is the least that is accepted.
 LOW_QUANTILE = 0.01
 LOW_SHARE = 0.6
 #: Bands of distinct trigrams, by powers of two.
 BANDS = BITS + 1
-#: Parts of a training row of each number of words.
-PARTS = 3
+#: Cosines of runs are counted in steps of one part of this, upwards and from one: what has no trigram of a language is below all of its.
+STEPS = 10_000
+#: Vectors are added up as whole multiples of one part of this, so that sums are exact.
+UNIT = 1 << 20
+#: Rows that are a matrix of floats at a time.
+SLICE = 250
 UNKNOWN = "und"
 #: Bytes of ASCII that are no letters become one separator.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -57,37 +64,77 @@ class Model:
     reject: np.ndarray  # least cosine accepted, by language and band
 
 
-def counts(text: str | None) -> np.ndarray:
-    """How often each hashed trigram of the lower-cased text occurs; words are set off by single separators."""
+def folded(text: str | None) -> np.ndarray:
+    """The bytes of the lower-cased text; words are set off by single separators, and so are the ends."""
     raw = np.frombuffer(f" {text or ''} ".lower().encode("utf-8", "replace"), dtype=np.uint8)
     b = _FOLD[raw]
     gap = b == 32
-    b = b[~(gap & np.concatenate(([False], gap[:-1])))].astype(np.uint32)
-    if len(b) < 3:
-        return np.zeros(DIMENSIONS, dtype=np.float32)
+    return b[~(gap & np.concatenate(([False], gap[:-1])))]
+
+
+def trigrams(b: np.ndarray) -> np.ndarray:
+    """The hash of each three bytes."""
+    b = b.astype(np.uint32)
     h = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))
-    return np.bincount((h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS), minlength=DIMENSIONS).astype(np.float32)
+    return (h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
 
 
-def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
-    """Normalised TF-IDF rows, with damped counts."""
-    x = np.log1p(np.stack([counts(t) for t in texts])) * idf
+def counts(text: str | None) -> np.ndarray:
+    """How often each hashed trigram of the lower-cased text occurs; words are set off by single separators."""
+    return np.bincount(trigrams(folded(text)), minlength=DIMENSIONS).astype(np.float32)
+
+
+def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Normalised TF-IDF rows of counts, which are damped."""
+    x = np.log1p(x) * idf
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(norm > 0, norm, 1)
 
 
-def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
+def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
+    """Normalised TF-IDF rows, with damped counts."""
+    return weighted(np.stack([counts(t) for t in texts]), idf)
+
+
+def packed(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts of one text: a bit for each trigram, and how often those occur that do, in one byte each or in four."""
+    n = x[x > 0]
+    return np.packbits(x > 0).tobytes(), n.astype("<u4" if len(n) and n.max() > 255 else "u1").tobytes()
+
+
+def unpacked(bits: list[bytes], times: list[bytes]) -> np.ndarray:
+    """The counts again, a row for each text."""
+    there = np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(-1, DIMENSIONS // 8), axis=1).astype(bool)
+    x = np.zeros(there.shape, dtype=np.float32)
+    x[there] = np.concatenate([np.frombuffer(t, dtype="u1" if len(t) == n else "<u4") for t, n in zip(times, there.sum(axis=1), strict=True)] or [[]])
+    return x
+
+
+def encode(rows: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """lang, place (a hash of key and text), bits and times of all rows, on disk."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            both = [packed(counts(t)) for t in b["_text"]]
+            yield pd.DataFrame({"lang": b["_lang"], "place": b["_place"], "bits": [x for x, _ in both], "times": [x for _, x in both]})
+
+    placed = rows.select(F.xxhash64(*(F.col(c).cast("string") for c in (key, text))).alias("_place"), F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text"))
+    return cut(placed.mapInPandas(run, "lang string, place long, bits binary, times binary"), "languages")
+
+
+def document_frequencies(encoded: DataFrame) -> tuple[np.ndarray, int]:
     """Rows that hold each hashed trigram, over all rows; tasks add up before the shuffle."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(DIMENSIONS, dtype=np.int64), 0
         for batch in batches:
-            for t in batch[text]:
-                total += counts(t) > 0
+            for at in range(0, len(batch), SLICE):
+                bits = np.frombuffer(b"".join(batch["bits"].iloc[at : at + SLICE]), dtype=np.uint8)
+                total += np.unpackbits(bits.reshape(-1, DIMENSIONS // 8), axis=1).sum(axis=0, dtype=np.int64)
             n += len(batch)
         yield pd.DataFrame({"bin": np.arange(DIMENSIONS + 1), "df": np.append(total, n)})
 
-    rows = docs.select(text).mapInPandas(add, "bin int, df long").groupBy("bin").agg(F.sum("df").alias("df")).collect()
+    rows = encoded.select("bits").mapInPandas(add, "bin int, df long").groupBy("bin").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(DIMENSIONS + 1, dtype=np.int64)
     for r in rows:  # one for each bin, whatever the number of documents
         df[r["bin"]] = r["df"]
@@ -106,15 +153,56 @@ def bounded_sample(docs: DataFrame, by: str, key: list[str], limit: int) -> Data
     return some.withColumn("_order", order).where(F.col("_order") <= limit).drop("_share", "_least", "_order")
 
 
-def spherical_clusters(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """k-means by cosine: unit centres and the share of rows of each."""
-    rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), size=min(k, len(x)), replace=False)]
-    for _ in range(rounds):
-        near = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([x[near == c].sum(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    return centres, np.bincount((x @ centres.T).argmax(axis=1), minlength=len(centres)) / len(x)
+def first_centres(encoded: DataFrame, languages: list[str], idf: np.ndarray, k: int) -> list[np.ndarray]:
+    """Up to k rows of each language: of each remainder of their places by k the smallest place."""
+    least = encoded.groupBy("lang", F.pmod("place", F.lit(k)).alias("_slot")).agg(F.min("place").alias("place")).drop("_slot")
+    # Rows of one place are alike.
+    rows = encoded.join(F.broadcast(least), ["lang", "place"]).dropDuplicates(["lang", "place"]).toPandas().sort_values("place")
+    own = [rows[rows["lang"] == name] for name in languages]
+    return [weighted(unpacked(r["bits"].tolist(), r["times"].tolist()), idf) for r in own]
+
+
+def spherical_clusters(encoded: DataFrame, languages: list[str], idf: np.ndarray, k: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """k-means by cosine over all rows of each language: unit centres and the share of rows of each. A round is one pass over the encoded rows."""
+    number, centres, last = {name: i for i, name in enumerate(languages)}, first_centres(encoded, languages, idf, k), None
+    columns = [f"s{c}" for c in range(k)]
+
+    def sums(centres: list[np.ndarray]) -> np.ndarray:
+        """By language and cluster: the sum of its vectors in parts of UNIT, and at the end its number of rows."""
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = {}
+            for batch in batches:
+                for at in range(0, len(batch), SLICE):
+                    part = batch.iloc[at : at + SLICE]
+                    x, of = weighted(unpacked(part["bits"].tolist(), part["times"].tolist()), idf), part["lang"].map(number).to_numpy()
+                    for i in np.unique(of):
+                        own = x[of == i]
+                        near = (own @ centres[i].T).argmax(axis=1)
+                        whole = np.rint(own * np.float32(UNIT))
+                        t = total.setdefault(i, np.zeros((k, DIMENSIONS + 1), dtype=np.int64))
+                        for c in np.unique(near):
+                            t[c, :-1] += whole[near == c].sum(axis=0, dtype=np.float64).astype(np.int64)
+                            t[c, -1] += (near == c).sum()
+            for i, t in total.items():
+                yield pd.DataFrame({"language": np.int32(i), "bin": np.arange(DIMENSIONS + 1, dtype=np.int32), **dict(zip(columns, t, strict=True))})
+
+        schema = ", ".join(["language int", "bin int", *(f"{c} long" for c in columns)])
+        rows = encoded.select("lang", "bits", "times").mapInPandas(add, schema).groupBy("language", "bin").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+        out = np.zeros((len(languages), k, DIMENSIONS + 1), dtype=np.int64)
+        out[rows["language"].to_numpy(), :, rows["bin"].to_numpy()] = rows[columns].to_numpy()
+        return out
+
+    # The last pass only counts the rows of the centres that the rounds gave.
+    for turn in range(rounds + 1):
+        got = sums(centres)
+        if turn == rounds or (last is not None and (got == last).all()):
+            break
+        last = got
+        for i, old in enumerate(centres):
+            new = np.where(got[i, : len(old), -1:] > 0, got[i, : len(old), :-1] / UNIT, old)
+            centres[i] = (new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    return [(c, got[i, : len(c), -1] / got[i, :, -1].sum()) for i, c in enumerate(centres)]
 
 
 def bands(x: np.ndarray) -> np.ndarray:
@@ -122,60 +210,88 @@ def bands(x: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(1, np.count_nonzero(x, axis=1))).astype(int)
 
 
-def parts(text: str) -> list[str]:
-    """The text, and runs of 1, 2, 4, ... of its words from places that depend on the text only."""
-    words = text.split()
-    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))
-    out, n = [text], 1
-    while n < len(words):
-        out += [" ".join(words[a : a + n]) for a in rng.integers(len(words) - n + 1, size=PARTS)]
-        n *= 2
-    return [t for t in out if has_letter(t)]
-
+def runs(text: str, idf: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band and cosine to the nearest of the centroids ``own`` of each run of 1, 2, 4, ... of the text's words, one after another and the last
+    as long as words are left, up to the whole text; runs without a letter are left out. As if each run were a text."""
+    b = folded(text)
+    n = int(np.count_nonzero(b == 32)) - 1
+    if n < 1:
+        return np.zeros(0, dtype=int), np.zeros(0)
+    known = np.ones(n, dtype=bool) if b.max() < 128 else np.array([w.isalpha() or has_letter(w) for w in b[1:-1].tobytes().decode("utf-8", "replace").split(" ")])
+    number = np.int32 if n < 1 << 28 - BITS else np.int64  # there are fewer than four runs a word
+    h, at = trigrams(b).astype(number), np.cumsum(b == 32, dtype=number) - number(1)
+    first, last = at[:-2], at[1:-1]  # the words a trigram begins and ends in
+    square, lean = idf * idf, own * idf
+
+    def measure(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.concatenate(([0], np.flatnonzero(grams[1:] != grams[:-1]) + 1))
+        damped = np.log1p(np.diff(starts, append=len(grams)).astype(np.float32))
+        g, of = (grams[starts] & (DIMENSIONS - 1)).astype(np.intp), grams[starts] >> BITS
+        heads = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1))
+        norm = np.sqrt(np.add.reduceat(damped * damped * square[g], heads))
+        cosine = np.max([np.add.reduceat(damped * c[g], heads) for c in lean], axis=0) / norm
+        return np.log2(np.diff(heads, append=len(of))).astype(int), cosine
+
+    # Lengths are taken together, as calls cost more than short texts do, but not all those of a very long text.
+    grams, some, found = [], [], []
+    for shift in range((n - 1).bit_length() + 1):
+        run = first >> shift
+        own_grams = ((run + number(sum(map(len, some)))) << BITS | h)[run == last >> shift]
+        own_grams.sort()
+        grams.append(own_grams)
+        some.append(np.logical_or.reduceat(known, np.arange(0, n, 1 << shift)))
+        if 1 << shift >= n or sum(map(len, grams)) > 1 << 20:
+            found.append(measure(np.concatenate(grams)))
+            grams = []
+    some = np.concatenate(some)
+    return np.concatenate([x for x, _ in found])[some], np.concatenate([x for _, x in found])[some]
+
+
+def rejection(rows: DataFrame, text: str, lang: str, languages: list[str], idf: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+    """Least cosine by language and band, from the runs of all rows; a band without runs takes that of the next shorter one, else of the next longer."""
+    number = {name: i for i, name in enumerate(languages)}
+
+    def tally(codes: list[np.ndarray]) -> pd.DataFrame:
+        code, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *codes]), return_counts=True)
+        of, step = np.divmod(code, STEPS + 1)
+        return pd.DataFrame({"language": of // BANDS, "band": of % BANDS, "step": step, "n": n})
 
-def rejection(found: pd.DataFrame, n_languages: int) -> np.ndarray:
-    """Least cosine by language and band; a band without parts takes that of the next shorter one, else of the next longer."""
-    out = np.full((n_languages, BANDS), np.nan)
-    for (i, band), cosines in found.groupby(["language", "band"])["cosine"]:
-        out[i, band] = LOW_SHARE * np.quantile(cosines, LOW_QUANTILE)
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, held = [], 0
+        for batch in batches:
+            for t, name in zip(batch["_text"], batch["_lang"], strict=True):
+                i = number[name]
+                band, cosine = runs(t, idf, own[i])
+                codes.append((i * BANDS + band) * (STEPS + 1) + np.clip(np.ceil(cosine * STEPS), 1, STEPS).astype(np.int64))
+                held += len(band)
+                if held > 1 << 20:
+                    yield tally(codes)
+                    codes, held = [], 0
+        yield tally(codes)
+
+    texts = rows.select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text"))
+    found = texts.mapInPandas(measure, "language int, band int, step int, n long").groupBy("language", "band", "step").agg(F.sum("n").alias("n"))
+    low = found.groupBy("language", "band").agg(F.percentile("step", F.lit(LOW_QUANTILE), F.col("n")).alias("low"))
+    out = np.full((len(languages), BANDS), np.nan)
+    for r in low.collect():
+        out[r["language"], r["band"]] = LOW_SHARE * r["low"] / STEPS
     return pd.DataFrame(out.T).ffill().bfill().fillna(0.0).to_numpy().T
 
 
-def fit(training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
-    """Centroids of each language from labelled rows. ``sample`` bounds the rows of a language that reach the driver."""
+def fit(training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int | None = None, k: int = CENTROIDS) -> Model:
+    """Centroids and rejection of each language from all labelled rows. A caller may ask for a model of ``sample`` rows of each language."""
     rows = training.select(key, text, lang).where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    df, n = document_frequencies(rows, text)
+    if sample is not None:
+        rows = cut(bounded_sample(rows, lang, [key, text], sample).select(key, text, lang), "sample")
+    encoded = encode(rows, key, text, lang)
+    df, n = document_frequencies(encoded)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    chosen = cut(bounded_sample(rows, lang, [key, text], sample).select(text, F.col(lang).cast("string").alias("_lang"), "_place"), "languages")  # read twice
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = vectors(batch[text].tolist(), idf) if len(batch) else np.zeros((0, DIMENSIONS))
-            yield pd.DataFrame({"lang": batch["_lang"], "place": batch["_place"], "v": [r.astype("<f2").tobytes() for r in x]})
-
-    got = chosen.mapInPandas(encode, "lang string, place double, v binary").toPandas()
-    languages, centres, owner = sorted(got["lang"].unique()), [], []
-    for i, name in enumerate(languages):
-        own = got[got["lang"] == name].sort_values("place").head(sample)
-        x = np.stack([np.frombuffer(v, dtype="<f2") for v in own["v"]]).astype(np.float32)
-        c, share = spherical_clusters(x, k)
-        keep = share >= min(LEAST_SHARE, share.max())
-        centres.append(c[keep])
-        owner += [i] * int(keep.sum())
+    languages = sorted(r["lang"] for r in encoded.select("lang").distinct().collect())
     if not languages:
         return Model([], idf, np.zeros((0, DIMENSIONS), dtype=np.float32), np.array([], dtype=int), np.zeros((0, BANDS)))
-    of = {name: (i, centres[i]) for i, name in enumerate(languages)}
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for t, name in zip(batch[text], batch["_lang"], strict=True):
-                i, own = of[name]
-                x = vectors(parts(t), idf)
-                yield pd.DataFrame({"language": i, "band": bands(x), "cosine": (x @ own.T).max(axis=1).astype(float)})
-
-    # Some dozens of numbers for each sampled row.
-    cosines = chosen.mapInPandas(measure, "language int, band int, cosine double").toPandas()
-    return Model(languages, idf, np.concatenate(centres), np.array(owner, dtype=int), rejection(cosines, len(languages)))
+    own = [c[share >= min(LEAST_SHARE, share.max())] for c, share in spherical_clusters(encoded, languages, idf, k)]
+    owner = np.repeat(np.arange(len(languages)), [len(c) for c in own])
+    return Model(languages, idf, np.concatenate(own), owner, rejection(rows, text, lang, languages, idf, own))
 
 
 def predict(text: Column, model: Model, reject: float | None = None) -> Column:

@@ -59,6 +59,39 @@ def test_language_rejection(spark):
     assert whole >= 0.99 * docs.count()
 
 
+def test_language_models_are_of_all_rows(spark):
+    """Centroids and rejection against plain means and quantiles over every row, more than any sample held."""
+    rng = random.Random(21)
+    words = lambda a: ["".join(rng.choice(a) for _ in range(rng.randint(1, 7))) for _ in range(150)]
+    kinds = [words("abcdefgh"), words("mnopqrst"), words("uvwxyzéß") + ["—", "don't"]]
+    rows = [(k, " ".join(rng.choice(kinds[k % 3]) for _ in range(rng.randint(1, 20))), "xx" if k % 10 else "yy") for k in range(1500)]
+    rows = [r for r in rows if language_id.has_letter(r[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, k=1)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    own = {name: [t for _, t, g in rows if g == name] for name in ("xx", "yy")}
+    means = unit(np.stack([language_id.vectors(t, model.idf).mean(axis=0) for t in own.values()]))
+    assert np.abs(model.centroids - means).max() < 1e-5
+    for i, texts in enumerate(own.values()):
+        runs = []
+        for t in texts:
+            w = language_id.folded(t)[1:-1].tobytes().decode().split(" ")
+            n = [1 << s for s in range((len(w) - 1).bit_length() + 1)]
+            runs += [x for size in n for at in range(0, len(w), size) if language_id.has_letter(x := " ".join(w[at : at + size]))]
+        x = language_id.vectors(runs, model.idf)
+        bands, cosines = language_id.bands(x), x @ model.centroids[i]
+        for band in set(bands):
+            assert abs(model.reject[i, band] - language_id.LOW_SHARE * np.quantile(cosines[bands == band], language_id.LOW_QUANTILE)) < 1e-4
+    assert (model.reject > 0).all()
+    # Several centroids: the rounds have come to rest over all rows, however these are dealt.
+    model, again = language_id.fit(docs), language_id.fit(docs.repartition(7))
+    for i, texts in enumerate(own.values()):
+        x, mine = language_id.vectors(texts, model.idf), model.centroids[model.owner == i]
+        near = (x @ mine.T).argmax(axis=1)
+        assert len(mine) > 1 and np.abs(unit(np.stack([x[near == c].mean(axis=0) for c in range(len(mine))])) - mine).max() < 1e-4
+    assert np.array_equal(model.centroids, again.centroids) and np.array_equal(model.reject, again.reject)
+
+
 def test_quality_query(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
