@@ -43,7 +43,7 @@ STEPS = 10_000
 #: Vectors are added up as whole multiples of one part of this, so that sums are exact.
 UNIT = 1 << 20
 #: Rows that are a matrix of floats at a time.
-SLICE = 250
+SLICE = 50
 UNKNOWN = "und"
 #: Bytes of ASCII that are no letters become one separator.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -240,7 +240,7 @@ def runs(text: str, idf: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.nd
         own_grams.sort()
         grams.append(own_grams)
         some.append(np.logical_or.reduceat(known, np.arange(0, n, 1 << shift)))
-        if 1 << shift >= n or sum(map(len, grams)) > 1 << 20:
+        if 1 << shift >= n or sum(map(len, grams)) > 1 << 17:
             found.append(measure(np.concatenate(grams)))
             grams = []
     some = np.concatenate(some)
@@ -264,7 +264,7 @@ def rejection(rows: DataFrame, text: str, lang: str, languages: list[str], idf:
                 band, cosine = runs(t, idf, own[i])
                 codes.append((i * BANDS + band) * (STEPS + 1) + np.clip(np.ceil(cosine * STEPS), 1, STEPS).astype(np.int64))
                 held += len(band)
-                if held > 1 << 20:
+                if held > 1 << 17:
                     yield tally(codes)
                     codes, held = [], 0
         yield tally(codes)
